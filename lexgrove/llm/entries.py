@@ -6,11 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import jaccard_tree, pfp_dedup, quality_fm, toxicity
+from . import decontam, jaccard_tree, packing, pfp_dedup, quality_fm, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_decontamination": decontam.query,
     "op2_jaccard_join": jaccard_tree.query,
     "op3_toxicity": toxicity.query,
+    "op7_packing": packing.query,
     "op9_quality": quality_fm.query,
     "op10_suffix_dedup": pfp_dedup.query,
 }
