@@ -1,7 +1,7 @@
 """Benchmark decontamination by template canonicalisation.
 
-A text becomes a template: words in lower case, with typed placeholders for numbers, for names (capitalised words that don't open a
-sentence) and for units (after a number). Windows of ``WINDOW`` template tokens with ``LITERALS`` or more plain words are hashed, and
+A text becomes a template: words in lower case, with typed placeholders for numbers, for names (capitalised words that have a small
+letter and don't open a sentence, so that a text all in capitals is compared by its words) and for units (after a number). Windows of ``WINDOW`` template tokens with ``LITERALS`` or more plain words are hashed, and
 the windows of documents and benchmark items are joined on the hash. Along an alignment (document place less item place) the slots must be
 filled consistently: one filler of the item stands for one filler of the document throughout. An item is found in a document when
 consistent alignments cover ``COVERAGE`` of its windows; with the same fillers everywhere it is an exact leak, else a re-parameterised one.
@@ -75,7 +75,11 @@ def template(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     opens = np.ones(len(starts), bool)
     opens[1:] = marks[starts[1:]] > marks[ends[:-1]]
     opens[rows[:-1][rows[:-1] < len(starts)]] = True
-    name = capital & ~opens & ~number
+    small = (data >= 97) & (data <= 122)
+    small[1:] |= (data[:-1] == 0xC3) & (data[1:] >= 0xA0)
+    smalls = np.zeros(len(data) + 1, np.int64)
+    np.cumsum(small, out=smalls[1:])
+    name = capital & ~opens & ~number & (smalls[ends] > smalls[starts])
     after = np.zeros(len(starts), bool)
     after[1:] = number[:-1]
     after[rows[:-1][rows[:-1] < len(starts)]] = False
