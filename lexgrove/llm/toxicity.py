@@ -23,6 +23,8 @@ ORDERS = (3, 4, 5)
 BUCKETS = 1 << 18
 #: At most so many labelled documents are used to fit the model.
 MAX_TRAIN_ROWS = 4000
+#: Weight of the squared weights (divided by their number); strong, as labels are noisy.
+L2 = 300.0
 #: A bucket counts from so many texts on, and from this absolute log-count ratio on.
 MIN_TEXTS, MIN_RATIO = 5, 1.0
 #: The share of clean held-out documents that may be called toxic.
@@ -68,7 +70,7 @@ class RatioClassifier:
         raw = self.bias + np.bincount(row, self.weight[bucket], len(offsets) - 1)
         return 1 / (1 + np.exp(-np.clip(raw, -30, 30)))
 
-    def fit(self, rows: list[np.ndarray], y: np.ndarray, epochs: int = 200, rate: float = 0.3, l2: float = 1e-3, smooth: float = 1.0) -> RatioClassifier:
+    def fit(self, rows: list[np.ndarray], y: np.ndarray, epochs: int = 200, rate: float = 0.3, l2: float = L2, smooth: float = 1.0) -> RatioClassifier:
         """rows: the distinct buckets of each text."""
         index = np.concatenate(rows)
         row = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
