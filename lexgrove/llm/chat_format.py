@@ -97,9 +97,10 @@ def chat_segments(conversations: DataFrame, template: dict = TEMPLATE) -> DataFr
     said = said.withColumn("error", error)
     by_role = F.transform("turns", lambda t: _of_role(template, t))
     segments = F.concat(_pieces(template["begin"], none.cast("long"), none.cast("string"), F.lit("")), F.flatten(by_role), _pieces(template["end"], none.cast("long"), none.cast("string"), F.lit("")))
-    good = said.where("error is null").select("conv_id", F.posexplode(segments).alias("segment", "s")).select("conv_id", "segment", "s.turn", "s.role", "s.text", "s.loss", none.cast("string").alias("error"))
-    bad = said.where("error is not null").select("conv_id", F.lit(-1).alias("segment"), "error.turn", "error.role", none.cast("string").alias("text"), none.cast("boolean").alias("loss"), "error.error")
-    return good.unionByName(bad)
+    refused = F.array(F.struct(F.col("error.turn").alias("turn"), F.col("error.role").alias("role"), none.cast("string").alias("text"), none.cast("boolean").alias("loss")))
+    rows = said.select("conv_id", "error.error", F.posexplode(F.when(F.col("error").isNull(), segments).otherwise(refused)).alias("segment", "s"))
+    number = F.when(F.col("error").isNotNull(), F.lit(-1)).otherwise(F.col("segment"))
+    return rows.select("conv_id", number.alias("segment"), "s.turn", "s.role", "s.text", "s.loss", "error")
 
 
 def _of_role(template: dict, t: Column) -> Column:
