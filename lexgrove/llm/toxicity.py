@@ -27,8 +27,8 @@ MAX_TRAIN_ROWS = 4000
 L2 = 300.0
 #: A bucket counts from so many texts on, and from this absolute log-count ratio on.
 MIN_TEXTS, MIN_RATIO = 5, 1.0
-#: The share of clean held-out documents that may be called toxic.
-MAX_FALSE = 0.002
+#: The share of clean held-out documents that may be called toxic, over so many folds.
+MAX_FALSE, FOLDS = 0.002, 3
 
 _K = [np.uint32(x) for x in (0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D, 0x27D4EB2F, 0x165667B1)]
 
@@ -116,11 +116,15 @@ def fit(docs: DataFrame, labels: DataFrame, max_train_rows: int = MAX_TRAIN_ROWS
     if len(set(y.tolist())) < 2:
         return model
     rows = [np.frombuffer(r.buckets, np.int32).astype(np.int64) for r in got]
-    held = np.arange(len(rows)) % 5 == 4
-    model.fit([r for r, h in zip(rows, held, strict=True) if not h], y[~held])
-    clean = [r for r, h, t in zip(rows, held, y, strict=True) if h and not t]
-    if clean:
-        raw = [model.bias + float(model.weight[r].sum()) for r in clean]
+    # The threshold is set on the scores that clean documents get from models that haven't seen them.
+    raw = []
+    for k in range(FOLDS):
+        seen = np.arange(len(rows)) % FOLDS != k
+        if len(set(y[seen].tolist())) == 2:
+            part = RatioClassifier().fit([r for r, s in zip(rows, seen, strict=True) if s], y[seen])
+            raw += [part.bias + float(part.weight[r].sum()) for r, s, t in zip(rows, seen, y, strict=True) if not s and not t]
+    model.fit(rows, y)
+    if raw:
         model.threshold = float(max(0.5, 1 / (1 + np.exp(-np.clip(np.quantile(raw, 1 - MAX_FALSE), -30, 30)))))
     return model
 
