@@ -219,10 +219,10 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     )
 
 
-def _cutter(names: list[str]):  # noqa: ANN202
+def _cutter(names: list[str], spans_name: str):  # noqa: ANN202
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            spans = batch["_spans"]
+            spans = batch[spans_name]
             texts, keep = batch["text"].to_pylist(), np.ones(batch.num_rows, bool)
             for k in np.flatnonzero(spans.is_valid().to_numpy(zero_copy_only=False)):
                 raw = texts[k].encode()
@@ -249,12 +249,15 @@ def _cutter(names: list[str]):  # noqa: ANN202
 
 def drop_repeats(docs: DataFrame) -> DataFrame:
     """docs without the later occurrences of repeated passages (n_chars follows); a text that is left without a word goes."""
+    spans = "_spans"
+    while spans in docs.columns:
+        spans += "_"
     lose = (
         repeated_spans(docs).where("not kept").groupBy(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"))
-        .agg(F.collect_list(F.struct("start_word", "end_word")).alias("_spans"))
+        .agg(F.collect_list(F.struct("start_word", "end_word")).alias(spans))
     )
-    joined = docs.join(lose, (docs["doc_id"] == lose["_id"]) & (F.xxhash64(docs["text"]) == lose["_key"]), "left").select(*[docs[c] for c in docs.columns], lose["_spans"])
-    return joined.mapInArrow(_cutter(docs.columns), docs.schema)
+    joined = docs.join(lose, (docs["doc_id"] == lose["_id"]) & (F.xxhash64(docs["text"]) == lose["_key"]), "left").select(*[docs[c] for c in docs.columns], lose[spans])
+    return joined.mapInArrow(_cutter(docs.columns, spans), docs.schema)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
