@@ -72,15 +72,16 @@ class RatioClassifier:
 
     def fit(self, rows: list[np.ndarray], y: np.ndarray, epochs: int = 200, rate: float = 0.3, l2: float = L2, smooth: float = 1.0) -> RatioClassifier:
         """rows: the distinct buckets of each text."""
-        index = np.concatenate(rows)
-        row = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
-        toxic = np.bincount(index[y[row] > 0], minlength=BUCKETS)
-        other = np.bincount(index[y[row] == 0], minlength=BUCKETS)
+        toxic, other = np.zeros(BUCKETS), np.zeros(BUCKETS)
+        for r, t in zip(rows, y, strict=True):
+            (toxic if t else other)[r] += 1
         ratio = np.log((toxic + smooth) / (toxic.sum() + smooth * BUCKETS)) - np.log((other + smooth) / (other.sum() + smooth * BUCKETS))
         self.useful = (toxic + other >= MIN_TEXTS) & (np.abs(ratio) >= MIN_RATIO)
-        keep = self.useful[index]
-        columns, place = np.unique(index[keep], return_inverse=True)
-        row, scaled = row[keep], ratio[columns]
+        # Only what is kept of the texts is put together: most of their buckets say little.
+        kept = [r[self.useful[r]] for r in rows]
+        row = np.repeat(np.arange(len(rows)), [len(r) for r in kept])
+        columns, place = np.unique(np.concatenate(kept), return_inverse=True)
+        scaled = ratio[columns]
         w, b = np.zeros(len(columns)), 0.0
         sample = np.where(y > 0, 0.5 / max(1, (y > 0).sum()), 0.5 / max(1, (y == 0).sum()))
         x, step_w, step_b = scaled[place], np.full(len(columns), 1e-8), 1e-8
@@ -115,7 +116,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_train_rows: int = MAX_TRAIN_ROWS
     model = RatioClassifier()
     if len(set(y.tolist())) < 2:
         return model
-    rows = [np.frombuffer(r.buckets, np.int32).astype(np.int64) for r in got]
+    rows = [np.frombuffer(r.buckets, np.int32) for r in got]
     # The threshold is set on the scores that clean documents get from models that haven't seen them.
     raw = []
     for k in range(FOLDS):
