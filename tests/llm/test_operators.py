@@ -354,6 +354,36 @@ def test_scores_of_documents(spark):
             assert abs(r.cross_entropy - r.phrases * math.log2(r.reference_symbols) / r.n_symbols) < 1e-9
 
 
+def test_scores_are_against_all_good_text_but_the_documents_own(spark):
+    rng = random.Random(10)
+    few = WORDS[:6]
+    texts = [" ".join(rng.choice(few) for _ in range(rng.randint(1, 50))) for _ in range(60)]
+    texts += [texts[0], texts[3], texts[59]]
+    langs = ["en"] * 50 + ["xx"] * 13
+    rows = [(k, t, lang) for k, (t, lang) in enumerate(zip(texts, langs, strict=True))] + [(70, "alone here", "yy"), (71, "apart", "yy"), (None, texts[5], "en"), (2, texts[4], "en"), (72, "one", "zz")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    good = {*range(0, 50, 2), 51, 62, 70, 72}
+    labels = spark.createDataFrame([(k, 1) for k in good], "doc_id long, quality int")
+
+    def brute(i, text, lang):
+        reference = [t.split() for j, t, other in rows if j in good and j != i and other == lang]
+        has = {tuple(r[a:b]) for r in reference for a in range(len(r)) for b in range(a + 1, len(r) + 1)}
+        w, at, count = text.split(), 0, 0
+        while at < len(w):
+            n = 1
+            while at + n < len(w) and tuple(w[at : at + n + 1]) in has:
+                n += 1
+            at, count = at + n, count + 1
+        return (i, len(w), sum(map(len, reference)), count if reference else None)
+
+    want = sorted((brute(*r) for r in rows), key=str)
+    for size in (zm_parse.SHARD_BYTES, 400, 30):
+        got = zm_parse.cross_parse(docs, labels, size).collect()
+        assert sorted(((r.doc_id, r.n_symbols, r.reference_symbols, r.phrases) for r in got), key=str) == want
+        # A language with one good document: the others are scored, only that one isn't.
+        assert {r.doc_id for r in got if r.cross_entropy is None} == {70, 72}
+
+
 # Audio
 
 
