@@ -384,6 +384,15 @@ def test_scores_are_against_all_good_text_but_the_documents_own(spark):
         assert {r.doc_id for r in got if r.cross_entropy is None} == {70, 72}
 
 
+def test_a_rare_language_is_scored_on_a_large_table(spark):
+    rng = random.Random(13)
+    rows = [(k, prose(rng, 40), "en") for k in range(200)] + [(k, prose(rng, 20), "rare") for k in range(200, 230)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(k, 1) for k in [*range(0, 200, 3), 200, 201]], "doc_id long, quality int")
+    got = zm_parse.cross_parse(docs, labels, 50).collect()
+    assert len(got) == 230 and all(r.cross_entropy is not None for r in got)
+
+
 # Audio
 
 
