@@ -10,11 +10,14 @@
 A pair of similarity s meets with probability 1 - (1 - s^2)^BANDS: 0.97 at 0.6, 0.996 at 0.7, over 0.9999 at 0.8; a pair that
 meets is never missed and its similarity is exact (of 32-bit hashes).
 
-The result is (doc_id, other_id, jaccard) with doc_id < other_id: every similar pair of representatives, and each member of a
-class with its representative (1.0). All similar pairs are those of the members of the classes joined by a row.
+4. A pair of representatives stands for all pairs of a member of the one class and a member of the other; these, and all pairs
+   within a class (1.0), are the result.
+
+The result is (doc_id, other_id, jaccard) with doc_id < other_id, each pair once; n copies of a text are n (n - 1) / 2 pairs.
+``representative_pairs`` has the same groups in fewer rows: the pairs of representatives, and each member with its representative.
 
 Results for odd input: a row with a null doc_id, or without a word in its text, is in no pair; a text of fewer than ``N`` words is one
-n-gram; rows that repeat a doc_id are one document that has the union of the pairs of its texts, and it is in no pair with itself;
+n-gram; rows that repeat a doc_id are one document that has the union of the pairs of its texts (a pair's highest similarity), and it is in no pair with itself;
 an empty table gives no pairs. Other columns aren't read.
 """
 
@@ -74,6 +77,11 @@ def band_keys(grams: np.ndarray, first: np.ndarray) -> np.ndarray:
     return np.stack([mix(mix(least[2 * k]) + least[2 * k + 1] + np.uint64(k)) for k in range(BANDS)], 1).view(np.int64)
 
 
+def set_hashes(grams: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """The sum of the mixed hashes of each row's set; rows have at least one n-gram."""
+    return mix(np.add.reduceat(mix(grams.astype(np.uint64)), first[:-1])).view(np.int64)
+
+
 def _with_grams(grams: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The rows that have n-grams, and their firsts."""
     has = np.flatnonzero(np.diff(first) > 0)
@@ -92,15 +100,14 @@ def _light(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             has, first = _with_grams(grams, first)
             if not len(has):
                 continue
-            total = np.add.reduceat(mix(grams.astype(np.uint64)), first[:-1])
             keys = band_keys(grams, first)
             yield pa.RecordBatch.from_arrays([
-                ids.take(pa.array(has)).cast(pa.int64()), pa.array(mix(total).view(np.int64)), pa.array(np.diff(first), pa.int32()),
+                ids.take(pa.array(has)).cast(pa.int64()), pa.array(set_hashes(grams, first)), pa.array(np.diff(first), pa.int32()),
                 pa.ListArray.from_arrays(pa.array(np.arange(len(has) + 1) * BANDS, pa.int32()), pa.array(keys.ravel())),
             ], ["id", "set_hash", "size", "keys"])
 
 
-_FULL = "id long, keys binary, grams binary, bands array<int>"
+_FULL = "id long, set_hash long, keys binary, grams binary, bands array<int>"
 
 
 def _full(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -115,9 +122,9 @@ def _full(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 continue
             keys = band_keys(grams, first)
             yield pa.RecordBatch.from_arrays([
-                ids.take(pa.array(has)).cast(pa.int64()), pa.array([k.tobytes() for k in keys], pa.binary()),
+                ids.take(pa.array(has)).cast(pa.int64()), pa.array(set_hashes(grams, first)), pa.array([k.tobytes() for k in keys], pa.binary()),
                 pa.array([grams[i:j].tobytes() for i, j in zip(first[:-1], first[1:], strict=True)], pa.binary()), bands.take(pa.array(has)),
-            ], ["id", "keys", "grams", "bands"])
+            ], ["id", "set_hash", "keys", "grams", "bands"])
 
 
 class SignatureTree:
@@ -198,14 +205,16 @@ def similar_pairs(sets: list[np.ndarray], threshold: float = THRESHOLD) -> tuple
     return order[a[found]], order[b[found]], shared[found] / union[found]
 
 
-def _join_block(ids: np.ndarray, band: int, keys: np.ndarray, sets: list[np.ndarray], threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _join_block(ids: np.ndarray, hashes: np.ndarray, band: int, keys: np.ndarray, sets: list[np.ndarray], threshold: float) -> tuple[np.ndarray, ...]:
     a, b, s = similar_pairs(sets, threshold)
     new = (ids[a] != ids[b]) & ~(keys[a, :band] == keys[b, :band]).any(1)  # else an earlier band has the pair
     a, b = a[new], b[new]
-    return np.minimum(ids[a], ids[b]), np.maximum(ids[a], ids[b]), s[new]
+    size = np.array([len(x) for x in sets], np.int64)
+    return np.minimum(ids[a], ids[b]), np.maximum(ids[a], ids[b]), s[new], hashes[a], size[a], hashes[b], size[b]
 
 
-_PAIRS = "doc_id long, other_id long, jaccard double"
+#: The classes of both sides come with a pair, in no order.
+_PAIRS = "doc_id long, other_id long, jaccard double, a_hash long, a_size long, b_hash long, b_size long"
 
 
 def _joiner(threshold: float):  # noqa: ANN202
@@ -218,14 +227,15 @@ def _joiner(threshold: float):  # noqa: ANN202
             if len(held) > 1:
                 ids = np.array([r[1] for r in held], np.int64)
                 keys = np.frombuffer(b"".join(r[2] for r in held), np.int64).reshape(-1, BANDS)
-                out.append(_join_block(ids, held[0][0][0], keys, [np.frombuffer(r[3], np.uint32) for r in held], threshold))
+                hashes = np.array([r[4] for r in held], np.int64)
+                out.append(_join_block(ids, hashes, held[0][0][0], keys, [np.frombuffer(r[3], np.uint32) for r in held], threshold))
             held.clear()
 
         for batch in batches:
-            for band, key, i, keys, grams in zip(batch["band"].to_pylist(), batch["key"].to_pylist(), batch["id"].to_pylist(), batch["keys"].to_pylist(), batch["grams"].to_pylist(), strict=True):
+            for band, key, i, keys, grams, set_hash in zip(*(batch[c].to_pylist() for c in ("band", "key", "id", "keys", "grams", "set_hash")), strict=True):
                 if held and held[0][0] != (band, key):
                     close()
-                held.append(((band, key), i, keys, grams))
+                held.append(((band, key), i, keys, grams, set_hash))
             if out:
                 yield _pairs_batch(out)
                 out.clear()
@@ -236,11 +246,13 @@ def _joiner(threshold: float):  # noqa: ANN202
 
 
 def _pairs_batch(out: list[tuple]) -> pa.RecordBatch:
-    a, b, s = (np.concatenate([*(o[k] for o in out), np.zeros(0, kind)]) for k, kind in ((0, np.int64), (1, np.int64), (2, np.float64)))
-    return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(s)], ["doc_id", "other_id", "jaccard"])
+    kinds = [np.float64 if " double" in c else np.int64 for c in _PAIRS.split(", ")]
+    columns = (np.concatenate([*(o[k] for o in out), np.zeros(0, kind)]) for k, kind in enumerate(kinds))
+    return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], [c.split()[0] for c in _PAIRS.split(", ")])
 
 
-def jaccard_join(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+def _classes_and_near(docs: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """All (id, set_hash, size), the classes of equal sets, and the similar pairs of representatives."""
     texts = docs.select("doc_id", "text").where("doc_id is not null and text is not null")
     # A class is keyed by the sum of the mixed hashes of its set and by the set's size.
     light = cut(texts.mapInArrow(_light, _LIGHT))
@@ -250,15 +262,34 @@ def jaccard_join(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     bands = spread.join(meeting, ["band", "key"]).groupBy("rep").agg(F.collect_set("band").alias("bands"))
     full = texts.join(bands, texts["doc_id"] == bands["rep"]).select("doc_id", "text", "bands").mapInArrow(_full, _FULL)
     # The key of a band is 8 bytes of keys at 8 * band.
-    blocks = full.withColumn("band", F.explode("bands")).select("band", F.expr("substring(keys, 8 * band + 1, 8)").alias("key"), "id", "keys", "grams")
+    blocks = full.withColumn("band", F.explode("bands")).select("band", F.expr("substring(keys, 8 * band + 1, 8)").alias("key"), "id", "set_hash", "keys", "grams")
     near = blocks.repartition("band", "key").sortWithinPartitions("band", "key").mapInArrow(_joiner(threshold), _PAIRS)
-    # Each member of a class of several rows, with the class's representative.
+    return light.select("id", "set_hash", "size"), classes, near
+
+
+def representative_pairs(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """The similar pairs of representatives, and each member of a class of several rows with the class's representative."""
+    light, classes, near = _classes_and_near(docs, threshold)
     several = classes.where("n > 1").select("set_hash", "size", "rep")
     same = (
-        light.select("id", "set_hash", "size").join(several, ["set_hash", "size"]).where("id != rep")
+        light.join(several, ["set_hash", "size"]).where("id != rep")
         .select(F.col("rep").alias("doc_id"), F.col("id").alias("other_id"), F.lit(1.0).alias("jaccard")).distinct()
     )
-    return near.unionByName(same)
+    return near.select("doc_id", "other_id", "jaccard").unionByName(same)
+
+
+def jaccard_join(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    light, classes, near = _classes_and_near(docs, threshold)
+    members = light.distinct()
+
+    def side(name: str) -> DataFrame:
+        return members.select(F.col("id").alias(name), F.col("set_hash").alias(f"{name}_hash"), F.col("size").cast("long").alias(f"{name}_size"))
+
+    apart = near.where("a_hash != b_hash or a_size != b_size").join(side("a"), ["a_hash", "a_size"]).join(side("b"), ["b_hash", "b_size"])
+    several = members.join(classes.where("n > 1").select("set_hash", "size"), ["set_hash", "size"])
+    same = several.withColumnRenamed("id", "a").join(several.withColumnRenamed("id", "b"), ["set_hash", "size"]).where("a < b")
+    pairs = apart.where("a != b").select("a", "b", "jaccard").unionByName(same.select("a", "b", F.lit(1.0).alias("jaccard")))
+    return pairs.groupBy(F.least("a", "b").alias("doc_id"), F.greatest("a", "b").alias("other_id")).agg(F.max("jaccard").alias("jaccard"))
 
 
 def components(pairs: DataFrame) -> DataFrame:
@@ -286,7 +317,7 @@ def keep_one(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """docs with one document of each group (connected component of similar documents), the one of the lowest id.
 
     Of rows that repeat a doc_id within a group one stays; rows that are in no group all stay, but for those that repeat an id and a text."""
-    found = components(jaccard_join(docs, threshold))
+    found = components(representative_pairs(docs, threshold))
     lose = found.where("doc_id != root").select(F.col("doc_id").alias("_lost"))
     kept = docs.join(lose, docs["doc_id"] == lose["_lost"], "left_anti")
     # Ids on several rows are rare; only their rows are looked at again.

@@ -76,6 +76,24 @@ def test_jaccard_join_against_brute_force(spark):
     assert len(true) > 40 and len(hit) >= 0.95 * len(true)
 
 
+def test_jaccard_join_has_all_pairs_of_copies(spark):
+    rng = random.Random(12)
+    base = prose(rng, 60)
+    near = f"{base} more"
+    rows = [(k, base) for k in range(10)] + [(k, near.upper()) for k in range(10, 16)] + [(20, prose(rng, 40)), (3, prose(rng, 40)), (30, "other words here")]
+    # Document 3 has a text more; copies of that are in no pair with the copies of its first.
+    rows += [(21, rows[-2][1]), (22, rows[-2][1])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    true = {}
+    for i, a in rows:
+        for j, b in rows:
+            if i < j and (s := len(grams(a) & grams(b)) / len(grams(a) | grams(b))) >= jaccard_tree.THRESHOLD:
+                true[i, j] = max(s, true.get((i, j), 0))
+    got = jaccard_tree.jaccard_join(docs).collect()
+    assert len(true) == 16 * 15 // 2 + 3 and len(got) == len(true)
+    assert all(abs(true[r.doc_id, r.other_id] - r.jaccard) < 1e-9 for r in got)
+
+
 def test_signature_tree_is_exact():
     rng = np.random.default_rng(2)
     sets = [np.unique(rng.integers(0, 300, rng.integers(1, 60)).astype(np.uint32)) for _ in range(150)]
