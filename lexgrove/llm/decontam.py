@@ -1,9 +1,11 @@
 """Benchmark decontamination by template canonicalisation.
 
 A text becomes a template: words in lower case, with typed placeholders for numbers, for names (capitalised words that have a small
-letter and don't open a sentence, so that a text all in capitals is compared by its words) and for units (after a number). Windows of ``WINDOW`` template tokens with ``LITERALS`` or more plain words are hashed, and
+letter and don't open a sentence, so that a text all in capitals is compared by its words) and for units (after a number). A capitalised word that opens a sentence may be
+a word or a name: windows over it are emitted for each reading. Windows of ``WINDOW`` template tokens with ``LITERALS`` or more plain words are hashed, and
 the windows of documents and benchmark items are joined on the hash. Along an alignment (document place less item place) the slots must be
-filled consistently: one filler of the item stands for one filler of the document throughout. An item is found in a document when
+filled consistently: one filler of the item stands for one filler of the document throughout. A window that matches only by an
+opener read as a name counts where its fillers agree with all others of the alignment; else it alone is passed over. An item is found in a document when
 consistent alignments cover ``COVERAGE`` of its windows; with the same fillers everywhere it is an exact leak, else a re-parameterised one.
 
 Documents are scanned once. Only windows whose hash is among the benchmark's in a bitmap of 2^``FILTER_BITS`` bits leave the scan (the size
@@ -54,8 +56,8 @@ def _unit_hashes() -> np.ndarray:
     return np.sort(span_hashes(np.frombuffer(data, np.uint8), ends - [len(u) for u in UNITS], ends))
 
 
-def template(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Template tokens (hashes), fillers (hashes as in the text), whether each is a slot, and the index of each row's first token."""
+def template(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Template tokens (hashes), fillers (hashes as in the text), whether each is a slot, whether each may be a name that opens a sentence, and the index of each row's first token."""
     inside = _WORD[data]
     if len(data) > 2:  # a point or comma between digits belongs to the number
         joint = ((data[1:-1] == 46) | (data[1:-1] == 44)) & _DIGIT[data[:-2]] & _DIGIT[data[2:]]
@@ -63,7 +65,7 @@ def template(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     inside |= _SIGNS[data]
     starts, ends, rows = word_bounds(data, offsets, inside)
     if not len(starts):
-        return np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, bool), rows
+        return np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, bool), np.zeros(0, bool), rows
     h = span_hashes(fold(data), starts, ends)
     lead = data[starts]
     number = _DIGIT[lead]
@@ -79,37 +81,53 @@ def template(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     small[1:] |= (data[:-1] == 0xC3) & (data[1:] >= 0xA0)
     smalls = np.zeros(len(data) + 1, np.int64)
     np.cumsum(small, out=smalls[1:])
-    name = capital & ~opens & ~number & (smalls[ends] > smalls[starts])
+    named = capital & ~number & (smalls[ends] > smalls[starts])
+    name = named & ~opens
     after = np.zeros(len(starts), bool)
     after[1:] = number[:-1]
     after[rows[:-1][rows[:-1] < len(starts)]] = False
     units = _unit_hashes()
     unit = after & (units[np.minimum(np.searchsorted(units, h), len(units) - 1)] == h) & ~number
     token = np.where(number, _NUMBER, np.where(unit, _UNIT, np.where(name, _NAME, h)))
-    return token, h, number | name | unit, rows
+    return token, h, number | name | unit, named & opens & ~unit, rows
 
 
 def windows(data: np.ndarray, offsets: np.ndarray, passes: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, ...]]:
-    """Row, place in the row, hash, and slots (place in the window and filler) of windows with enough plain words; of those in the filter only where one is given."""
-    token, filler, slot, rows = template(data, offsets)
+    """Row, place in the row, hash, whether an opener is read as a name, and slots (place in the window and filler) of windows with enough plain words; of those in the filter only where one is given."""
+    token, filler, slot, opener, rows = template(data, offsets)
     row, at = within_rows(rows, WINDOW)
     if not len(at):
         return
-    h = ngram_hashes(token, WINDOW)[at]
     slots = np.zeros(len(slot) + 1, np.int64)
     np.cumsum(slot, out=slots[1:])
-    good = WINDOW - (slots[at + WINDOW] - slots[at]) >= LITERALS
-    if passes is not None:
-        bit = (h >> np.uint64(64 - FILTER_BITS)).astype(np.int64)
-        good &= (passes[bit >> 3] >> (bit & 7).astype(np.uint8) & 1).astype(bool)
-    good = np.flatnonzero(good)
-    row, at, h = row[good], at[good], h[good]
-    where, which = np.nonzero(slot[at[:, None] + np.arange(WINDOW)]) if len(at) else (np.zeros(0, np.int64),) * 2
-    first = np.searchsorted(where, np.arange(len(at) + 1))
-    yield row, at - rows[row], h, first, which, filler[at[where] + which]
-
-
-_WINDOWS = "id long, place int, h long, slots array<int>, fillers array<long>"
+    plain = WINDOW - (slots[at + WINDOW] - slots[at])
+    openers = np.zeros(len(token) - WINDOW + 1, np.int64)
+    for k in range(WINDOW):
+        openers |= opener[k : k + len(openers)].astype(np.int64) << k
+    openers = openers[at]
+    there = np.unique(openers)
+    for read in range(1 << WINDOW):  # the openers that are read as names
+        if not ((there & read) == read).any():
+            continue
+        good = plain - read.bit_count() >= LITERALS
+        good &= (openers & read) == read
+        some = np.flatnonzero(good)
+        if read:
+            tokens = token[at[some][:, None] + np.arange(WINDOW)]
+            tokens[:, [k for k in range(WINDOW) if read >> k & 1]] = _NAME
+            h = ngram_hashes(tokens.ravel(), WINDOW)[::WINDOW] if len(some) else np.zeros(0, np.uint64)
+        else:
+            h = ngram_hashes(token, WINDOW)[at[some]]
+        if passes is not None:
+            bit = (h >> np.uint64(64 - FILTER_BITS)).astype(np.int64)
+            let = (passes[bit >> 3] >> (bit & 7).astype(np.uint8) & 1).astype(bool)
+            some, h = some[let], h[let]
+        where, which = np.nonzero(slot[at[some][:, None] + np.arange(WINDOW)] | np.array([bool(read >> k & 1) for k in range(WINDOW)])) if len(some) else (np.zeros(0, np.int64),) * 2
+        first = np.searchsorted(where, np.arange(len(some) + 1))
+        yield row[some], at[some] - rows[row[some]], h, np.full(len(some), read > 0), first, which, filler[at[some][where] + which]
+
+
+_WINDOWS = "id long, place int, h long, loose boolean, slots array<int>, fillers array<long>"
 
 
 def _emit(passes):  # noqa: ANN001, ANN202
@@ -117,12 +135,12 @@ def _emit(passes):  # noqa: ANN001, ANN202
         bits = None if passes is None else passes.value
         for batch in batches:
             for a, _, data, offsets in text_slices(batch["text"]):
-                for row, place, h, first, slots, fillers in windows(data, offsets, bits):
+                for row, place, h, loose, first, slots, fillers in windows(data, offsets, bits):
                     flat = pa.array(first, pa.int32())
                     yield pa.RecordBatch.from_arrays([
-                        batch["id"].take(pa.array(row + a)).cast(pa.int64()), pa.array(place, pa.int32()), pa.array(h.view(np.int64)),
+                        batch["id"].take(pa.array(row + a)).cast(pa.int64()), pa.array(place, pa.int32()), pa.array(h.view(np.int64)), pa.array(loose),
                         pa.ListArray.from_arrays(flat, pa.array(slots, pa.int32())), pa.ListArray.from_arrays(flat, pa.array(fillers.view(np.int64))),
-                    ], ["id", "place", "h", "slots", "fillers"])
+                    ], ["id", "place", "h", "loose", "slots", "fillers"])
 
     return run
 
@@ -141,21 +159,33 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERA
     bucket = np.array(items.select(F.shiftrightunsigned("h", 64 - FILTER_BITS).alias("b")).distinct().toPandas()["b"], np.int64)
     np.bitwise_or.at(bits, bucket >> 3, (1 << (bucket & 7)).astype(np.uint8))
     sizes = items.groupBy("id").agg(F.countDistinct("place").alias("n"))
-    items = items.join(sizes, "id").select(F.col("id").alias("item_id"), F.col("place").alias("item_place"), "h", F.col("fillers").alias("item_fillers"), "n")
+    items = items.join(sizes, "id").select(F.col("id").alias("item_id"), F.col("place").alias("item_place"), "h", F.col("loose").alias("item_loose"), F.col("fillers").alias("item_fillers"), "n")
     hits = _windows(docs, "doc_id", spark.sparkContext.broadcast(bits)).join(items, "h").select(
-        F.col("id").alias("doc_id"), "item_id", "n", "item_place", (F.col("place") - F.col("item_place")).alias("shift"),
+        F.col("id").alias("doc_id"), "item_id", "n", "item_place", (F.col("place") - F.col("item_place")).alias("shift"), (F.col("loose") | F.col("item_loose")).alias("loose"),
         F.transform(F.arrays_zip("slots", "item_fillers", "fillers"), lambda s: F.struct((s["slots"] + F.col("item_place")).alias("slot"), s["item_fillers"].alias("a"), s["fillers"].alias("b"))).alias("pairs"),
     ).withColumn("pairs", F.coalesce("pairs", F.array()))
+    strict = F.when(~F.col("loose"), F.col("pairs"))
     aligned = hits.groupBy("doc_id", "item_id", "n", "shift").agg(
-        F.collect_set("item_place").alias("places"), F.array_distinct(F.flatten(F.collect_set("pairs"))).alias("pairs")
-    )
+        F.collect_set(F.when(~F.col("loose"), F.col("item_place"))).alias("places"), F.array_distinct(F.flatten(F.collect_set(strict))).alias("pairs"),
+        F.collect_set(F.when(F.col("loose"), F.struct(F.col("item_place").alias("place"), "pairs"))).alias("loose"),
+    )
     # Consistent: as many (item filler, document filler) couples as item fillers.
     couples = F.array_distinct(F.transform("pairs", lambda p: F.struct(p["a"], p["b"])))
     fillers = F.array_distinct(F.transform("pairs", lambda p: p["a"]))
     fair = aligned.where(F.size(couples) == F.size(fillers))
-    found = fair.groupBy("doc_id", "item_id", "n").agg(
-        F.size(F.array_distinct(F.flatten(F.collect_list("places")))).alias("seen"), F.min(F.forall("pairs", lambda p: p["a"] == p["b"])).alias("exact")
+    # Of windows with an opener read as a name: those at places that have no other match, if all their fillers stand for one filler each.
+    fair = fair.withColumn("loose", F.filter("loose", lambda w: ~F.array_contains("places", w["place"])))
+    fair = fair.withColumn("all", F.array_distinct(F.transform(F.concat("pairs", F.flatten(F.transform("loose", lambda w: w["pairs"]))), lambda p: F.struct(p["a"].alias("a"), p["b"].alias("b")))))
+    fair = fair.withColumn("clash", F.transform(F.filter("all", lambda c: F.exists("all", lambda d: (d["a"] == c["a"]) & (d["b"] != c["b"]))), lambda c: c["a"]))
+    fair = fair.withColumn("loose", F.filter("loose", lambda w: ~F.exists(w["pairs"], lambda p: F.array_contains("clash", p["a"]))))
+    both = fair.groupBy("doc_id", "item_id", "n").agg(
+        F.array_distinct(F.flatten(F.collect_list("places"))).alias("places"), F.min(F.forall("pairs", lambda p: p["a"] == p["b"])).alias("same"), F.flatten(F.collect_list("loose")).alias("loose")
     )
+    both = both.withColumn("loose", F.filter("loose", lambda w: ~F.array_contains("places", w["place"])))
+    found = both.select(
+        "doc_id", "item_id", "n", F.size(F.array_union("places", F.transform("loose", lambda w: w["place"]))).alias("seen"),
+        (F.col("same") & F.forall("loose", lambda w: F.forall(w["pairs"], lambda p: p["a"] == p["b"]))).alias("exact"),
+    )
     return found.select("doc_id", "item_id", (F.col("seen") / F.col("n")).alias("coverage"), "exact").where(F.col("coverage") >= coverage)
 
 

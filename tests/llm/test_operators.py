@@ -196,6 +196,19 @@ def test_templates_catch_new_parameters_and_leave_others(spark):
     assert {r.doc_id for r in decontam.drop_contaminated(table, bench).collect()} == set(docs) - set(got)
 
 
+def test_names_that_open_short_sentences(spark):
+    item = "Anna buys 3 apples at the market. Boris sells 4 pears near the river. Clara eats 5 plums under the tree. Anna gives 2 apples to her friend."
+    docs = {
+        1: item.replace("Anna", "Dora").replace("Boris", "Emil").replace("Clara", "Frida").replace("3", "9"), 2: item,
+        3: "Dora walks slowly along the beach. Emil reads old books in bed. Frida paints small pictures of the sea. Gerd sings loud songs at night.",
+        4: f"Once more: then Dora buys 3 apples at the market. {item[34:]}",
+    }
+    table = spark.createDataFrame(list(docs.items()), "doc_id long, text string")
+    got = {r.doc_id: r for r in decontam.contaminated(table, spark.createDataFrame([(1, item)], "item_id long, text string")).collect()}
+    assert set(got) == {1, 2, 4} and got[1].coverage == 1.0 and not got[1].exact
+    assert got[2].exact and got[2].coverage == 1.0 and not got[4].exact
+
+
 def test_slots_have_to_be_consistent(spark):
     item = "In the game the player 5 gives the ball to player 7 and then the player 5 takes the ball from player 7 while they run in the game"
     bad = "In the game the player 5 gives the ball to player 7 and then the player 6 takes the ball from player 8 while they run in the game"
