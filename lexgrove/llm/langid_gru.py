@@ -2,14 +2,15 @@
 
 Bytes are looked up as gate inputs; a recurrence of ``HIDDEN`` units reads each window of ``SPAN`` bytes forwards and another one backwards, and
 a softmax over both states labels every byte. The network is trained here, in numpy, by backpropagation through time on windows of a bounded
-sample of documents, with the document's language as the label of each position. Scoring runs whole texts, all windows of a batch in step.
+sample of documents, with the document's language as the label of each position. The sample is of ``MAX_TRAIN_ROWS`` documents, and of up to
+``LANGUAGE_ROWS`` ones of each language, so that every language of the table is a class. Scoring runs whole texts, all windows of a batch in step.
 
     z = s(x_z + h U_z)   r = s(x_r + h U_r)   n = tanh(x_n + r * (h U_n))   h' = n + z * (h - n)
 
 A document's probabilities are the means of its positions' ones; its segments are the runs of equal labels (``SMOOTH`` bytes or more; shorter
 runs join the one before).
 
-Results for odd input: a null or empty text has no language (null), probability 0 and no segments; a null language isn't trained on; without any
+Results for odd input: a null or empty text has no language (null), probability 0 and no segments; a null language isn't trained on, nor is a row with a null doc_id; without any
 language, or in an empty table, there is nothing to say and the language is null throughout; repeated rows are labelled each. Other columns are passed over.
 """
 
@@ -19,7 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .bytesops import text_slices
@@ -30,6 +31,8 @@ SPAN = 256
 SMOOTH = 16
 #: At most so many documents are used to train the network.
 MAX_TRAIN_ROWS = 1500
+#: Of each language at least so many documents are among these or are added, or all where it has fewer.
+LANGUAGE_ROWS = 50
 TRAIN_SPAN, TRAIN_BATCH, TRAIN_STEPS = 64, 96, 400
 
 
@@ -157,7 +160,10 @@ class ByteGru:
 
 def fit(docs: DataFrame, max_train_rows: int = MAX_TRAIN_ROWS) -> ByteGru | None:
     chosen = docs.where("doc_id is not null and lang is not null").select(F.col("doc_id").alias("_id")).distinct().orderBy(F.xxhash64("_id"), "_id").limit(max_train_rows)
-    # The parameter bounds this side, so it is small whatever the input.
+    each = docs.where("doc_id is not null and lang is not null and text != ''").select(F.col("doc_id").alias("_id"), "lang").distinct()
+    each = each.withColumn("_k", F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("_id"), "_id"))).where(F.col("_k") <= LANGUAGE_ROWS)
+    chosen = chosen.unionByName(each.select("_id")).distinct()
+    # The parameter and the number of languages bound this side, so it is small whatever the input.
     sample = docs.join(F.broadcast(chosen), docs["doc_id"] == chosen["_id"]).where("lang is not null and text != ''").select("doc_id", "lang", F.encode("text", "UTF-8").alias("text"))
     rows = sorted(sample.collect(), key=lambda r: (r.doc_id, r.lang, bytes(r.text)))
     if not rows:

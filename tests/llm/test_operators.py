@@ -345,6 +345,15 @@ def test_language_of_held_out_documents(spark):
             assert abs(sum(r.probabilities) - 1) < 1e-4
 
 
+def test_every_language_is_a_class(spark):
+    from pyspark.sql import functions as F
+
+    ids = spark.range(400).withColumnRenamed("id", "doc_id")
+    rare = [r.doc_id for r in ids.orderBy(F.xxhash64("doc_id").desc()).limit(2).collect()]  # a sample by hash draws these last
+    docs = ids.withColumn("lang", F.when(F.col("doc_id").isin(rare), "rare").otherwise("en")).withColumn("text", F.concat(F.lit("some words of text "), F.col("doc_id").cast("string")))
+    assert langid_gru.fit(docs, 20).classes == ["en", "rare"]
+
+
 # Language-model scoring
 
 
