@@ -541,16 +541,7 @@ def _hops(name: str, ask: Callable[..., DataFrame], distance: int, both: bool) -
 _hops("graph_categories_k1", graph.categories_of, 1, False)
 _hops("graph_categories_k2", graph.categories_of, 2, False)
 _hops("graph_neighbours_k1", graph.neighbours_of, 1, True)
-
-
-@query(
-    f"""with {_GRAPH_SQL}, step as (select src, dst from edge union select dst, src from edge), st as (select id as start from cat where id < 2000000000000),
-h1 as (select distinct start, dst as id from st join step on src = start), h2 as (select distinct start, dst as id from h1 join step on src = h1.id) select start, id from h1 union select start, id from h2"""
-)
-def graph_neighbours_k2(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two hops both ways around the categories of regions."""
-    g = star_graph(spark, sf_dir)
-    return graph.reachable(graph.both_ways(g.edges), g.categories.where("id < 2000000000000").select(F.col("id").alias("start")), 2)
+_hops("graph_neighbours_k2", graph.neighbours_of, 2, True)
 
 
 # Titles

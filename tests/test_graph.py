@@ -5,9 +5,10 @@ from __future__ import annotations
 import gzip
 
 import pytest
+from conftest import SF
 from pyspark.sql import functions as F
 
-from lexgrove import cli
+from lexgrove import catalog, cli
 from lexgrove.functions.text import tokenize
 from lexgrove.operators import graph, titles
 from lexgrove.sources import dumps, store
@@ -118,3 +119,13 @@ def test_titles(spark):
     assert titles.scan(docs.limit(0), index).count() == 0 and titles.scan(docs, index.limit(0)).count() == 0
     tagged = spark.createDataFrame([(1, ["Apples", "run"], ["NNS", "VBP"], ["apple", "run"])], "doc_id long, words array<string>, tag array<string>, lemma array<string>")
     assert titles.scan(titles.lookup_words(tagged), index).select(F.explode("titles")).first()[0] == "Apple"
+
+
+def test_two_hops_around_all_titles(spark):
+    near = {}
+    for r in catalog.QUERIES["graph_edges"](spark, SF).collect():
+        near.setdefault(r[0], set()).add(r[1])
+        near.setdefault(r[1], set()).add(r[0])
+    one = {(r.title, r.id) for r in catalog.QUERIES["graph_neighbours_k1"](spark, SF).collect()}
+    got = {(r.title, r.id) for r in catalog.QUERIES["graph_neighbours_k2"](spark, SF).collect()}
+    assert got == one | {(t, j) for t, i in one for j in near[i]} and len({t for t, _ in got}) == len({t for t, _ in one}) > 100
