@@ -1,22 +1,26 @@
 """Benchmark decontamination by template canonicalisation.
 
-A text becomes a template: words in lower case, with typed placeholders for numbers, for names (capitalised words that have a small
-letter and don't open a sentence, so that a text all in capitals is compared by its words) and for units (after a number). A capitalised word that opens a sentence may be
+A text becomes a template: words in lower case, with typed placeholders for numbers, for names (words with a capital first letter of any script, that have a
+small letter and don't open a sentence, so that a text all in capitals is compared by its words) and for units (after a number). A capitalised word that opens a sentence may be
 a word or a name: windows over it are emitted for each reading. Windows of ``WINDOW`` template tokens with ``LITERALS`` or more plain words are hashed, and
-the windows of documents and benchmark items are joined on the hash. Along an alignment (document place less item place) the slots must be
-filled consistently: one filler of the item stands for one filler of the document throughout. A window that matches only by an
-opener read as a name counts where its fillers agree with all others of the alignment; else it alone is passed over. An item is found in a document when
-consistent alignments cover ``COVERAGE`` of its windows; with the same fillers everywhere it is an exact leak, else a re-parameterised one.
+the windows of documents and benchmark items are joined on the hash. An item that is shorter has one window of its own length; one that has too few plain words
+for a template is compared word by word, by windows of its fillers.
+
+Along an alignment (document place less item place) the slots must be filled consistently: one filler of the item stands for one filler of the
+document, and the other way round. A window that matches only by an opener read as a name counts where its fillers agree with all others of the
+alignment; else it alone is passed over. The alignments of a document and an item are taken together from the largest down, each if it agrees with those before. An
+item is found when they cover ``COVERAGE`` of its windows; with the same fillers everywhere it is an exact leak, else a re-parameterised one.
 
 Documents are scanned once. Only windows whose hash is among the benchmark's in a bitmap of 2^``FILTER_BITS`` bits leave the scan (the size
 is fixed: a benchmark of many millions of windows lets more through, never fewer), and only these are shuffled or joined.
 
-Results for odd input: null ids or texts match nothing; an item with fewer than ``WINDOW`` tokens, or without a window of enough plain words, has no
-windows and isn't found; repeated rows of a document or an item count once; empty tables give no matches. Other columns are passed over.
+Results for odd input: null ids or texts match nothing; an item of fewer than ``LITERALS`` tokens says too little and isn't found;
+repeated rows of a document or an item count once; empty tables give no matches. Other columns are passed over.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -45,6 +49,8 @@ _DIGIT = np.zeros(256, bool)
 _DIGIT[48:58] = True
 _ENDS = np.zeros(256, bool)
 _ENDS[[33, 46, 63, 10, 58]] = True
+#: Of code points below 2^16: capital and small letters.
+_UPPER, _LOWER = (np.array([f(chr(c)) for c in range(1 << 16)]) for f in (str.isupper, str.islower))
 #: Sign units stand after a number without being words.
 _SIGNS = np.zeros(256, bool)
 _SIGNS[[37]] = True
@@ -56,6 +62,18 @@ def _unit_hashes() -> np.ndarray:
     return np.sort(span_hashes(np.frombuffer(data, np.uint8), ends - [len(u) for u in UNITS], ends))
 
 
+def code_points(data: np.ndarray) -> np.ndarray:
+    """Code point of the character that starts at each byte, below 2^16; 0 for other characters and at bytes within one."""
+    out = np.where(data < 128, data, 0).astype(np.uint16)
+    for low, high, n in ((0xC2, 0xDF, 2), (0xE0, 0xEF, 3)):
+        at = np.flatnonzero((data[: len(data) - n + 1] >= low) & (data[: len(data) - n + 1] <= high))
+        code = (data[at] & (0x1F if n == 2 else 0x0F)).astype(np.uint32)
+        for k in range(1, n):
+            code = (code << 6) | (data[at + k] & 0x3F)
+        out[at] = code
+    return out
+
+
 def template(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Template tokens (hashes), fillers (hashes as in the text), whether each is a slot, whether each may be a name that opens a sentence, and the index of each row's first token."""
     inside = _WORD[data]
@@ -67,20 +85,17 @@ def template(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     if not len(starts):
         return np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, bool), np.zeros(0, bool), rows
     h = span_hashes(fold(data), starts, ends)
-    lead = data[starts]
-    number = _DIGIT[lead]
-    second = data[np.minimum(starts + 1, len(data) - 1)]
-    capital = ((lead >= 65) & (lead <= 90)) | ((lead == 0xC3) & (second >= 0x80) & (second <= 0x9E))
+    number = _DIGIT[data[starts]]
+    letters = code_points(data)
+    capital = _UPPER[letters[starts]]
     # A sentence opens at the start of a row, or when the gap before the word has an end sign.
     marks = np.zeros(len(data) + 1, np.int64)
     np.cumsum(_ENDS[data] & ~inside, out=marks[1:])
     opens = np.ones(len(starts), bool)
     opens[1:] = marks[starts[1:]] > marks[ends[:-1]]
     opens[rows[:-1][rows[:-1] < len(starts)]] = True
-    small = (data >= 97) & (data <= 122)
-    small[1:] |= (data[:-1] == 0xC3) & (data[1:] >= 0xA0)
     smalls = np.zeros(len(data) + 1, np.int64)
-    np.cumsum(small, out=smalls[1:])
+    np.cumsum(_LOWER[letters], out=smalls[1:])
     named = capital & ~number & (smalls[ends] > smalls[starts])
     name = named & ~opens
     after = np.zeros(len(starts), bool)
@@ -92,101 +107,150 @@ def template(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     return token, h, number | name | unit, named & opens & ~unit, rows
 
 
-def windows(data: np.ndarray, offsets: np.ndarray, passes: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, ...]]:
-    """Row, place in the row, hash, whether an opener is read as a name, and slots (place in the window and filler) of windows with enough plain words; of those in the filter only where one is given."""
-    token, filler, slot, opener, rows = template(data, offsets)
-    row, at = within_rows(rows, WINDOW)
+#: Length of a window, and whether it is of the fillers and not of the template.
+KINDS = [(WINDOW, False), *((n, False) for n in range(WINDOW - 1, LITERALS - 1, -1)), *((n, True) for n in range(WINDOW, LITERALS - 1, -1))]
+
+
+def windows(parts: tuple[np.ndarray, ...], kind: int, passes: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, ...]]:
+    """Row, place in the row, hash, whether an opener is read as a name, and slots (place in the window and filler) of a template's windows; only those in the filter where one is given."""
+    token, filler, slot, opener, rows = parts
+    length, literal = KINDS[kind]
+    row, at = within_rows(rows, length)
     if not len(at):
         return
+    if literal:
+        token, slot, opener = filler, np.zeros_like(slot), np.zeros_like(opener)
     slots = np.zeros(len(slot) + 1, np.int64)
     np.cumsum(slot, out=slots[1:])
-    plain = WINDOW - (slots[at + WINDOW] - slots[at])
-    openers = np.zeros(len(token) - WINDOW + 1, np.int64)
-    for k in range(WINDOW):
+    plain = length - (slots[at + length] - slots[at])
+    openers = np.zeros(len(token) - length + 1, np.int64)
+    for k in range(length):
         openers |= opener[k : k + len(openers)].astype(np.int64) << k
     openers = openers[at]
     there = np.unique(openers)
-    for read in range(1 << WINDOW):  # the openers that are read as names
+    for read in range(1 << length):  # the openers that are read as names
         if not ((there & read) == read).any():
             continue
         good = plain - read.bit_count() >= LITERALS
         good &= (openers & read) == read
         some = np.flatnonzero(good)
         if read:
-            tokens = token[at[some][:, None] + np.arange(WINDOW)]
-            tokens[:, [k for k in range(WINDOW) if read >> k & 1]] = _NAME
-            h = ngram_hashes(tokens.ravel(), WINDOW)[::WINDOW] if len(some) else np.zeros(0, np.uint64)
+            tokens = token[at[some][:, None] + np.arange(length)]
+            tokens[:, [k for k in range(length) if read >> k & 1]] = _NAME
+            h = ngram_hashes(tokens.ravel(), length)[::length] if len(some) else np.zeros(0, np.uint64)
         else:
-            h = ngram_hashes(token, WINDOW)[at[some]]
+            h = ngram_hashes(token, length)[at[some]]
+        if kind:  # kinds have no window in common
+            h = mix(h + np.uint64(kind))
         if passes is not None:
             bit = (h >> np.uint64(64 - FILTER_BITS)).astype(np.int64)
             let = (passes[bit >> 3] >> (bit & 7).astype(np.uint8) & 1).astype(bool)
             some, h = some[let], h[let]
-        where, which = np.nonzero(slot[at[some][:, None] + np.arange(WINDOW)] | np.array([bool(read >> k & 1) for k in range(WINDOW)])) if len(some) else (np.zeros(0, np.int64),) * 2
+        where, which = np.nonzero(slot[at[some][:, None] + np.arange(length)] | np.array([bool(read >> k & 1) for k in range(length)])) if len(some) else (np.zeros(0, np.int64),) * 2
         first = np.searchsorted(where, np.arange(len(some) + 1))
         yield row[some], at[some] - rows[row[some]], h, np.full(len(some), read > 0), first, which, filler[at[some][where] + which]
 
 
-_WINDOWS = "id long, place int, h long, loose boolean, slots array<int>, fillers array<long>"
+def kinds_of(parts: tuple[np.ndarray, ...]) -> np.ndarray:
+    """The kind of each row's windows: the first that has one (-1: none)."""
+    rows = parts[-1]
+    out = np.full(len(rows) - 1, -1)
+    for kind in range(len(KINDS) - 1, -1, -1):
+        for row, *_ in windows(parts, kind):
+            out[row] = kind
+            break  # the first has the openers as words
+    return out
+
 
+_WINDOWS = "id long, kind int, place int, h long, loose boolean, slots array<int>, fillers array<long>"
 
-def _emit(passes):  # noqa: ANN001, ANN202
+
+def _emit(passes, kinds: list[int] | None):  # noqa: ANN001, ANN202
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = None if passes is None else passes.value
         for batch in batches:
             for a, _, data, offsets in text_slices(batch["text"]):
-                for row, place, h, loose, first, slots, fillers in windows(data, offsets, bits):
-                    flat = pa.array(first, pa.int32())
-                    yield pa.RecordBatch.from_arrays([
-                        batch["id"].take(pa.array(row + a)).cast(pa.int64()), pa.array(place, pa.int32()), pa.array(h.view(np.int64)), pa.array(loose),
-                        pa.ListArray.from_arrays(flat, pa.array(slots, pa.int32())), pa.ListArray.from_arrays(flat, pa.array(fillers.view(np.int64))),
-                    ], ["id", "place", "h", "loose", "slots", "fillers"])
+                parts = template(data, offsets)
+                own = kinds_of(parts) if kinds is None else None
+                for kind in kinds if own is None else np.unique(own[own >= 0]).tolist():
+                    for row, place, h, loose, first, slots, fillers in windows(parts, kind, bits):
+                        flat = pa.array(first, pa.int32())
+                        made = pa.RecordBatch.from_arrays([
+                            batch["id"].take(pa.array(row + a)).cast(pa.int64()), pa.array(np.full(len(row), kind), pa.int32()), pa.array(place, pa.int32()), pa.array(h.view(np.int64)), pa.array(loose),
+                            pa.ListArray.from_arrays(flat, pa.array(slots, pa.int32())), pa.ListArray.from_arrays(flat, pa.array(fillers.view(np.int64))),
+                        ], ["id", "kind", "place", "h", "loose", "slots", "fillers"])
+                        yield made if own is None else made.filter(pa.array(own[row] == kind))
 
     return run
 
 
-def _windows(texts: DataFrame, key: str, passes) -> DataFrame:  # noqa: ANN001
+def _windows(texts: DataFrame, key: str, passes, kinds: list[int] | None) -> DataFrame:  # noqa: ANN001
     some = texts.select(F.col(key).alias("id"), "text").where("id is not null and text is not null")
-    return some.mapInArrow(_emit(passes), _WINDOWS)
+    return some.mapInArrow(_emit(passes, kinds), _WINDOWS)
+
+
+def _clashes(pairs: set[tuple[int, int]]) -> tuple[set[int], set[int]]:
+    """Fillers of the item that stand for several, and fillers of the document that several stand for."""
+    left, right = Counter(a for a, _ in pairs), Counter(b for _, b in pairs)
+    return {a for a, n in left.items() if n > 1}, {b for b, n in right.items() if n > 1}
+
+
+def covered(hits: list[tuple[int, int, bool, list[tuple[int, int]]]]) -> tuple[int, bool]:
+    """Number of the item's windows that consistent alignments have, and whether all fillers are the same. hits: (item place, shift, loose, pairs of fillers)."""
+    alignments: dict[int, list] = {}
+    for place, shift, loose, pairs in hits:
+        alignments.setdefault(shift, []).append((place, loose, pairs))
+    fair = []
+    for shift, found in alignments.items():
+        strict = {p for _, loose, pairs in found if not loose for p in pairs}
+        if any(_clashes(strict)):
+            continue
+        places = {place for place, loose, _ in found if not loose}
+        loosely = [(place, pairs) for place, loose, pairs in found if loose and place not in places]
+        a_bad, b_bad = _clashes(strict | {p for _, pairs in loosely for p in pairs})
+        for place, pairs in loosely:
+            if not any(a in a_bad or b in b_bad for a, b in pairs):
+                places.add(place)
+                strict.update(pairs)
+        fair.append((-len(places), shift, places, strict))
+    seen: set[int] = set()
+    agreed: set[tuple[int, int]] = set()
+    for _, _, places, pairs in sorted(fair, key=lambda x: x[:2]):
+        if not any(_clashes(agreed | pairs)):
+            agreed |= pairs
+            seen |= places
+    return len(seen), all(a == b for a, b in agreed)
+
+
+_FOUND = "doc_id long, item_id long, coverage double, exact boolean"
+
+
+def _cover(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        out = []
+        for doc, item, n, hits in zip(*(batch[c].to_pylist() for c in ("doc_id", "item_id", "n", "hits")), strict=True):
+            seen, exact = covered([(h["item_place"], h["shift"], h["loose"], list(zip(h["item_fillers"], h["fillers"], strict=True))) for h in hits])
+            out.append((doc, item, seen / n, exact))
+        columns = zip(*out, strict=True) if out else ([], [], [], [])
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.float64(), pa.bool_()), strict=True)], ["doc_id", "item_id", "coverage", "exact"])
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE) -> DataFrame:
     """(doc_id, item_id, coverage, exact): the benchmark items found in each document."""
     spark = docs.sparkSession
-    items = _windows(benchmark, "item_id", None).dropDuplicates(["id", "place", "h"])
+    items = _windows(benchmark, "item_id", None, None).distinct()
     bits = np.zeros(1 << (FILTER_BITS - 3), np.uint8)
-    # At most 2^FILTER_BITS numbers, whatever the size of the benchmark.
-    bucket = np.array(items.select(F.shiftrightunsigned("h", 64 - FILTER_BITS).alias("b")).distinct().toPandas()["b"], np.int64)
+    # At most 2^FILTER_BITS numbers for each of the few kinds, whatever the size of the benchmark.
+    buckets = items.select("kind", F.shiftrightunsigned("h", 64 - FILTER_BITS).alias("b")).distinct().toPandas()
+    bucket = np.array(buckets["b"], np.int64)
     np.bitwise_or.at(bits, bucket >> 3, (1 << (bucket & 7)).astype(np.uint8))
+    kinds = sorted({int(k) for k in buckets["kind"].unique()})
     sizes = items.groupBy("id").agg(F.countDistinct("place").alias("n"))
     items = items.join(sizes, "id").select(F.col("id").alias("item_id"), F.col("place").alias("item_place"), "h", F.col("loose").alias("item_loose"), F.col("fillers").alias("item_fillers"), "n")
-    hits = _windows(docs, "doc_id", spark.sparkContext.broadcast(bits)).join(items, "h").select(
-        F.col("id").alias("doc_id"), "item_id", "n", "item_place", (F.col("place") - F.col("item_place")).alias("shift"), (F.col("loose") | F.col("item_loose")).alias("loose"),
-        F.transform(F.arrays_zip("slots", "item_fillers", "fillers"), lambda s: F.struct((s["slots"] + F.col("item_place")).alias("slot"), s["item_fillers"].alias("a"), s["fillers"].alias("b"))).alias("pairs"),
-    ).withColumn("pairs", F.coalesce("pairs", F.array()))
-    strict = F.when(~F.col("loose"), F.col("pairs"))
-    aligned = hits.groupBy("doc_id", "item_id", "n", "shift").agg(
-        F.collect_set(F.when(~F.col("loose"), F.col("item_place"))).alias("places"), F.array_distinct(F.flatten(F.collect_set(strict))).alias("pairs"),
-        F.collect_set(F.when(F.col("loose"), F.struct(F.col("item_place").alias("place"), "pairs"))).alias("loose"),
-    )
-    # Consistent: as many (item filler, document filler) couples as item fillers.
-    couples = F.array_distinct(F.transform("pairs", lambda p: F.struct(p["a"], p["b"])))
-    fillers = F.array_distinct(F.transform("pairs", lambda p: p["a"]))
-    fair = aligned.where(F.size(couples) == F.size(fillers))
-    # Of windows with an opener read as a name: those at places that have no other match, if all their fillers stand for one filler each.
-    fair = fair.withColumn("loose", F.filter("loose", lambda w: ~F.array_contains("places", w["place"])))
-    fair = fair.withColumn("all", F.array_distinct(F.transform(F.concat("pairs", F.flatten(F.transform("loose", lambda w: w["pairs"]))), lambda p: F.struct(p["a"].alias("a"), p["b"].alias("b")))))
-    fair = fair.withColumn("clash", F.transform(F.filter("all", lambda c: F.exists("all", lambda d: (d["a"] == c["a"]) & (d["b"] != c["b"]))), lambda c: c["a"]))
-    fair = fair.withColumn("loose", F.filter("loose", lambda w: ~F.exists(w["pairs"], lambda p: F.array_contains("clash", p["a"]))))
-    both = fair.groupBy("doc_id", "item_id", "n").agg(
-        F.array_distinct(F.flatten(F.collect_list("places"))).alias("places"), F.min(F.forall("pairs", lambda p: p["a"] == p["b"])).alias("same"), F.flatten(F.collect_list("loose")).alias("loose")
-    )
-    both = both.withColumn("loose", F.filter("loose", lambda w: ~F.array_contains("places", w["place"])))
-    found = both.select(
-        "doc_id", "item_id", "n", F.size(F.array_union("places", F.transform("loose", lambda w: w["place"]))).alias("seen"),
-        (F.col("same") & F.forall("loose", lambda w: F.forall(w["pairs"], lambda p: p["a"] == p["b"]))).alias("exact"),
-    )
-    return found.select("doc_id", "item_id", (F.col("seen") / F.col("n")).alias("coverage"), "exact").where(F.col("coverage") >= coverage)
+    hit = F.struct("item_place", (F.col("place") - F.col("item_place")).alias("shift"), (F.col("loose") | F.col("item_loose")).alias("loose"), "item_fillers", "fillers")
+    # Hits of one document and one item meet; there are as many at most as the document has windows.
+    hits = _windows(docs, "doc_id", spark.sparkContext.broadcast(bits), kinds).join(items, "h").groupBy(F.col("id").alias("doc_id"), "item_id", "n").agg(F.collect_set(hit).alias("hits"))
+    return hits.mapInArrow(_cover, _FOUND).where(F.col("coverage") >= coverage)
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

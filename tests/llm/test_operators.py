@@ -217,6 +217,88 @@ def test_slots_have_to_be_consistent(spark):
     assert [r.doc_id for r in decontam.contaminated(table, spark.createDataFrame([(1, item)], "item_id long, text string")).collect()] == [1]
 
 
+def found(spark, texts, items):
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    return {(r.doc_id, r.item_id): r for r in decontam.contaminated(table, spark.createDataFrame(list(enumerate(items)), "item_id long, text string")).collect()}
+
+
+def test_slots_are_paired_one_to_one_and_over_all_alignments(spark):
+    item = "In the game the player 5 gives the ball to player 7 and then the player 5 takes the ball from player 7 while they run in the game"
+    merged = item.replace("7", "5").replace("5", "1")
+    # Two more words in the middle; from there on the players are others.
+    apart = "In the game the player 1 gives the ball to player 2 and then after all the player 3 takes the ball from player 4 while they run in the game"
+    agreed = apart.replace("3", "1").replace("4", "2")
+    got = found(spark, [merged, apart, agreed], [item])
+    assert (0, 0) not in got and got[2, 0].coverage > 0.6
+    assert (1, 0) not in got or got[1, 0].coverage < got[2, 0].coverage
+
+
+def test_short_items_and_names_of_any_script(spark):
+    items = ["What is 7 times 6 ?", "7 + 5 = 12", "two words", "it was 3", "Сколько яблок купил Иван у Ольги вчера утром на рынке", "pytanie o to co kupił Łukasz od pani Żanety na targu"]
+    texts = [
+        "Look: What is 7 times 6 ? Well.", "so what is 12 times 9 now", "and 7 + 5 = 12 there", "and 7 + 6 = 13 there", "two words", "it was 3",
+        "Сколько яблок купил Пётр у Елены вчера утром на рынке", "pytanie o to co kupił Józef od pani Ęwy na targu", "the cat is on 7 mats, 6 times",
+    ]
+    got = found(spark, texts, items)
+    assert set(got) == {(0, 0), (1, 0), (2, 1), (5, 3), (6, 4), (7, 5)}
+    assert got[0, 0].exact and not got[1, 0].exact and got[2, 1].exact and not got[6, 4].exact and got[6, 4].coverage == 1.0
+
+
+def test_decontamination_against_brute_force(spark):
+    rng = random.Random(21)
+    plain, names, W, L = ["ham", "egg", "jam", "tea"], ["Anna", "Bob", "Cleo"], decontam.WINDOW, decontam.LITERALS
+
+    def text(n):
+        return [rng.choice(plain) if rng.random() < 0.7 or k == 0 else rng.choice(names) if rng.random() < 0.5 else str(rng.randint(1, 3)) for k in range(n)]
+
+    items = [text(rng.randint(1, 16)) for _ in range(30)]
+    texts = []
+    for _ in range(120):
+        own = list(rng.choice(items))
+        if rng.random() < 0.7:
+            to = dict(zip(names, rng.sample(names, 3), strict=True)) if rng.random() < 0.5 else {n: rng.choice(names) for n in names}
+            own = [to.get(w, w) for w in own]
+        if rng.random() < 0.4:
+            own.insert(rng.randint(0, len(own)), "tea")
+        texts.append(text(rng.randint(1, 6)) + own + text(rng.randint(0, 6)))
+
+    def slot(w):
+        return "#" if w.isdigit() else "@" if w[0].isupper() else ""
+
+    def grams(w, n, literal):
+        out = {}
+        for k in range(len(w) - n + 1):
+            part = w[k : k + n]
+            kept = tuple(x if literal else slot(x) or x for x in part)
+            if literal or sum(not slot(x) for x in part) >= L:
+                out[k] = (kept, [] if literal else [x for x in part if slot(x)])
+        return out
+
+    want = {}
+    for j, item in enumerate(items):
+        for n, literal in [(W, False), *((n, False) for n in range(W - 1, L - 1, -1)), *((n, True) for n in range(W, L - 1, -1))]:
+            own = grams(item, n, literal)
+            if own:
+                break
+        for i, t in enumerate(texts):
+            by = defaultdict(lambda: (set(), set()))
+            for k, (g, f) in grams(t, n, literal).items():
+                for p, (h, e) in own.items():
+                    if g == h:
+                        by[k - p][0].add(p)
+                        by[k - p][1].update(zip(e, f, strict=True))
+            fair = lambda pairs: len(pairs) == len({a for a, _ in pairs}) == len({b for _, b in pairs})
+            seen, agreed = set(), set()
+            for shift in sorted(by, key=lambda s: (-len(by[s][0]), s)):
+                if fair(by[shift][1]) and fair(agreed | by[shift][1]):
+                    agreed |= by[shift][1]
+                    seen |= by[shift][0]
+            if own and len(seen) >= decontam.COVERAGE * len(own):
+                want[i, j] = (len(seen) / len(own), all(a == b for a, b in agreed))
+    got = found(spark, [" ".join(t) for t in texts], [" ".join(t) for t in items])
+    assert {k: (r.coverage, r.exact) for k, r in got.items()} == want and len(want) > 100
+
+
 # Packing
 
 
