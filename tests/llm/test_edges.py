@@ -42,7 +42,7 @@ OPERATORS = {
     "toxicity": lambda d, labels, b: toxicity.toxicity(d, labels),
     "media": lambda d, labels, b: media_audio.audio_features(d, "text"),
     "langid": lambda d, labels, b: langid_gru.identify(d),
-    "lm": lambda d, labels, b: zm_parse.cross_parse(d, labels),
+    "lm": lambda d, labels, b: zm_parse.cross_parse(d),
     "packing": lambda d, labels, b: packing.pack(d),
     "packing_stage": lambda d, labels, b: packing.pack_with_text(d),
     "quality": lambda d, labels, b: quality_fm.quality(d, labels),

@@ -439,20 +439,34 @@ def test_every_language_is_a_class(spark):
 # Language-model scoring
 
 
-@settings(max_examples=150, deadline=None)
-@given(st.lists(st.lists(st.integers(0, 3), max_size=12), max_size=4), st.lists(st.integers(0, 4), max_size=15))
-def test_cross_parse_against_brute_force(reference, text):
-    made = zm_parse.SuffixAutomaton()
-    for r in reference:
-        made.add(r)
-    has = {tuple(r[i:j]) for r in reference for i in range(len(r)) for j in range(i + 1, len(r) + 1)}
-    count, i = 0, 0
-    while i < len(text):
+def exact_phrases(text, reference):
+    """The greedy parse against all substrings of the reference texts."""
+    has = {tuple(r[a:b]) for r in reference for a in range(len(r)) for b in range(a + 1, len(r) + 1)}
+    at = count = 0
+    while at < len(text):
         n = 1
-        while i + n < len(text) and tuple(text[i : i + n + 1]) in has:
+        while at + n < len(text) and tuple(text[at : at + n + 1]) in has:
             n += 1
-        i, count = i + n, count + 1
-    assert made.phrases(text) == count and made.size == sum(map(len, reference))
+        at, count = at + n, count + 1
+    return count
+
+
+def windowed_phrases(text, reference):
+    """The greedy parse against strings whose substrings of the lengths of ROUNDS all are in the reference texts."""
+    levels = [n for r in zm_parse.ROUNDS for n in r]
+    has = {tuple(r[a : a + n]) for r in reference for n in levels for a in range(len(r) - n + 1)}
+    at = count = 0
+    while at < len(text):
+        n = 1
+        while at + n < len(text) and all(tuple(text[k : k + m]) in has for m in levels if m <= n + 1 for k in range(at, at + n + 2 - m)):
+            n += 1
+        at, count = at + n, count + 1
+    return count
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.integers(0, 3), max_size=60))
+def test_own_parse(text):
     seen, now, own = set(), (), 0
     for c in text:
         now += (c,)
@@ -462,57 +476,50 @@ def test_cross_parse_against_brute_force(reference, text):
     assert zm_parse.own_phrases(text) == own + bool(now)
 
 
-def test_scores_of_documents(spark):
-    rng = random.Random(9)
-    texts = [prose(rng, 60) for _ in range(40)] + ["zzq " * 30, " ".join(f"w{k}" for k in range(60))]
-    docs = docs_of(spark, texts)
-    labels = spark.createDataFrame([(k, 1, 0) for k in range(40)], "doc_id long, quality int, toxic int")
-    for size in (zm_parse.SHARD_BYTES, 4000):
-        rows = {r.doc_id: r for r in zm_parse.cross_parse(docs, labels, size).collect()}
-        assert len(rows) == 42 and all(r.n_symbols == len(texts[i].split()) for i, r in rows.items())
-        scored = [r for i, r in rows.items() if i < 40 and r.phrases is not None]
-        assert scored and all(r.phrases <= 60 for r in scored) and rows[41].phrases in (60, None)
-        for r in scored:
-            assert abs(r.cross_entropy - r.phrases * math.log2(r.reference_symbols) / r.n_symbols) < 1e-9
-
-
-def test_scores_are_against_all_good_text_but_the_documents_own(spark):
+def test_cross_parse_against_brute_force(spark):
     rng = random.Random(10)
     few = WORDS[:6]
     texts = [" ".join(rng.choice(few) for _ in range(rng.randint(1, 50))) for _ in range(60)]
-    texts += [texts[0], texts[3], texts[59]]
-    langs = ["en"] * 50 + ["xx"] * 13
-    rows = [(k, t, lang) for k, (t, lang) in enumerate(zip(texts, langs, strict=True))] + [(70, "alone here", "yy"), (71, "apart", "yy"), (None, texts[5], "en"), (2, texts[4], "en"), (72, "one", "zz")]
+    texts += [texts[0], texts[3], texts[59], prose(rng, 300), prose(rng, 5)]
+    texts += [f"{prose(rng, 3)} {texts[63][400:900].strip()}", "", None, " \n", "Odd, odd! odd? 3.5 é"]
+    langs = ["en"] * 50 + ["xx"] * 13 + ["en"] * 7
+    rows = [(k, t, lang) for k, (t, lang) in enumerate(zip(texts, langs, strict=True))] + [(80, "alone here", "yy"), (81, "apart", "yy"), (None, texts[5], "en"), (2, texts[4], "en"), (2, texts[4], "en"), (82, "one", "zz"), (83, "null one", None), (84, "one null", "")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
-    good = {*range(0, 50, 2), 51, 62, 70, 72}
-    labels = spark.createDataFrame([(k, 1) for k in good], "doc_id long, quality int")
-
-    def brute(i, text, lang):
-        reference = [t.split() for j, t, other in rows if j in good and j != i and other == lang]
-        has = {tuple(r[a:b]) for r in reference for a in range(len(r)) for b in range(a + 1, len(r) + 1)}
-        w, at, count = text.split(), 0, 0
-        while at < len(w):
-            n = 1
-            while at + n < len(w) and tuple(w[at : at + n + 1]) in has:
-                n += 1
-            at, count = at + n, count + 1
-        return (i, len(w), sum(map(len, reference)), count if reference else None)
-
-    want = sorted((brute(*r) for r in rows), key=str)
-    for size in (zm_parse.SHARD_BYTES, 400, 30):
-        got = zm_parse.cross_parse(docs, labels, size).collect()
-        assert sorted(((r.doc_id, r.n_symbols, r.reference_symbols, r.phrases) for r in got), key=str) == want
-        # A language with one good document: the others are scored, only that one isn't.
-        assert {r.doc_id for r in got if r.cross_entropy is None} == {70, 72}
-
-
-def test_a_rare_language_is_scored_on_a_large_table(spark):
+
+    def split(t):
+        data, offsets = bytesops.column_bytes(pa.array([t], pa.string()))
+        return zm_parse.symbols(data, offsets)[0].tolist()
+
+    parts = [split(t) for _, t, _ in rows]
+    want = []
+    for k, (i, _, lang) in enumerate(rows):
+        reference = [p for j, p in enumerate(parts) if j != k and (rows[j][2] or "") == (lang or "")]
+        size, n = sum(map(len, reference)), len(parts[k])
+        c = windowed_phrases(parts[k], reference)
+        want.append((i, n, size, c))
+        if n <= 4:
+            assert c == exact_phrases(parts[k], reference)
+    for chunk, bucket in ((zm_parse.CHUNK, zm_parse.BUCKET), (200, 50), (1, 1000)):
+        got = zm_parse.cross_parse(docs.repartition(3), chunk, bucket).collect()
+        assert sorted(((r.doc_id, r.n_symbols, r.reference_symbols, r.phrases) for r in got), key=str) == sorted(want, key=str)
+        assert [r.doc_id for r in got if r.cross_entropy is None] and {r.doc_id for r in got if r.cross_entropy is None} == {66, 67, 68, 82}
+        for r in got:
+            if r.cross_entropy is not None:
+                cost = r.phrases * math.log2(max(2, r.reference_symbols))
+                assert abs(r.cross_entropy - cost / r.n_symbols) < 1e-9 and abs(r.relative_entropy - (cost - r.own_phrases * math.log2(r.own_phrases)) / r.n_symbols) < 1e-9
+
+
+def test_copies_score_apart_wherever_they_lie(spark):
     rng = random.Random(13)
-    rows = [(k, prose(rng, 40), "en") for k in range(200)] + [(k, prose(rng, 20), "rare") for k in range(200, 230)]
-    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
-    labels = spark.createDataFrame([(k, 1) for k in [*range(0, 200, 3), 200, 201]], "doc_id long, quality int")
-    got = zm_parse.cross_parse(docs, labels, 50).collect()
-    assert len(got) == 230 and all(r.cross_entropy is not None for r in got)
+    rows = [(k, prose(rng, 80), "en") for k in range(200)] + [(200 + k, t, "en") for k, t in enumerate(prose(rng, 80) for _ in range(5))]
+    rows += [(300 + i, t, "en") for i, t, _ in rows[200:205]]
+    got = {r.doc_id: r for r in zm_parse.cross_parse(spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(7), 500, 700).collect()}
+    copies = {i for i in got if i >= 200}
+    assert all(got[i].phrases == 1 for i in copies) and min(r.cross_entropy for i, r in got.items() if i not in copies) > 10 * max(got[i].cross_entropy for i in copies)
+    # Texts of another language change nothing.
+    more = rows + [(1000 + k, t, "fr") for k, (_, t, _) in enumerate(rows[:50])]
+    again = {r.doc_id: r for r in zm_parse.cross_parse(spark.createDataFrame(more, "doc_id long, text string, lang string"), 500, 700).collect()}
+    assert all(again[i].cross_entropy == r.cross_entropy for i, r in got.items())
 
 
 # Audio
