@@ -10,8 +10,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: A token is a run of letters and digits, or a single other sign; the same in Java, RE2 and Python.
-TOKEN = r"[\p{L}\p{N}]+|[^\p{L}\p{N}\s]"
+#: Abbreviations of at most three letters that keep their full stop.
+ABBREVIATIONS = "Mr Mrs Ms Dr St Sr Jr vs etc eg ie cf al Inc Ltd Co No Nos Num Fig Vol pp Jan Feb Apr Jun Jul Aug Sep Oct Nov Dec Sgt Lt Col Gov Rev Hon Mt Ave".split()
+#: A token is letters with full stops between and after them (U.S.), an abbreviation with its full stop, a number with points or commas between its digits, a
+#: run of letters and digits, or a single other sign; the same in Java, RE2 and Python.
+TOKEN = rf"(?:\p{{L}}\.){{2,}}|(?:{'|'.join(ABBREVIATIONS)})\.|\p{{N}}+(?:[.,]\p{{N}}+)+|[\p{{L}}\p{{N}}]+|[^\p{{L}}\p{{N}}\s]"
 
 STOP_WORDS = (
     "a about above after again against all am an and any are as at be because been before being below between both but by can could did do does doing down during each few for from further had has have having he her here hers "

@@ -1,4 +1,7 @@
-"""Labels: named rules over tokens, labels that pass between an abbreviation and its long form, and overlaps resolved."""
+"""Labels: named rules over tokens, labels that pass between an abbreviation and its long form, and overlaps resolved.
+
+Results for odd input: documents without words have no labels; rows that repeat an id are labelled each, with their own texts; a null doc_id's labels stay, but pass nothing on;
+columns that aren't named here aren't read."""
 
 from __future__ import annotations
 
@@ -19,16 +22,14 @@ def label_rules(labels: list[tuple[str, list[list[dict]]]], validate: bool = Fal
 
 def labelled(docs: DataFrame, rules: RuleSet, key: str = "doc_id") -> DataFrame:
     """key, start, end, label, text of all matches."""
-    found = match(docs, rules, key).select(key, "start", "end", F.col("rule").alias("label"))
-    text = F.array_join(F.slice("words", F.col("start") + 1, F.col("end") - F.col("start")), " ")
-    return found.join(docs.select(key, "words"), key).withColumn("text", text).drop("words")
+    return match(docs, rules, key, text=True).select(key, "start", "end", F.col("rule").alias("label"), "text")
 
 
 def pass_through_abbreviations(labels: DataFrame, abbrs: DataFrame) -> DataFrame:
     """labels (doc_id, start, end, label, text) and a span for each pair of abbrs of which only one side's text is labelled; a text with several labels passes on
     the one that is last in the order (start, longest first, label)."""
     last = Window.partitionBy("doc_id", "text").orderBy(F.col("start").desc(), "end", F.col("label").desc())
-    by_text = labels.withColumn("_k", F.row_number().over(last)).where("_k = 1").select("doc_id", "text", "label")
+    by_text = labels.select("doc_id", "text", "label", F.row_number().over(last).alias("k")).where("k = 1")
     side = lambda s: by_text.select("doc_id", F.col("text").alias(f"{s}_text"), F.col("label").alias(f"{s}_label"))
     both = abbrs.join(side("short"), ["doc_id", "short_text"], "left").join(side("long"), ["doc_id", "long_text"], "left")
     pick = lambda to, of: both.where(f"{to}_label is null and {of}_label is not null").select("doc_id", F.col(f"{to}_start").alias("start"), F.col(f"{to}_end").alias("end"), F.col(f"{of}_label").alias("label"), F.col(f"{to}_text").alias("text"))

@@ -3,8 +3,12 @@
 A pattern's distinct token tests make a symbol for each token, and the pattern an ordinary regular expression over the symbols. From each start there is at
 most one match, the one that the expression prefers; matches that end where an earlier one does are dropped, and so are repeats within a rule.
 
-``match`` runs any number of rules in one pass: tests are evaluated on the distinct values of an Arrow batch only, and a pattern looks at the documents only that have a token for
-each of the tests it can't do without. There is no shuffle. ``match_native`` does one pattern in built-in expressions; it is quadratic in the length of a document.
+``match`` runs any number of rules in one pass: tests are evaluated on the distinct values of an Arrow batch only, values to be equal to are looked up, and a pattern looks at the documents only that have a
+token for each of the tests it can't do without, found through the tokens of each value. So the cost of a rule follows its hits, and thousands of rules cost little
+more than one. There is no shuffle. ``match_native`` does one pattern in built-in expressions; it is quadratic in the length of a document.
+
+Results for odd input: null or empty ``words`` have no match; a null key stays null; rows that repeat a key are matched each, with their own text; a null annotation fits no test but
+NOT_IN and "!"; other columns aren't read, whatever their names.
 """
 
 from __future__ import annotations
@@ -14,6 +18,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -42,6 +47,8 @@ def value_test(test: Test, compat: bool) -> Callable[[object], bool]:
         has = tx.value_flag(test.attr)
         return lambda v: has(v) is test.value
     lower = test.attr in ("LOWER", "LENGTH") and not test.extension
+    if test.attr == "LEMMA" and not test.extension:
+        of = lambda v: v.lower() if isinstance(v, str) else v
     if test.kind == "eq":
         want = test.value.lower() if lower and isinstance(test.value, str) else test.value
         if isinstance(want, bool):
@@ -85,50 +92,93 @@ class _Batch:
             self.flat[name] = got.flatten()
             if len(self.flat[name]) != len(self.flat["words"]):
                 raise ValueError(f"{column} hasn't a value for each token")
+            if name == "NORM":
+                self.flat[name] = pc.coalesce(self.flat[name].cast(pa.string()), pc.utf8_lower(self.flat["words"]))
         self.codes: dict[str, tuple[np.ndarray, list]] = {}
+        self.places: dict[str, tuple[np.ndarray, np.ndarray]] = {}
+        self.found: dict[tuple[str, str], dict[str, list[int]] | None] = {}
         self.tests: dict[tuple[Test, bool], np.ndarray] = {}
-        self.units: dict[Unit, np.ndarray] = {}
-        self._doc: np.ndarray | None = None
-
-    @property
-    def doc(self) -> np.ndarray:
-        if self._doc is None:
-            self._doc = np.repeat(np.arange(self.n), np.diff(self.first))
-        return self._doc
 
     def encoded(self, name: str) -> tuple[np.ndarray, list]:
+        """The code of each token's value, and the values."""
         if name not in self.codes:
             got = self.flat[name].dictionary_encode(null_encoding="encode")
             self.codes[name] = (got.indices.to_numpy(zero_copy_only=False), got.dictionary.to_pylist())
         return self.codes[name]
 
-    def test(self, test: Test, compat: bool) -> np.ndarray:
-        if (test, compat) not in self.tests:
-            name = f"_.{test.attr}" if test.extension else (test.attr if test.attr in self.flat else "words")
-            codes, values = self.encoded(name)
-            fits = value_test(test, compat)
-            by_value = np.fromiter((fits(v) for v in values), bool, len(values))
-            self.tests[test, compat] = by_value[codes] if len(values) else np.zeros(0, bool)
-        return self.tests[test, compat]
-
-    def unit(self, unit: Unit) -> np.ndarray:
-        """For each token, whether the unit fits."""
-        if unit not in self.units:
-            each = []
-            for t in unit.tests:
-                if unit.negated and unit.compat and t.kind == "eq" and isinstance(t.value, str):
-                    name = f"_.{t.attr}" if t.extension else (t.attr if t.attr in self.flat else "words")
-                    codes, values = self.encoded(name)
-                    low = t.attr == "LOWER"
-                    by_value = np.fromiter((str(v).lower().startswith(t.value.lower()) if low else str(v).startswith(t.value) for v in values), bool, len(values))
-                    each.append(by_value[codes])
-                else:
-                    each.append(self.test(t, unit.compat))
-            fits = each[0]
-            for more in each[1:]:
-                fits = (fits | more) if unit.negated and unit.compat else (fits & more)
-            self.units[unit] = ~fits if unit.negated else fits
-        return self.units[unit]
+    def tokens_of(self, name: str, codes: np.ndarray) -> np.ndarray:
+        """The tokens that have one of the codes, ascending."""
+        if name not in self.places:
+            every, values = self.encoded(name)
+            self.places[name] = (np.argsort(every, kind="stable"), np.concatenate([[0], np.cumsum(np.bincount(every, minlength=len(values)))]))
+        order, first = self.places[name]
+        got = [order[first[c] : first[c + 1]] for c in codes]
+        return np.sort(np.concatenate(got)) if len(got) > 1 else got[0] if got else np.zeros(0, np.int64)
+
+    def name_of(self, test: Test) -> str:
+        return f"_.{test.attr}" if test.extension else (test.attr if test.attr in self.flat else "words")
+
+    def lookup(self, name: str, kind: str) -> dict[str, list[int]] | None:
+        """Codes by value, as the test's attribute has it; None where values aren't texts."""
+        if (name, kind) not in self.found:
+            _, values = self.encoded(name)
+            made: dict[str, list[int]] | None = None
+            if all(v is None or isinstance(v, str) for v in values):
+                of = {"LOWER": str.lower, "LEMMA": str.lower}.get(kind, lambda v: v)
+                made = {}
+                for c, v in enumerate(values):
+                    if v is not None:
+                        made.setdefault(of(v), []).append(c)
+            self.found[name, kind] = made
+        return self.found[name, kind]
+
+    def codes_of(self, test: Test, compat: bool) -> np.ndarray:
+        """The codes whose values fit."""
+        key = (test, compat)
+        if key not in self.tests:
+            name = self.name_of(test)
+            _, values = self.encoded(name)
+            wanted = [test.value] if test.kind == "eq" else list(test.value) if test.kind == "in" else [None]
+            by = None
+            if all(isinstance(w, str) for w in wanted) and (test.extension or test.attr not in ("SHAPE", "LENGTH")):
+                by = self.lookup(name, "" if test.extension else test.attr if test.attr in ("LOWER", "LEMMA") else "")
+            if by is not None:
+                low = not test.extension and test.attr == "LOWER"
+                self.tests[key] = np.array(sorted({c for w in wanted for c in by.get(w.lower() if low else w, ())}), np.int64)
+            else:
+                fits = value_test(test, compat)
+                self.tests[key] = np.flatnonzero(np.fromiter((fits(v) for v in values), bool, len(values)))
+        return self.tests[key]
+
+    def fits(self, test: Test, compat: bool, tokens: np.ndarray) -> np.ndarray:
+        codes, values = self.encoded(self.name_of(test))
+        has = np.zeros(max(1, len(values)), bool)
+        has[self.codes_of(test, compat)] = True
+        return has[codes[tokens]]
+
+    def positions(self, unit: Unit) -> np.ndarray:
+        """The tokens that a unit that isn't negated fits."""
+        named = [(self.name_of(t), self.codes_of(t, unit.compat)) for t in unit.tests]
+        least = min(range(len(named)), key=lambda k: len(named[k][1]))
+        got = self.tokens_of(*named[least])
+        for k, t in enumerate(unit.tests):
+            if k != least and len(got):
+                got = got[self.fits(t, unit.compat, got)]
+        return got
+
+    def at(self, unit: Unit, tokens: np.ndarray) -> np.ndarray:
+        """For each of the tokens, whether the unit fits."""
+        out = None
+        for t in unit.tests:
+            if unit.negated and unit.compat and t.kind == "eq" and isinstance(t.value, str):
+                codes, values = self.encoded(self.name_of(t))
+                low = t.attr == "LOWER"
+                by_value = np.fromiter((str(v).lower().startswith(t.value.lower()) if low else str(v).startswith(t.value) for v in values), bool, len(values))
+                each = by_value[codes[tokens]]
+            else:
+                each = self.fits(t, unit.compat, tokens)
+            out = each if out is None else (out | each) if unit.negated and unit.compat else (out & each)
+        return ~out if unit.negated else out
 
 
 def _class(present: np.ndarray, bit: int) -> str:
@@ -146,22 +196,35 @@ def _expand(first: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray
 def _scan(batch: _Batch, pattern: Compiled, cache: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Document, start and end of the matches of a pattern, those with the end of the one before left out."""
     none = (np.zeros(0, np.int64),) * 3
-    fits = [batch.unit(u) for u in pattern.units]
-    docs = np.flatnonzero(np.diff(batch.first) > 0)
-    for k in pattern.required:
-        at = np.flatnonzero(fits[k])
+    docs = None
+    for k in sorted(pattern.required):
+        at = batch.positions(pattern.units[k])
         if not len(at):
             return none
+        if pattern.template == "{0}":  # a single token
+            doc = np.searchsorted(batch.first, at, "right") - 1
+            return doc, at - batch.first[doc], at - batch.first[doc] + 1
         has = np.zeros(batch.n, bool)
         has[np.searchsorted(batch.first, at, "right") - 1] = True
-        docs = docs[has[docs]]
+        docs = np.flatnonzero(has) if docs is None else docs[has[docs]]
+        if not len(docs):
+            return none
+    if docs is None:
+        docs = np.flatnonzero(np.diff(batch.first) > 0)
     if not len(docs):
         return none
     tokens, first = _expand(batch.first, docs)
+    fits = [batch.at(u, tokens) for u in pattern.units]
     mask = np.zeros(len(tokens), np.int64)
     for k, f in enumerate(fits):
-        mask |= f[tokens].astype(np.int64) << k
-    present, symbol = np.unique(mask, return_inverse=True)
+        mask |= f.astype(np.int64) << k
+    if len(fits) <= 16:
+        number = np.bincount(mask)
+        present = np.flatnonzero(number)
+        number[present] = np.arange(len(present))
+        symbol = number[mask]
+    else:
+        present, symbol = np.unique(mask, return_inverse=True)
     key = (id(pattern), present.tobytes())
     if key not in cache:
         cache[key] = regex.compile(pattern.template.format(*(_class(present, k) for k in range(len(fits))), any=r"[^\n]"))
@@ -203,7 +266,15 @@ def _scan_raw(texts: list[str | None], tokens: list[list[str] | None], xp: regex
     return got[:, 0], got[:, 1], got[:, 2]
 
 
-def _run(rules: list[tuple[str, int, list[tuple[int, Compiled]]]], columns: dict[str, str], key: str):  # noqa: ANN202
+def _texts(batch: _Batch, doc: np.ndarray, start: np.ndarray, end: np.ndarray) -> pa.Array:
+    """The tokens of spans, joined by spaces."""
+    size = end - start
+    first = np.concatenate([[0], np.cumsum(size)])
+    at = np.arange(first[-1]) + np.repeat(batch.first[doc] + start - first[:-1], size)
+    return pc.binary_join(pa.ListArray.from_arrays(pa.array(first, pa.int32()), batch.flat["words"].take(pa.array(at))), " ")
+
+
+def _run(rules: list[tuple[str, int, list[tuple[int, Compiled]]]], columns: dict[str, str], key: str, text: bool):  # noqa: ANN202
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache: dict = {}
         for record in batches:
@@ -231,31 +302,32 @@ def _run(rules: list[tuple[str, int, list[tuple[int, Compiled]]]], columns: dict
                     parts.append((name, ord_, p, d, s, e))
             if not parts:
                 continue
-            docs = np.concatenate([x[3] for x in parts])
+            docs, starts, ends = (np.concatenate([x[k] for x in parts]) for k in (3, 4, 5))
             yield pa.RecordBatch.from_arrays([
                 record[key].take(pa.array(docs)),
                 pa.array([x[0] for x in parts], pa.string()).take(pa.array(np.repeat(np.arange(len(parts)), [len(x[3]) for x in parts]))),
                 pa.array(np.repeat([x[1] for x in parts], [len(x[3]) for x in parts]), pa.int32()), *(pa.array(np.concatenate([x[k] for x in parts]), pa.int32()) for k in (2, 4, 5)),
-            ], [key, "rule", "rule_ord", "pattern_ord", "start", "end"])
+                *([_texts(batch, docs, starts, ends)] if text else []),
+            ], [key, "rule", "rule_ord", "pattern_ord", "start", "end", *(["text"] if text else [])])
 
     return run
 
 
-def match(docs: DataFrame, rules: RuleSet, key: str = "doc_id", allow_missing: bool = False) -> DataFrame:
-    """key, rule, rule_ord, pattern_ord, start, end: the matches of all rules, in ``words`` of docs.
+def match(docs: DataFrame, rules: RuleSet, key: str = "doc_id", allow_missing: bool = False, text: bool = False) -> DataFrame:
+    """key, rule, rule_ord, pattern_ord, start, end: the matches of all rules, in ``words`` of docs; and text, their tokens joined by spaces.
 
-    ValueError when a rule needs an annotation that docs have no column for, unless ``allow_missing``; such an annotation is then null."""
+    ValueError when a rule needs an annotation that docs have no column for, unless ``allow_missing``; such an annotation is then null. A null norm is the token in lower case."""
     columns = rules.columns()
     missing = {a: c for a, c in columns.items() if c not in docs.columns}
-    if missing and not allow_missing:
+    if set(missing) - {"NORM"} and not allow_missing:
         raise ValueError(f"no column for {', '.join(sorted(missing))}")
     for c in set(missing.values()):
         docs = docs.withColumn(c, F.transform("words", lambda w: F.lit(None).cast("string")))
     raw = any(c.raw is not None for r in rules.rules.values() for c in r.compiled)
     kept = docs.select(key, "words", *sorted(set(columns.values()) - {key, "words"}), *(["text"] if raw and "text" not in columns.values() else []))
     plain = [(r.key, k, list(enumerate(r.compiled))) for k, r in enumerate(rules.rules.values())]
-    schema = f"`{key}` {dict(docs.dtypes)[key]}, {MATCHES}"
-    found = kept.where("words is not null").mapInArrow(_run(plain, columns, key), schema)
+    schema = f"`{key}` {dict(docs.dtypes)[key]}, {MATCHES}" + ", text string" * text
+    found = kept.where("words is not null").mapInArrow(_run(plain, columns, key, text), schema)
     called = [r for r in rules.rules.values() if r.on_match is not None]
     if not called:
         return found
@@ -265,17 +337,12 @@ def match(docs: DataFrame, rules: RuleSet, key: str = "doc_id", allow_missing: b
     return out
 
 
-def with_text(matches: DataFrame, docs: DataFrame, key: str = "doc_id") -> DataFrame:
-    """Matches with the text of their tokens, joined by spaces."""
-    return matches.join(docs.select(key, "words"), key).withColumn("text", F.array_join(F.slice("words", F.col("start") + 1, F.col("end") - F.col("start")), " ")).drop("words")
-
-
 # The native variant
 
 
 def test_column(test: Test, token: Column) -> Column:
-    of = {"TEXT": lambda t: t, "ORTH": lambda t: t, "LOWER": F.lower, "LENGTH": F.lower, "SHAPE": tx.shape}.get(test.attr)
-    value = token["words"] if not test.extension and (of or test.attr in tx.FLAGS) else token[test.attr if test.extension else test.attr.lower()]
+    of = {"TEXT": lambda t: t, "ORTH": lambda t: t, "LOWER": F.lower, "LENGTH": F.lower, "SHAPE": tx.shape, "LEMMA": F.lower}.get(test.attr)
+    value = token["words"] if not test.extension and test.attr != "LEMMA" and (of or test.attr in tx.FLAGS) else token[test.attr if test.extension else test.attr.lower()]
     if test.kind == "flag":
         return tx.flag(test.attr, value) if test.value else ~tx.flag(test.attr, value)
     value = of(value) if of and not test.extension else value

@@ -1,9 +1,15 @@
-"""Phrases: the matches of patterns, without those that end no later than an earlier one, or lie in a larger one."""
+"""Phrases: the matches of patterns, without those that end no later than an earlier one, or lie in a larger one.
+
+Results for odd input: null or empty words have no phrases; null tags fit no pattern; rows that repeat an id are matched each, and their phrases taken together; other columns aren't read."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pyarrow as pa
+import regex
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import spans
 from .matcher import match
@@ -29,21 +35,33 @@ CLOSED = {
 }
 
 
-def lexicon_tag(token: Column) -> Column:
-    """A coarse tag of a token: closed classes by the lexicon, then signs, numbers, names and endings; NOUN for the rest."""
-    low, out = F.lower(token), F.lit("NOUN")
-    for ending, tag in (("ed|ing", "VERB"), ("ous|ful|able|ible|al|ive", "ADJ"), ("ly", "ADV")):
-        out = F.when(low.rlike(f"^.{{2,}}(?:{ending})$"), F.lit(tag)).otherwise(out)
-    out = F.when(token.rlike(r"^\p{Lu}"), F.lit("PROPN")).otherwise(out)
-    out = F.when(token.rlike(r"^\p{N}+$"), F.lit("NUM")).when(token.rlike(r"^[^\p{L}\p{N}]"), F.lit("PUNCT")).otherwise(out)
-    for tag, members in CLOSED.items():
-        out = F.when(low.isin(members.split()), F.lit(tag)).otherwise(out)
-    return out
+_CLOSED = {w: tag for tag, members in CLOSED.items() for w in members.split()}
+_RULES = [(regex.compile(p), low, tag) for p, low, tag in (
+    (r"^\p{N}[\p{N}.,]*$", False, "NUM"), (r"^[^\p{L}\p{N}]", False, "PUNCT"), (r"^\p{Lu}", False, "PROPN"),
+    (r"^.{2,}(?:ly)$", True, "ADV"), (r"^.{2,}(?:ous|ful|able|ible|al|ive)$", True, "ADJ"), (r"^.{2,}(?:ed|ing)$", True, "VERB"),
+)]
+
+
+def lexicon_tag(token: str | None) -> str | None:
+    """A coarse tag of a token: closed classes by the lexicon, then numbers, signs, names and endings; NOUN for the rest."""
+    if token is None:
+        return None
+    low = token.lower()
+    return _CLOSED.get(low) or next((tag for p, lower, tag in _RULES if p.search(low if lower else token)), "NOUN")
+
+
+@F.arrow_udf(T.ArrayType(T.StringType()))
+def _tags(words: pa.Array) -> pa.Array:
+    """Each distinct token of a batch is tagged once."""
+    flat = words.flatten().dictionary_encode()
+    tags = pa.array([lexicon_tag(t) for t in flat.dictionary.to_pylist()], pa.string()).take(flat.indices)
+    first = np.concatenate([[0], np.cumsum(np.where(words.is_valid().to_numpy(zero_copy_only=False), np.diff(words.offsets.to_numpy()), 0))])
+    return pa.ListArray.from_arrays(pa.array(first, pa.int32()), tags, mask=words.is_null() if words.null_count else None)
 
 
 def tag_by_lexicon(docs: DataFrame) -> DataFrame:
     """docs with a ``pos`` array; only for texts that bring no tags of their own."""
-    return docs.withColumn("pos", F.transform("words", lexicon_tag))
+    return docs.withColumn("pos", _tags("words"))
 
 
 def phrases(docs: DataFrame, patterns: list[list[dict]], name: str = "phrase", key: str = "doc_id") -> DataFrame:

@@ -181,9 +181,9 @@ def compile_pattern(pattern: list[dict], compat: bool = False) -> Compiled:
     specs = [normalise_spec(s) if isinstance(s, dict) else s for s in pattern]
     if any(not isinstance(s, dict) for s in specs):
         raise ValueError("a token spec is a dict")
-    if any("REGEX" in s for s in specs):
-        if not all(isinstance(s.get("REGEX"), str) for s in specs):
-            raise ValueError("REGEX specs can't be mixed with others in a pattern")
+    if any("REGEX" in s and not isinstance(s["REGEX"], str) for s in specs):
+        raise ValueError("REGEX takes a string")
+    if specs and all("REGEX" in s for s in specs):
         out.raw = "".join(f"(?:{s['REGEX']})" for s in specs)
         regex.compile(out.raw)
         return out
@@ -195,6 +195,9 @@ def compile_pattern(pattern: list[dict], compat: bool = False) -> Compiled:
         for attr, value in spec.items():
             if attr == "OP":
                 continue
+            if attr == "REGEX":  # beside others it is one token, whose whole text it fits
+                tests.append(Test("TEXT", "regex", f"^{value}$"))
+                continue
             if not isinstance(value, str | bool | int | dict):
                 raise ValueError(f"values of type {type(value).__name__} aren't supported")
             if attr == "_":

@@ -2,6 +2,9 @@
 
 Containment and running maxima are windows over a document's spans, linear but for the sort. Overlaps are equi-joins on bins of ``BIN`` tokens, so
 that a document with many spans is spread over its bins and never compared all with all.
+
+Results for odd input: null bounds overlap and contain nothing, and null ids are a document of their own in windows and of none in joins; repeated rows count as one where the docstring says
+distinct; empty tables give empty ones. Other columns come along whatever their names: helpers take names that aren't there.
 """
 
 from __future__ import annotations
@@ -12,18 +15,30 @@ from pyspark.sql import functions as F
 BIN = 64
 
 
+def _free(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with signs put after it until df has no such column."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for n in names:
+        while n.lower() in taken:
+            n += "_"
+        out.append(n)
+        taken.add(n.lower())
+    return out
+
+
 def suppress_same_end(spans: DataFrame, by: list[str]) -> DataFrame:
     """Drops a span that starts later than the one before it (of the same ``by``) and ends where it does."""
     order = Window.partitionBy(*by).orderBy("start", "end")
-    before = spans.withColumn("_start", F.lag("start").over(order)).withColumn("_end", F.lag("end").over(order))
-    same = F.coalesce((F.col("_end") == F.col("end")) & (F.col("_start") < F.col("start")), F.lit(False))
-    return before.where(~same).drop("_start", "_end")
+    (same,) = _free(spans, "same")
+    repeats = F.coalesce((F.lag("end").over(order) == F.col("end")) & (F.lag("start").over(order) < F.col("start")), F.lit(False))
+    return spans.withColumn(same, repeats).where(~F.col(same)).drop(same)
 
 
 def running_end(spans: DataFrame, by: list[str]) -> DataFrame:
     """Keeps the spans, in the order of their starts, that end beyond all before them."""
     order = Window.partitionBy(*by).orderBy("start", F.col("end").desc()).rowsBetween(Window.unboundedPreceding, -1)
-    return spans.withColumn("_most", F.coalesce(F.max("end").over(order), F.lit(0))).where("end > _most").drop("_most")
+    (most,) = _free(spans, "most")
+    return spans.withColumn(most, F.coalesce(F.max("end").over(order), F.lit(0))).where(F.col("end") > F.col(most)).drop(most)
 
 
 def drop_contained(spans: DataFrame, by: list[str]) -> DataFrame:
@@ -32,42 +47,43 @@ def drop_contained(spans: DataFrame, by: list[str]) -> DataFrame:
     earlier = Window.partitionBy(*by).orderBy("start").rangeBetween(Window.unboundedPreceding, -1)
     same_start = Window.partitionBy(*by, "start")
     inside = (F.coalesce(F.max("end").over(earlier), F.lit(-1)) >= F.col("end")) | (F.max("end").over(same_start) > F.col("end"))
-    return bounds.withColumn("_inside", inside).where("not _inside").drop("_inside")
+    (name,) = _free(bounds, "inside")
+    return bounds.withColumn(name, inside).where(~F.col(name)).drop(name)
 
 
-def _binned(spans: DataFrame) -> DataFrame:
-    return spans.withColumn("_bin", F.explode(F.expr(f"sequence(start div {BIN}, (end - 1) div {BIN})")))
+def _binned(spans: DataFrame, name: str) -> DataFrame:
+    return spans.withColumn(name, F.explode(F.expr(f"sequence(start div {BIN}, (end - 1) div {BIN})")))
 
 
 def overlapping_pairs(left: DataFrame, right: DataFrame, by: str = "doc_id") -> DataFrame:
     """Pairs of rows whose ranges share a token: columns of left, and those of right with ``other_`` before them. Each pair comes once."""
-    other = _binned(right.select(by, *[F.col(c).alias(f"other_{c}") for c in right.columns if c != by]).withColumnsRenamed({"other_start": "start", "other_end": "end"})).withColumnsRenamed({"start": "other_start", "end": "other_end"})
-    joined = _binned(left).join(other, [by, "_bin"])
+    (name,) = _free(left.select("*", *[F.lit(0).alias(f"other_{c}") for c in right.columns if c != by]), "bin")
+    other = _binned(right, name).select(by, name, *[F.col(c).alias(f"other_{c}") for c in right.columns if c != by])
+    joined = _binned(left, name).join(other, [by, name])
     # The first bin that both are in makes the pair.
-    shared = F.expr(f"greatest(start, other_start) div {BIN} = _bin")
-    return joined.where((F.col("start") < F.col("other_end")) & (F.col("other_start") < F.col("end")) & shared).drop("_bin")
+    shared = F.expr(f"greatest(start, other_start) div {BIN}") == F.col(name)
+    return joined.where((F.col("start") < F.col("other_end")) & (F.col("other_start") < F.col("end")) & shared).drop(name)
 
 
 def only_longest(spans: DataFrame) -> DataFrame:
     """(doc_id, start, end, label): a span that lies in a larger one goes; one that overlaps another in part is merged with the first such, under the label of the
-    one that starts later; the first conflict in the order (start, longest first, label) decides. Distinct rows."""
+    one that starts later; the first conflict in the order (start, longest first, label) decides. Distinct rows; spans with a null id or bound, or without a token, are left out."""
     rows = spans.select("doc_id", "start", "end", "label").distinct()
+    # Every row meets itself, so that one aggregation over the pairs has all rows, with the first conflict or without.
     pairs = overlapping_pairs(rows, rows)
     contained = ((F.col("start") > F.col("other_start")) & (F.col("end") <= F.col("other_end"))) | ((F.col("start") >= F.col("other_start")) & (F.col("end") < F.col("other_end")))
     head = (F.col("start") < F.col("other_start")) & (F.col("end") < F.col("other_end"))
     tail = (F.col("start") > F.col("other_start")) & (F.col("end") > F.col("other_end"))
-    conflict = pairs.where(contained | head | tail).withColumn("_does", F.when(contained, "drop").when(head, "head").otherwise("tail"))
-    first = conflict.groupBy("doc_id", "start", "end", "label").agg(
-        F.min(F.struct("other_start", F.negative("other_end").alias("back"), "other_label", "_does")).alias("_first")
-    )
-    decided = rows.join(first, ["doc_id", "start", "end", "label"], "left")
-    does = F.col("_first._does")
+    does = F.when(contained, "drop").when(head, "head").when(tail, "tail")
+    conflict = F.when(does.isNotNull(), F.struct("other_start", F.negative("other_end").alias("back"), "other_label", does.alias("does")))
+    first = pairs.groupBy("doc_id", "start", "end", "label").agg(F.min(conflict).alias("first"))
+    does = F.col("first.does")
     merged = [
-        F.when(does == "tail", F.col("_first.other_start")).otherwise(F.col("start")).alias("start"),
-        F.when(does == "head", -F.col("_first.back")).otherwise(F.col("end")).alias("end"),
-        F.when(does == "head", F.col("_first.other_label")).otherwise(F.col("label")).alias("label"),
+        F.when(does == "tail", F.col("first.other_start")).otherwise(F.col("start")).alias("start"),
+        F.when(does == "head", -F.col("first.back")).otherwise(F.col("end")).alias("end"),
+        F.when(does == "head", F.col("first.other_label")).otherwise(F.col("label")).alias("label"),
     ]
-    return decided.where(does.isNull() | (does != "drop")).select("doc_id", *merged).distinct()
+    return first.where(does.isNull() | (does != "drop")).select("doc_id", *merged).distinct()
 
 
 def token_labels(spans: DataFrame) -> DataFrame:
@@ -79,9 +95,10 @@ def as_of(hits: DataFrame, definitions: DataFrame, by: list[str], at: str, since
     """Each hit with the value of the latest definition (of the same ``by``) that starts no later than it; hits without one are left out.
 
     One sort of both sides together; no range join."""
+    kind, has = _free(hits, "kind", "_value")
     both = (
-        definitions.select(*by, F.col(since).alias(at), F.lit(0).alias("_kind"), value.alias("_value"), *[F.lit(None).cast(t).alias(c) for c, t in hits.dtypes if c not in by and c != at])
-        .unionByName(hits.withColumn("_kind", F.lit(1)).withColumn("_value", F.lit(None)))
+        definitions.select(*by, F.col(since).alias(at), F.lit(0).alias(kind), value.alias(has), *[F.lit(None).cast(t).alias(c) for c, t in hits.dtypes if c not in by and c != at])
+        .unionByName(hits.withColumn(kind, F.lit(1)).withColumn(has, F.lit(None)))
     )
-    order = Window.partitionBy(*by).orderBy(at, "_kind").rowsBetween(Window.unboundedPreceding, 0)
-    return both.withColumn("_value", F.last("_value", ignorenulls=True).over(order)).where("_kind = 1 and _value is not null").drop("_kind")
+    order = Window.partitionBy(*by).orderBy(at, kind).rowsBetween(Window.unboundedPreceding, 0)
+    return both.withColumn(has, F.last(has, ignorenulls=True).over(order)).where((F.col(kind) == 1) & F.col(has).isNotNull()).drop(kind)

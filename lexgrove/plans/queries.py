@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..operators import abbrs, bayes, clusters, graph, labels, phrases, sents, spans, titles
-from ..operators.matcher import match, match_native, with_text
+from ..operators.matcher import match, match_native
 from ..operators.rules import RuleSet
-from ..sources import dumps
+from ..sources import dumps, store
 from . import oracle as o
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -24,7 +24,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, text, words."""
-    return tx.tokenize(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return tx.tokenize(store.spread(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id"))
 
 
 def query(sql: str | None = None):  # noqa: ANN201
@@ -116,8 +116,7 @@ DETERMINED = [{"LOWER": {"IN": ["the", "of"]}}, {"IS_ALPHA": True, "OP": "+"}, {
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Phrases from "the" or "of" up to a full stop, with their texts."""
-    docs = documents(spark, sf_dir)
-    return with_text(match(docs, RuleSet().add("determined", [DETERMINED])), docs)
+    return match(documents(spark, sf_dir), RuleSet().add("determined", [DETERMINED]), text=True)
 
 
 def _pattern_query(name: str, patterns: list[list[dict]], tests: list[str], template: str) -> None:
@@ -214,6 +213,20 @@ def match_rule_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return match(documents(spark, sf_dir), rules).groupBy("rule").agg(F.count("*").alias("n"), F.countDistinct("doc_id").alias("n_docs"))
 
 
+_THOUSAND = "select distinct lower(t) as rule from (select unnest(words) as t from words_of) where regexp_matches(lower(t), '^[a-z]{3,}$') order by md5(lower(t)), 1 limit 1000"
+
+
+@query(f"with {o.WORDS}, t as (select doc_id, lower(unnest(words)) as rule from words_of), r as ({_THOUSAND}) select rule, count(*) as n, count(distinct doc_id) as n_docs from t join r using (rule) group by rule")
+def match_1000_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A thousand rules in one pass (their number is the point): one for each of a thousand words of the documents, chosen by their hashes."""
+    docs = documents(spark, sf_dir)
+    words = docs.select(F.explode(F.array_distinct(F.transform("words", F.lower))).alias("rule")).where(F.col("rule").rlike("^[a-z]{3,}$")).distinct().orderBy(F.md5("rule"), "rule").limit(1000)
+    rules = RuleSet()
+    for r in words.collect():
+        rules.add(r.rule, [[{"LOWER": r.rule}]])
+    return match(docs, rules).groupBy("rule").agg(F.count("*").alias("n"), F.countDistinct("doc_id").alias("n_docs"))
+
+
 @query(f"""with {o.WORDS}, {o.match_steps("m", ["lower(t) = 'the'"], "{0}")} select doc_id, 'the' as rule, min(start) as start, min("end") as "end", count(*) as n from m group by doc_id""")
 def match_callback(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A rule's callback transforms its matches: here to the first match of each document and their number."""
@@ -303,7 +316,7 @@ def label_abbr_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _tag_sql(t: str = "t") -> str:
     closed = " ".join(f"when lower({t}) in ({o.quoted(m.split())}) then '{tag}'" for tag, m in reversed(phrases.CLOSED.items()))
-    return f"""case {closed} when regexp_matches({t}, '^\\p{{N}}+$') then 'NUM' when regexp_matches({t}, '^[^\\p{{L}}\\p{{N}}]') then 'PUNCT' when regexp_matches({t}, '^\\p{{Lu}}') then 'PROPN'
+    return f"""case {closed} when regexp_matches({t}, '^\\p{{N}}[\\p{{N}}.,]*$') then 'NUM' when regexp_matches({t}, '^[^\\p{{L}}\\p{{N}}]') then 'PUNCT' when regexp_matches({t}, '^\\p{{Lu}}') then 'PROPN'
   when regexp_matches(lower({t}), '^.{{2,}}(?:ly)$') then 'ADV' when regexp_matches(lower({t}), '^.{{2,}}(?:ous|ful|able|ible|al|ive)$') then 'ADJ' when regexp_matches(lower({t}), '^.{{2,}}(?:ed|ing)$') then 'VERB' else 'NOUN' end"""
 
 
@@ -554,17 +567,18 @@ def title_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
     return raw_graph(spark, sf_dir)["page"].select("title", titles.clean_title(F.col("title")).alias("cleaned"))
 
 
-#: Titles are the targets of the links of all pages, and the first three words of each benchmark item.
-_TITLES = f"""links_of as (select unnest(regexp_extract_all(html, '<a href="/([^"]*)"', 1)) as title from pages), firsts as (select regexp_extract_all(text, '{o.TOKEN}') as w from benchmark where text is not null),
-titles as (select distinct title, title as ord from (select title from links_of union select array_to_string(w[1:3], '_') from firsts)),
+#: Titles are the targets of the links of all pages, all benchmark items as a whole, and the names of nations and parts.
+_TITLES = f"""links_of as (select unnest(regexp_extract_all(html, '<a href="/([^"]*)"', 1)) as title from pages), whole as (select regexp_extract_all(text, '{o.TOKEN}') as w from benchmark where text is not null),
+titles as (select distinct title, title as ord from (select title from links_of union select array_to_string(w, '_') from whole union select n_name from nation union select p_name from part)),
 keyed as (select ord, title, list_filter(regexp_extract_all(case when lower({_CLEAN}) = '' then lower(title) else lower({_CLEAN}) end, '{o.TOKEN}'), lambda t: regexp_matches(t, '[\\p{{L}}\\p{{N}}]')) as tokens from titles where title <> ''),
 idx as (select array_to_string(tokens, ' ') as key, max(len(tokens)) as n_tokens, list(title order by ord) as titles from keyed where len(tokens) > 0 group by 1)"""
 
 
 def page_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
     links = table(spark, sf_dir, "pages").select(F.explode(F.regexp_extract_all("html", F.lit('<a href="/([^"]*)"'), F.lit(1))).alias("title"))
-    firsts = tx.tokenize(table(spark, sf_dir, "benchmark")).where("words is not null").select(F.array_join(F.slice("words", 1, 3), "_").alias("title"))
-    return links.unionByName(firsts).distinct().withColumn("ord", F.col("title"))
+    whole = tx.tokenize(table(spark, sf_dir, "benchmark")).where("words is not null").select(F.array_join("words", "_").alias("title"))
+    names = table(spark, sf_dir, "nation").select(F.col("n_name").alias("title")).unionByName(table(spark, sf_dir, "part").select(F.col("p_name").alias("title")))
+    return links.unionByName(whole).unionByName(names).distinct().withColumn("ord", F.col("title"))
 
 
 @query(f"with {_TITLES} select key, cast(n_tokens as integer) as n_tokens, array_to_string(titles, '|') as titles from idx")
@@ -573,10 +587,9 @@ def title_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _ALL = f"""{_TITLES}, {o.WORDS}, tok as (select doc_id, i, t, row_number() over (partition by doc_id order by i) as k from (select doc_id, unnest(range(len(words))) as i, unnest(list_transform(words, lambda x: lower(x))) as t from words_of) where regexp_matches(t, '[\\p{{L}}\\p{{N}}]')),
-g as (select a.doc_id, a.i as start, a.i + 1 as "end", a.t as key from tok a
-  union all select a.doc_id, a.i, b.i + 1, a.t || ' ' || b.t from tok a join tok b on b.doc_id = a.doc_id and b.k = a.k + 1
-  union all select a.doc_id, a.i, c.i + 1, a.t || ' ' || b.t || ' ' || c.t from tok a join tok b on b.doc_id = a.doc_id and b.k = a.k + 1 join tok c on c.doc_id = a.doc_id and c.k = a.k + 2),
-found as (select g.doc_id, g.start, g."end", g.key, idx.titles from g join idx using (key))"""
+arr as (select doc_id, list(t order by k) as ts, list(i order by k) as places from tok group by doc_id),
+opened as (select doc_id, i, k, key, n_tokens, titles from tok join idx on split_part(key, ' ', 1) = t),
+found as (select o.doc_id, o.i as start, arr.places[o.k + n_tokens - 1] + 1 as "end", key, titles from opened o join arr using (doc_id) where len(ts) >= o.k + n_tokens - 1 and array_to_string(ts[o.k : o.k + n_tokens - 1], ' ') = key)"""
 _SCAN = f"""{_ALL}, best as (select doc_id, start, max("end") as "end" from found group by doc_id, start),
 hop as (select b.doc_id, b.start, b."end", n.start as nxt from best b asof left join best n on b.doc_id = n.doc_id and b."end" <= n.start),
 walk as (select doc_id, start, "end", nxt from (select *, row_number() over (partition by doc_id order by start) as r from hop) where r = 1 union all select h.doc_id, h.start, h."end", h.nxt from walk w join hop h on h.doc_id = w.doc_id and h.start = w.nxt)"""

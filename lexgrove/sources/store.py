@@ -14,14 +14,31 @@ if TYPE_CHECKING:
     from ..operators.graph import PageGraph
 
 
+def scratch(spark: SparkSession) -> str:
+    """The shared folder that the cluster names in spark.checkpoint.dir. Where none is named, one of our own, on a single machine only."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if named:
+        return named.rstrip("/")
+    master = spark.sparkContext.master
+    if not master.startswith("local") or master.startswith("local-cluster"):
+        raise ValueError("spark.checkpoint.dir names no folder that all executors share")
+    return tempfile.mkdtemp(prefix="lexgrove-")
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """Checkpoint, in the folder that the cluster names in spark.checkpoint.dir; in one of our own only where none is named."""
+    """A checkpoint in that folder."""
     spark = df.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", None) and spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="lexgrove-checkpoint-"))
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(scratch(spark))
     return df.checkpoint()
 
 
+def spread(df: DataFrame, by: str) -> DataFrame:
+    """df over all cores where its files make few tasks: a small table, or one of few row groups. A large table isn't moved."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, by) if df.rdd.getNumPartitions() < 4 * cores else df
+
+
 def save_graph(graph: PageGraph, folder: str, meta: dict[str, Any] | None = None) -> None:
     """One Parquet table for each part, and meta as JSON."""
     spark = graph.pages.sparkSession
