@@ -7,18 +7,19 @@
    below it and the range of their sizes. A traversal of two nodes at a time goes down where the largest possible overlap
    can still reach the threshold; texts of the leaf pairs that are left are compared by their whole sets.
 
-A pair of similarity s meets with probability 1 - (1 - s^2)^BANDS: 0.97 at 0.6, 0.996 at 0.7, over 0.9999 at 0.8; a pair that
+A pair of similarity s meets with probability 1 - (1 - s^2)^BANDS: 0.9992 at 0.6, over 0.99998 at 0.7; a pair that
 meets is never missed and its similarity is exact (of 32-bit hashes).
 
-4. A pair of representatives stands for all pairs of a member of the one class and a member of the other; these, and all pairs
-   within a class (1.0), are the result.
+4. A block gives each of its texts the number of documents that it is linked to there (a class counts with all its members; a pair counts in the first
+   band that both share), its highest similarity, and one link towards the lowest of the texts that it hangs together with. So what leaves a block is as
+   large as the block, however many pairs there are in it. Connected components of these links and of the classes are the groups.
 
-The result is (doc_id, other_id, jaccard) with doc_id < other_id, each pair once; n copies of a text are n (n - 1) / 2 pairs.
-``representative_pairs`` has the same groups in fewer rows: the pairs of representatives, and each member with its representative.
+The result of the query has a row for each document: doc_id, class_id (the lowest doc_id of its group), n_links (documents that are similar to
+it, copies too) and best_jaccard (null without a link). ``representative_pairs`` has the links themselves: pairs of representatives, and each member with its representative.
 
-Results for odd input: a row with a null doc_id, or without a word in its text, is in no pair; a text of fewer than ``N`` words is one
-n-gram; rows that repeat a doc_id are one document that has the union of the pairs of its texts (a pair's highest similarity), and it is in no pair with itself;
-an empty table gives no pairs. Other columns aren't read.
+Results for odd input: a row with a null doc_id has no row in the result; a text without a word is in no pair; a text of fewer than ``N`` words is one
+n-gram; rows that repeat a doc_id are one document: its links are those of its distinct texts added up, and it isn't linked with itself;
+an empty table gives no rows. Other columns aren't read.
 """
 
 from __future__ import annotations
@@ -35,7 +36,7 @@ from .tables import cut, table
 
 N = 3
 THRESHOLD = 0.6
-BANDS = 8
+BANDS = 16
 BITS = 1024
 LEAF, FANOUT = 16, 4
 
@@ -107,7 +108,7 @@ def _light(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ], ["id", "set_hash", "size", "keys"])
 
 
-_FULL = "id long, set_hash long, keys binary, grams binary, bands array<int>"
+_FULL = "id long, set_hash long, members long, keys binary, grams binary, bands array<int>"
 
 
 def _full(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -115,16 +116,17 @@ def _full(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at = 0
         for grams, first in gram_sets(batch["text"]):
             n = len(first) - 1
-            ids, bands = batch["doc_id"].slice(at, n), batch["bands"].slice(at, n)
+            ids, bands, members, wanted = (batch[c].slice(at, n) for c in ("doc_id", "bands", "members", "set_hash"))
             at += n
             has, first = _with_grams(grams, first)
             if not len(has):
                 continue
-            keys = band_keys(grams, first)
+            keys, hashes = band_keys(grams, first), set_hashes(grams, first)
+            own = pa.array(hashes == wanted.to_numpy()[has])  # else it is another text of the id
             yield pa.RecordBatch.from_arrays([
-                ids.take(pa.array(has)).cast(pa.int64()), pa.array(set_hashes(grams, first)), pa.array([k.tobytes() for k in keys], pa.binary()),
+                ids.take(pa.array(has)).cast(pa.int64()), pa.array(hashes), members.take(pa.array(has)), pa.array([k.tobytes() for k in keys], pa.binary()),
                 pa.array([grams[i:j].tobytes() for i, j in zip(first[:-1], first[1:], strict=True)], pa.binary()), bands.take(pa.array(has)),
-            ], ["id", "set_hash", "keys", "grams", "bands"])
+            ], ["id", "set_hash", "members", "keys", "grams", "bands"]).filter(own)
 
 
 class SignatureTree:
@@ -205,99 +207,137 @@ def similar_pairs(sets: list[np.ndarray], threshold: float = THRESHOLD) -> tuple
     return order[a[found]], order[b[found]], shared[found] / union[found]
 
 
-def _join_block(ids: np.ndarray, hashes: np.ndarray, band: int, keys: np.ndarray, sets: list[np.ndarray], threshold: float) -> tuple[np.ndarray, ...]:
-    a, b, s = similar_pairs(sets, threshold)
-    new = (ids[a] != ids[b]) & ~(keys[a, :band] == keys[b, :band]).any(1)  # else an earlier band has the pair
-    a, b = a[new], b[new]
-    size = np.array([len(x) for x in sets], np.int64)
-    return np.minimum(ids[a], ids[b]), np.maximum(ids[a], ids[b]), s[new], hashes[a], size[a], hashes[b], size[b]
-
-
-#: The classes of both sides come with a pair, in no order.
-_PAIRS = "doc_id long, other_id long, jaccard double, a_hash long, a_size long, b_hash long, b_size long"
-
+def lowest_labels(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """For each of n nodes, the lowest node of its connected component."""
+    label = np.arange(n)
+    while True:
+        x, y = label[a], label[b]
+        if (x == y).all():
+            return label
+        low = np.minimum(x, y)
+        np.minimum.at(label, x, low)
+        np.minimum.at(label, y, low)
+        while (label != label[label]).any():
+            label = label[label]
+
+
+#: Links of a text in one block: the text of the block that stands for those it hangs together with, the linked documents, and the highest similarity.
+_LINKS = "id long, set_hash long, root long, links long, best double"
+_PAIRS = "doc_id long, other_id long, jaccard double"
+
+
+def _joiner(threshold: float, pairs: bool):  # noqa: ANN202
+    kinds = [(c.split()[0], np.float64 if " double" in c else np.int64) for c in (_PAIRS if pairs else _LINKS).split(", ")]
+
+    def block(held: list[tuple]) -> tuple[np.ndarray, ...]:
+        ids, members = (np.array([r[k] for r in held], np.int64) for k in (1, 4))
+        keys = np.frombuffer(b"".join(r[2] for r in held), np.int64).reshape(-1, BANDS)
+        band = held[0][0][0]
+        a, b, s = similar_pairs([np.frombuffer(r[3], np.uint32) for r in held], threshold)
+        new = (ids[a] != ids[b]) & ~(keys[a, :band] == keys[b, :band]).any(1)  # else an earlier band has the pair
+        a, b, s = a[new], b[new], s[new]
+        if pairs:
+            return np.minimum(ids[a], ids[b]), np.maximum(ids[a], ids[b]), s
+        links, best = np.zeros(len(ids), np.int64), np.zeros(len(ids))
+        np.add.at(links, a, members[b])
+        np.add.at(links, b, members[a])
+        np.maximum.at(best, a, s)
+        np.maximum.at(best, b, s)
+        some = np.flatnonzero(links)
+        return ids[some], np.array([r[5] for r in held], np.int64)[some], ids[lowest_labels(len(ids), a, b)][some], links[some], best[some]
 
-def _joiner(threshold: float):  # noqa: ANN202
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows come in the order of (band, key); a block may go on in the next batch."""
         held: list[tuple] = []
+        once: set[tuple[int, int]] = set()
         out: list[tuple] = []
 
         def close() -> None:
             if len(held) > 1:
-                ids = np.array([r[1] for r in held], np.int64)
-                keys = np.frombuffer(b"".join(r[2] for r in held), np.int64).reshape(-1, BANDS)
-                hashes = np.array([r[4] for r in held], np.int64)
-                out.append(_join_block(ids, hashes, held[0][0][0], keys, [np.frombuffer(r[3], np.uint32) for r in held], threshold))
+                out.append(block(held))
             held.clear()
+            once.clear()
+
+        def made() -> pa.RecordBatch:
+            columns = (np.concatenate([*(o[k] for o in out), np.zeros(0, kind)]) for k, (_, kind) in enumerate(kinds))
+            return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], [n for n, _ in kinds])
 
         for batch in batches:
-            for band, key, i, keys, grams, set_hash in zip(*(batch[c].to_pylist() for c in ("band", "key", "id", "keys", "grams", "set_hash")), strict=True):
+            for band, key, i, keys, grams, members, text in zip(*(batch[c].to_pylist() for c in ("band", "key", "id", "keys", "grams", "members", "set_hash")), strict=True):
                 if held and held[0][0] != (band, key):
                     close()
-                held.append(((band, key), i, keys, grams, set_hash))
+                if (i, text) not in once:  # a row may be there again
+                    once.add((i, text))
+                    held.append(((band, key), i, keys, grams, members, text))
             if out:
-                yield _pairs_batch(out)
+                yield made()
                 out.clear()
         close()
-        yield _pairs_batch(out)
+        yield made()
 
     return run
 
 
-def _pairs_batch(out: list[tuple]) -> pa.RecordBatch:
-    kinds = [np.float64 if " double" in c else np.int64 for c in _PAIRS.split(", ")]
-    columns = (np.concatenate([*(o[k] for o in out), np.zeros(0, kind)]) for k, kind in enumerate(kinds))
-    return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], [c.split()[0] for c in _PAIRS.split(", ")])
-
-
-def _classes_and_near(docs: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """All (id, set_hash, size), the classes of equal sets, and the similar pairs of representatives."""
+def _classes(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The texts that count, (id, set_hash, size, keys) of each, and the classes of equal sets: set_hash, size, rep, keys, members."""
     texts = docs.select("doc_id", "text").where("doc_id is not null and text is not null")
     # A class is keyed by the sum of the mixed hashes of its set and by the set's size.
     light = cut(texts.mapInArrow(_light, _LIGHT))
-    classes = light.groupBy("set_hash", "size").agg(F.min("id").alias("rep"), F.first("keys").alias("keys"), F.count("*").alias("n"))
-    spread = classes.select("rep", F.posexplode("keys").alias("band", "key"))
+    classes = light.groupBy("set_hash", "size").agg(F.min("id").alias("rep"), F.first("keys").alias("keys"), F.count_distinct("id").alias("members"))
+    return texts, light.select("id", "set_hash", "size"), classes
+
+
+def _blocks(texts: DataFrame, classes: DataFrame) -> DataFrame:
+    """Rows of the blocks, by (band, key): id, members, keys, grams."""
+    spread = classes.select("rep", "set_hash", "members", F.posexplode("keys").alias("band", "key"))
     meeting = spread.groupBy("band", "key").agg(F.count("*").alias("n")).where("n > 1").select("band", "key")
-    bands = spread.join(meeting, ["band", "key"]).groupBy("rep").agg(F.collect_set("band").alias("bands"))
-    full = texts.join(bands, texts["doc_id"] == bands["rep"]).select("doc_id", "text", "bands").mapInArrow(_full, _FULL)
+    bands = spread.join(meeting, ["band", "key"]).groupBy("rep", "set_hash").agg(F.collect_set("band").alias("bands"), F.max("members").alias("members"))
+    full = texts.join(bands, texts["doc_id"] == bands["rep"]).select("doc_id", "text", "bands", "members", "set_hash").mapInArrow(_full, _FULL)
     # The key of a band is 8 bytes of keys at 8 * band.
-    blocks = full.withColumn("band", F.explode("bands")).select("band", F.expr("substring(keys, 8 * band + 1, 8)").alias("key"), "id", "set_hash", "keys", "grams")
-    near = blocks.repartition("band", "key").sortWithinPartitions("band", "key").mapInArrow(_joiner(threshold), _PAIRS)
-    return light.select("id", "set_hash", "size"), classes, near
+    blocks = full.withColumn("band", F.explode("bands")).select("band", F.expr("substring(keys, 8 * band + 1, 8)").alias("key"), "id", "set_hash", "members", "keys", "grams")
+    return blocks.repartition("band", "key").sortWithinPartitions("band", "key")
+
+
+def _members(light: DataFrame, classes: DataFrame) -> DataFrame:
+    """(id, rep) of the members of classes of several documents."""
+    several = classes.where("members > 1").select("set_hash", "size", "rep")
+    return light.join(several, ["set_hash", "size"]).where("id != rep").select("id", "rep").distinct()
 
 
 def representative_pairs(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The similar pairs of representatives, and each member of a class of several rows with the class's representative."""
-    light, classes, near = _classes_and_near(docs, threshold)
-    several = classes.where("n > 1").select("set_hash", "size", "rep")
-    same = (
-        light.join(several, ["set_hash", "size"]).where("id != rep")
-        .select(F.col("rep").alias("doc_id"), F.col("id").alias("other_id"), F.lit(1.0).alias("jaccard")).distinct()
-    )
-    return near.select("doc_id", "other_id", "jaccard").unionByName(same)
+    """(doc_id, other_id, jaccard): the similar pairs of representatives, and each member of a class with its representative."""
+    texts, light, classes = _classes(docs)
+    near = _blocks(texts, classes).mapInArrow(_joiner(threshold, True), _PAIRS)
+    same = _members(light, classes).select(F.col("rep").alias("doc_id"), F.col("id").alias("other_id"), F.lit(1.0).alias("jaccard"))
+    return near.unionByName(same).groupBy("doc_id", "other_id").agg(F.max("jaccard").alias("jaccard"))
 
 
-def jaccard_join(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    light, classes, near = _classes_and_near(docs, threshold)
-    members = light.distinct()
+def _linked(docs: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """light and classes as above, the links of representatives, and (doc_id, root) of all documents in groups."""
+    texts, light, classes = _classes(docs)
+    near = cut(_blocks(texts, classes).mapInArrow(_joiner(threshold, False), _LINKS))
+    edges = near.where("id != root").select("id", "root").unionByName(_members(light, classes).select("id", F.col("rep").alias("root")))
+    return light, classes, near, components(edges.select(F.col("id").alias("doc_id"), F.col("root").alias("other_id")))
 
-    def side(name: str) -> DataFrame:
-        return members.select(F.col("id").alias(name), F.col("set_hash").alias(f"{name}_hash"), F.col("size").cast("long").alias(f"{name}_size"))
 
-    apart = near.where("a_hash != b_hash or a_size != b_size").join(side("a"), ["a_hash", "a_size"]).join(side("b"), ["b_hash", "b_size"])
-    several = members.join(classes.where("n > 1").select("set_hash", "size"), ["set_hash", "size"])
-    same = several.withColumnRenamed("id", "a").join(several.withColumnRenamed("id", "b"), ["set_hash", "size"]).where("a < b")
-    pairs = apart.where("a != b").select("a", "b", "jaccard").unionByName(same.select("a", "b", F.lit(1.0).alias("jaccard")))
-    return pairs.groupBy(F.least("a", "b").alias("doc_id"), F.greatest("a", "b").alias("other_id")).agg(F.max("jaccard").alias("jaccard"))
+def jaccard_join(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """(doc_id, class_id, n_links, best_jaccard) of every document."""
+    light, classes, near, roots = _linked(docs, threshold)
+    of_rep = near.groupBy(F.col("id").alias("rep"), "set_hash").agg(F.sum("links").alias("links"), F.max("best").alias("best"))
+    each = (
+        light.distinct().join(classes.select("set_hash", "size", "rep", "members"), ["set_hash", "size"]).join(of_rep, ["rep", "set_hash"], "left")
+        .groupBy("id").agg(F.sum(F.col("members") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.max(F.when(F.col("members") > 1, 1.0).otherwise(F.col("best"))).alias("best_jaccard"))
+    )
+    every = docs.select("doc_id").where("doc_id is not null").distinct()
+    joined = every.join(each, every["doc_id"] == each["id"], "left").drop("id").join(roots, "doc_id", "left")
+    return joined.select("doc_id", F.coalesce("root", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"), "best_jaccard")
 
 
 def components(pairs: DataFrame) -> DataFrame:
     """(doc_id, root) of every document in a pair: root is the lowest id of its connected component.
 
-    Rounds of large-star and small-star over the edges, each checkpointed, until nothing changes."""
+    Rounds of large-star and small-star over the edges, each checkpointed, until a round leaves every edge where it is."""
     edges = cut(pairs.select(F.greatest("doc_id", "other_id").alias("u"), F.least("doc_id", "other_id").alias("v")).distinct())
-    state = None
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
@@ -306,18 +346,19 @@ def components(pairs: DataFrame) -> DataFrame:
         # Small-star: the smaller neighbours, and the node itself, are tied to the least of them.
         small_least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(small_least, "u")
-        edges = cut(small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(small.select("u", F.col("m").alias("v"))).where("u != v").distinct())
-        now = edges.agg(F.count("*"), F.sum(F.hash("u", "v").cast("long"))).first()
-        if now == state:
+        now = cut(small.select(F.col("u"), F.col("m").alias("v")).unionByName(small.select(F.col("v").alias("u"), F.col("m").alias("v"))).where("u != v").distinct())
+        # Both have distinct rows: if all of the one are among the others and there are as many, they are the same.
+        same = now.count() == edges.count() and now.join(edges, ["u", "v"], "left_anti").isEmpty()
+        edges = now
+        if same:
             return edges.select(F.col("u").alias("doc_id"), F.col("v").alias("root")).unionByName(edges.select(F.col("v").alias("doc_id"), F.col("v").alias("root")).distinct())
-        state = now
 
 
 def keep_one(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """docs with one document of each group (connected component of similar documents), the one of the lowest id.
 
     Of rows that repeat a doc_id within a group one stays; rows that are in no group all stay, but for those that repeat an id and a text."""
-    found = components(representative_pairs(docs, threshold))
+    *_, found = _linked(docs, threshold)
     lose = found.where("doc_id != root").select(F.col("doc_id").alias("_lost"))
     kept = docs.join(lose, docs["doc_id"] == lose["_lost"], "left_anti")
     # Ids on several rows are rare; only their rows are looked at again.
