@@ -2,7 +2,7 @@
 
 Candidates are upper-case words of two letters or more, and what stands in brackets (up to eight tokens). A long one in brackets is the long form of the word before the bracket; a short one is the short form
 of the words before it, in the same sentence. The letters of a short form are sought in the long form from right to left: the first one has to open a word, and no letter may pass over more than two
-words. Every found form is then sought in the whole document, and each hit goes with the partner of the latest definition before it. The shorter one of a pair (in tokens, then in characters) is the short form.
+words. Results for odd input: null or empty words have no abbreviations; rows that repeat an id are searched each; a null id stays null; columns that aren't named aren't read. Every found form is then sought in the whole document, and each hit goes with the partner of the latest definition before it. The shorter one of a pair (in tokens, then in characters) is the short form.
 """
 
 from __future__ import annotations
@@ -159,6 +159,13 @@ def find_pairs(words: list[str], spaces: list[bool] | None = None, starts: list[
     return sorted(out.values(), key=lambda p: (p.long_start, p.short_start))
 
 
+@F.arrow_udf(T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())])))
+def candidates_column(words: pa.Array) -> pa.Array:
+    """The candidate spans of each document."""
+    kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
+    return pa.array([None if w is None else [{"start": a, "end": b} for a, b in candidates(w)] for w in words.to_pylist()], kind)
+
+
 _PAIRS = T.ArrayType(T.StructType([T.StructField(f, T.IntegerType()) for f in Pair._fields]))
 
 

@@ -1,11 +1,12 @@
 """Naive Bayes over categorical features, with all kinds of features pooled for normalisation and the prior weighted by its fourth power.
 
-Training is one aggregation: p(feature | label) = (count + 0.1) / (features of the label + 0.1 distinct features); scoring is a join and a sum of logarithms.
+A model is a table, kept with save() and read with load(). Results for odd input: null labels and features don't count; an item all of whose features are null or unknown has the prior's probability; an empty
+table trains a model without rows, which classifies nothing; other columns aren't read. Training is one aggregation: p(feature | label) = (count + 0.1) / (features of the label + 0.1 distinct features); scoring is a join and a sum of logarithms.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 SMOOTH, PRIOR_POWER = 0.1, 4
@@ -32,6 +33,18 @@ def classify(items: DataFrame, model: DataFrame, key: str) -> DataFrame:
     return sums.crossJoin(F.broadcast(prior)).select(key, (1 / (1 + F.exp(odds))).alias("p1"))
 
 
+def save(model: DataFrame, folder: str) -> None:
+    model.write.mode("overwrite").parquet(folder)
+
+
+def load(spark: SparkSession, folder: str) -> DataFrame:
+    """The model; ValueError where the folder holds another table."""
+    model = spark.read.parquet(folder)
+    if [c for c, _ in model.dtypes] != ["feat", "p0", "p1"]:
+        raise ValueError(f"{folder} holds no model")
+    return model
+
+
 def _cleaned(word: Column) -> Column:
     """Numbers as <NUM>, other signs than points, hyphens and apostrophes dropped."""
     out = F.regexp_replace(word, r"[.,\d]*\d", "<NUM>")

@@ -2,6 +2,9 @@
 
 A graph is five tables, kept together in a PageGraph: pages, redirects, disambiguations and categories by title, and edges (src, dst) from pages and subcategories to their categories. Building is joins and
 first-wins aggregations; questions are joins too, each for a whole table of titles or ids at once. ``ord`` columns say in which order the rows were in the dump.
+
+Results for odd input: rows with a null id or title match nothing; repeated rows count once; titles asked for twice are answered twice; empty tables give empty answers. Names that begin with an underscore are the
+operators' own.
 """
 
 from __future__ import annotations

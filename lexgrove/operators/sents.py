@@ -3,6 +3,8 @@
 A sentence ends after a token that ends in a full stop (with closing quotes or brackets), unless it or the one before is a safe acronym or abbreviation. It
 also ends before a token that holds one of the special starters, after a noun, name, adjective or adverb, or after a line break. The first token of a
 sentence is never tested, so that of adjoining boundaries every other counts. Exclamation and question marks end no sentence.
+
+Results for odd input: null words have null starts and no sentences, empty ones none; missing or null tags are no noun's; rows that repeat an id are cut each; other columns aren't read.
 """
 
 from __future__ import annotations

@@ -369,16 +369,17 @@ def sent_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # Abbreviations
 
-_BRACKETS = f"""{o.WORDS}, {o.match_steps("u", [f"({_ALPHA} and {o.flag('IS_UPPER')} and length(t) > 1)"], "{0}")},
-{o.match_steps("k", ["t in ('(', '[')", "t in (')', ']')"], "{0}+{any}+?{1}+")}"""
 
-
-@query(f"""with {_BRACKETS} select doc_id, start, "end", 'upper' as kind from u union all select doc_id, start, "end", 'bracket' from k""")
+@query(
+    f"""with {o.WORDS}, f as (select doc_id, words, unnest(range(len(words))) as i, unnest(words) as t from words_of),
+c as (select doc_id, i, t, words[i + 2] as nx, min(case when t in (')', ']') then i end) over (partition by doc_id order by i rows between 1 following and unbounded following) as e from f)
+select distinct doc_id, cast(start as integer) as start, cast("end" as integer) as "end" from (
+  select doc_id, i as start, i + 1 as "end" from f where length(t) > 1 and {o.flag("IS_ALPHA")} and {o.flag("IS_UPPER")}
+  union all select doc_id, i + 1, e from c where t in ('(', '[') and e > i + 1 and nx not in ('(', '['))"""
+)
 def abbr_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Upper-case words, and bracketed texts with their brackets, as two rules."""
-    opened, closed = {"TEXT": {"IN": ["(", "["]}, "OP": "+"}, {"TEXT": {"IN": [")", "]"]}, "OP": "+"}
-    rules = RuleSet().add("upper", [[{"IS_ALPHA": True, "IS_UPPER": True, "LENGTH": {">": 1}}]]).add("bracket", [[opened, {"OP": "+"}, closed]])
-    return match(documents(spark, sf_dir), rules).select("doc_id", "start", "end", F.col("rule").alias("kind"))
+    """The spans that may be short or long forms: upper-case words, and what stands in brackets."""
+    return documents(spark, sf_dir).select("doc_id", F.explode(abbrs.candidates_column("words")).alias("s")).select("doc_id", "s.start", "s.end")
 
 
 @query()
@@ -448,9 +449,17 @@ def raw_graph(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     return {name: spark.sql(sql, **{t: d for t, d in star.items() if f"{{{t}}}" in sql}) for name, sql in RAW.items()}
 
 
+_graphs: dict[tuple[str, str], graph.PageGraph] = {}
+
+
 def star_graph(spark: SparkSession, sf_dir: str) -> graph.PageGraph:
-    raw = raw_graph(spark, sf_dir)
-    return graph.build(raw["page"], raw["props"], raw["redirect"], raw["links"])
+    """Built once for each application and folder, then asked; its tables are checkpoints."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _graphs:
+        _graphs.clear()
+        raw = raw_graph(spark, sf_dir)
+        _graphs[key] = graph.build(raw["page"], raw["props"], raw["redirect"], raw["links"])
+    return _graphs[key]
 
 
 @query(f"with {_GRAPH_SQL} select id, prop, min_by(value, ord) as value from props group by id, prop")
@@ -642,40 +651,45 @@ s as (select a.key, b.key as other, list_cosine_similarity(a.v, b.v) as sim from
 r as (select *, row_number() over (partition by key order by sim desc, other) as rank from s), knn as (select * from r where rank <= 30)"""
 
 
-@query(f"with {_SIM} select key, other, round(sim, 6) as sim, cast(rank as integer) as rank from knn")
+def _queries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The vectors whose ids are divisible by 100 ask all vectors."""
+    return _vectors(spark, sf_dir).where("key % 100 = 0")
+
+
+@query(f"with {_SIM} select key, other, round(sim, 6) as sim, cast(rank as integer) as rank from knn where key % 100 = 0")
 def knn_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return clusters.nearest(_vectors(spark, sf_dir)).withColumn("sim", F.round("sim", 6))
+    return clusters.nearest(_vectors(spark, sf_dir), queries=_queries(spark, sf_dir)).withColumn("sim", F.round("sim", 6))
 
 
-@query(f"with {_SIM}, b as (select key as other, sim as best from knn where rank = 1) select key, round(least(max(sim), (sum(best) + max(sim)) / (count(*) + 1) - 0.1), 6) as min_score from knn join b using (other) group by key")
+@query(f"with {_SIM}, b as (select key as other, sim as best from knn where rank = 1) select key, round(least(max(sim), (sum(best) + max(sim)) / (count(*) + 1) - 0.1), 6) as min_score from knn join b using (other) where key % 100 = 0 group by key")
 def knn_min_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return clusters.default_score(clusters.nearest(_vectors(spark, sf_dir))).withColumn("min_score", F.round("min_score", 6))
+    return clusters.default_score(_vectors(spark, sf_dir), _queries(spark, sf_dir)).withColumn("min_score", F.round("min_score", 6))
+
+
+def _document_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All vectors, as chunks of documents of 50."""
+    return _vectors(spark, sf_dir).select(F.expr("key div 50").alias("doc"), "key", "vec")
 
 
 @query()
 def ball_single_root(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Balls around the first vector of each label's group."""
-    vectors = _vectors(spark, sf_dir)
-    roots = vectors.groupBy("label").agg(F.min("key").alias("root"))
-    # A root is the same for a group: it comes first in its order.
-    grouped = vectors.join(roots, "label")
-
-    def run(pdf):  # noqa: ANN001, ANN202
-        import numpy as np
-        import pandas as pd
+    """Balls around the first vector of each document."""
+    import numpy as np
+    import pandas as pd
 
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("key")
-        model = clusters.Model(pdf["key"].tolist(), np.stack(pdf["vec"].to_list()).astype(np.float64))
-        found = [sorted(b) for b in clusters.balls_around(model, pdf["root"].iloc[0])]
-        return pd.DataFrame({"label": [pdf["label"].iloc[0]] * len(found), "ball": range(len(found)), "members": found})
+        made = clusters.Group(pdf["key"].tolist(), np.stack(pdf["vec"].to_list()).astype(np.float64))
+        found = [made.names(b) for b in made.balls(0)]
+        return pd.DataFrame({"doc": [pdf["doc"].iloc[0]] * len(found), "ball": range(len(found)), "members": found})
 
-    return grouped.groupBy("label").applyInPandas(run, "label int, ball int, members array<bigint>")
+    return _document_vectors(spark, sf_dir).groupBy("doc").applyInPandas(run, "doc bigint, ball int, members array<bigint>")
 
 
 @query()
 def ball_multi(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Merged balls of all roots of each label's group."""
-    return clusters.cluster(_vectors(spark, sf_dir), "label")
+    """Merged balls of all roots of each document."""
+    return clusters.cluster(_document_vectors(spark, sf_dir), "doc")
 
 
 @query("select label, d - 1 as d, round(avg(v[d]), 6) as x from (select label, cast(embedding as double[]) as v, unnest(range(1, len(embedding) + 1)) as d from embeddings) group by label, d")

@@ -1,7 +1,7 @@
 """Wiki SQL dumps: INSERT lines as rows of strings, and the tables that a graph is built from.
 
 The lines are cut into tuples and fields by regular expressions in the JVM that take a quoted string with its escapes as a whole. NULL stays text. Files are read as UTF-8; gzip files can't be split, so
-their lines are spread before they are parsed.
+their lines are spread before they are parsed. Null lines, and lines that aren't INSERTs, have no rows; a repeated line gives its rows again; fields that a row lacks are null.
 """
 
 from __future__ import annotations

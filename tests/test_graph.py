@@ -121,6 +121,46 @@ def test_titles(spark):
     assert titles.scan(titles.lookup_words(tagged), index).select(F.explode("titles")).first()[0] == "Apple"
 
 
+def test_titles_against_brute_force(spark):
+    import random
+
+    rng = random.Random(6)
+    words = ["Red", "blue", "sky", "the", ",", "of", "7"]
+    names = {"_".join(rng.choice(words[:4] + words[5:]) for _ in range(rng.randint(1, 5))) for _ in range(40)}
+    index = titles.title_index(spark.createDataFrame([(t, k) for k, t in enumerate(sorted(names))], "title string, ord long"))
+    keys = {tuple(t.lower().split("_")) for t in names}
+    texts = [[rng.choice(words) for _ in range(rng.randint(0, 40))] for _ in range(40)]
+    docs = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, words array<string>")
+    every, taken, inner = [], [], []
+    for d, t in enumerate(texts):
+        at = [k for k, w in enumerate(t) if w != ","]
+        own = [(at[a], at[b - 1] + 1) for a in range(len(at)) for b in range(a + 1, len(at) + 1) if tuple(t[k].lower() for k in at[a:b]) in keys]
+        free, mine = 0, []
+        for s in sorted({s for s, _ in own}):
+            if s >= free:
+                free = max(e for b, e in own if b == s)
+                mine.append((s, free))
+        every += [(d, *x) for x in own]
+        taken += [(d, *x) for x in mine]
+        inner += [(d, *x) for x in own if any(a <= x[0] and x[1] <= b for a, b in mine)]
+    for size in (titles.BROADCAST_BYTES, 0):  # in one pass, and by a join
+        for f, want in ((titles.all_matches, every), (titles.scan, taken), (titles.sub_matches, inner)):
+            got = f(docs, index, broadcast_bytes=size).collect()
+            assert sorted((r.doc_id, r.start, r.end) for r in got) == sorted(want)
+            assert all("_".join(w for w in texts[r.doc_id][r.start : r.end] if w != ",").lower() in {x.lower() for x in r.titles} for r in got)
+
+
+def test_build_of_all_titles(spark):
+    page = spark.createDataFrame([("0", 1, "Apple", 1), ("0", 4, "Pomme", 4)], "ns string, id long, title string, ord long")
+    props = spark.createDataFrame([], "id long, prop string, value string, ord long")
+    red = spark.createDataFrame([(4, "Apple", 1)], "source_id long, target_title string, ord long")
+    links = spark.createDataFrame([], "type string, source_id long, target_title string")
+    assert _rows(graph.build(page, props, red, links, intended=False).pages, "title") == {("Apple",), ("Pomme",)}
+    assert _rows(graph.build(page, props, red, links).pages, "title") == {("Apple",)}
+    empty = graph.build(page.limit(0), props, red.limit(0), links)
+    assert empty.pages.count() == 0 and empty.edges.count() == 0
+
+
 def test_two_hops_around_all_titles(spark):
     near = {}
     for r in catalog.QUERIES["graph_edges"](spark, SF).collect():

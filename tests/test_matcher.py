@@ -17,41 +17,43 @@ from lexgrove.operators.rules import PatternError, RuleSet, check_pattern, rules
 T = lambda w, **k: {"TEXT": w, **k}
 #: pattern, words, spans (or their number)
 CASES = [
-    ([{"ORTH": "JavaScript"}], "JavaScript is good", [(0, 1)]),
-    ([{"ORTH": "Google"}, {"ORTH": "Now"}], "I like Google Now best", [(2, 4)]),
-    ([{"LOWER": "java"}], "I like Java", [(2, 3)]),
-    ([{"ORTH": "a"}, {}, {"ORTH": "c"}], "a b c", [(0, 3)]),
-    ([{"ORTH": "test"}, {"OP": "*"}], "test hello world", [(0, 3)]),
-    ([T("a"), {"IS_ALPHA": True, "OP": "+"}, T("c")], "a b c", [(0, 3)]),
-    ([T('"'), {"IS_PUNCT": True, "OP": "!"}, {"IS_PUNCT": True, "OP": "!"}, T('"')], 'He said , " some words " ...', 1),
-    ([T('"'), {"IS_PUNCT": True, "OP": "!"}, {"IS_PUNCT": True, "OP": "!"}, T('"')], 'He said , " some three words " ...', 0),
-    ([T('"'), {"IS_PUNCT": False, "OP": "*"}, T('"')], 'He said , " some three words " ...', 1),
-    ([T("Philippe", OP="1"), T("Philippe", OP="+")], "Philippe Philippe", 1),
-    ([{"ORTH": {"IN": ["an", "a"]}}], "an a apple", 2),
-    ([{"ORTH": {"IN": ["an", "a"]}}], "aardvark", 0),
-    ([{"LOWER": {"IN": ["a", "the"]}, "OP": "?"}, {"LOWER": "house"}], "In a house", 1),
-    ([{"LOWER": {"IN": ["a", "the"]}, "OP": "?"}, {"LOWER": "house"}], "my house", 1),
-    ([{"ORTH": {"REGEX": r"(?:a|an)"}}], "an a hi", 2),
-    ([{"ORTH": {"REGEX": r"(?:a|an)"}}], "bye", 0),
-    ([{"SHAPE": {"REGEX": r"^[^x]+$"}}], "99 problems !", 2),
-    ([{"SHAPE": {"REGEX": r"^[^x]+$"}}], "bye", 0),
-    *[([{"LENGTH": {op: 2}}], "a aa aaa", n) for op, n in zip(("==", "!=", ">=", "<=", ">", "<"), (1, 2, 2, 2, 1, 1), strict=True)],
-    *[([T("a"), T("b", OP="*")], w, 1) for w in ("a", "a b", "a c", "a b c", "a b b c", "a b b")],
-    *[([T("b", OP="*"), T("c")], w, 1) for w in ("c", "b c", "a c", "a b c", "a b b c", "b b c")],
-    *[([{"TEXT": {"NOT_IN": ["t", "z"]}, "OP": "*"}, T("c")], w, 1) for w in ("c", "b c", "z c", "z b c", "t z b c", "a t z c", "a t z b c")],
-    *[([T("a", OP="*"), T("b", OP="*"), T("c")], w, 1) for w in ("c", "b c", "z c", "a b c", "a z b c", "a b z c")],
-    ([T("a", OP="+"), T("b", OP="*")], "b", 0),
-    *[([T("a", OP="+"), T("b", OP="*")], w, 1) for w in ("a", "a b", "a b b", "z a b", "a z b", "a b z", "a b z b", "a b b z")],
-    ([{"LENGTH": {"==": 1}, "OP": "*"}, {"LOWER": "test"}, {"LENGTH": {"==": 1}, "OP": "*"}], "aa a test b bb", [(1, 4)]),
-    ([T("[1] (2)")], "[1] (2)", 1),
-    ([T("a", OP="+")], "a a a b", [(0, 3)]),
-    ([T("a"), {"OP": "+"}, T("c")], "a b c c", [(0, 3)]),
-    ([{"LENGTH": 2}], "a aa 2", [(1, 2)]),
-    ([{"lower": {"in": ["aa"]}}], "a Aa 2", [(1, 2)]),
+    ([{"ORTH": "OpenRiver"}], "OpenRiver runs fast", [(0, 1)]),
+    ([{"ORTH": "Green"}, {"ORTH": "Hill"}], "we saw Green Hill again", [(2, 4)]),
+    ([{"LOWER": "mill"}], "the old Mill", [(2, 3)]),
+    ([{"ORTH": "p"}, {}, {"ORTH": "r"}], "p q r", [(0, 3)]),
+    ([{"ORTH": "all"}, {"OP": "*"}], "all that follows", [(0, 3)]),
+    ([T("p"), {"IS_ALPHA": True, "OP": "+"}, T("r")], "p q r", [(0, 3)]),
+    ([T("|"), {"IS_PUNCT": True, "OP": "!"}, {"IS_PUNCT": True, "OP": "!"}, T("|")], "left | two cells | right", 1),
+    ([T("'"), {"IS_PUNCT": True, "OP": "!"}, {"IS_PUNCT": True, "OP": "!"}, T("'")], "she wrote ' one two three ' here", 0),
+    ([T("'"), {"IS_PUNCT": False, "OP": "*"}, T("'")], "she wrote ' one two three ' here", 1),
+    ([T("ho", OP="1"), T("ho", OP="+")], "ho ho", 1),
+    ([{"ORTH": {"IN": ["to", "of"]}}], "of to town", 2),
+    ([{"ORTH": {"IN": ["to", "of"]}}], "tower", 0),
+    ([{"LOWER": {"IN": ["my", "our"]}, "OP": "?"}, {"LOWER": "boat"}], "On our boat", 1),
+    ([{"LOWER": {"IN": ["my", "our"]}, "OP": "?"}, {"LOWER": "boat"}], "his boat", 1),
+    ([{"ORTH": {"REGEX": r"(?:to|ot)"}}], "tot ot x", 2),
+    ([{"ORTH": {"REGEX": r"(?:to|ot)"}}], "nil", 0),
+    ([{"SHAPE": {"REGEX": r"^[^x]+$"}}], "7 dwarfs ?", 2),
+    ([{"SHAPE": {"REGEX": r"^[^x]+$"}}], "nil", 0),
+    *[([{"LENGTH": {op: 3}}], "oo ooo oooo", n) for op, n in zip(("==", "!=", ">=", "<=", ">", "<"), (1, 2, 2, 2, 1, 1), strict=True)],
+    *[([T("p"), T("q", OP="*")], w, 1) for w in ("p", "p q", "p r", "p q r", "p q q r", "p q q")],
+    *[([T("q", OP="*"), T("r")], w, 1) for w in ("r", "q r", "p r", "p q r", "p q q r", "q q r")],
+    *[([{"TEXT": {"NOT_IN": ["m", "n"]}, "OP": "*"}, T("r")], w, 1) for w in ("r", "q r", "n r", "n q r", "m n q r", "p m n r")],
+    *[([T("p", OP="*"), T("q", OP="*"), T("r")], w, 1) for w in ("r", "q r", "n r", "p q r", "p n q r", "p q n r")],
+    ([T("p", OP="+"), T("q", OP="*")], "q", 0),
+    *[([T("p", OP="+"), T("q", OP="*")], w, 1) for w in ("p", "p q", "p q q", "n p q", "p n q", "p q n q")],
+    ([{"LENGTH": {"==": 1}, "OP": "*"}, {"LOWER": "mid"}, {"LENGTH": {"==": 1}, "OP": "*"}], "oo o mid p pp", [(1, 4)]),
+    ([T("(3) [4]")], "(3) [4]", 1),
+    ([T("p", OP="+")], "p p p q", [(0, 3)]),
+    ([T("p"), {"OP": "+"}, T("r")], "p q r r", [(0, 3)]),
+    ([{"LENGTH": 3}], "o ooo 3", [(1, 2)]),
+    ([{"lower": {"in": ["oo"]}}], "o Oo 2", [(1, 2)]),
+    ([{"LOWER": "page"}, {"REGEX": r"\d+|[ivx]+"}, {"IS_PUNCT": True}], "Page xi . page x1 . page 12 !", [(0, 3), (6, 9)]),
+    ([{"REGEX": r"[a-c]+", "OP": "+"}, T("end")], "ab bca end d end", [(0, 3), (1, 3)][:1]),
 ]
 FLAGS = {
-    "IS_ALPHA": "a", "IS_ASCII": "a", "IS_DIGIT": "1", "IS_LOWER": "a", "IS_UPPER": "A", "IS_TITLE": "Aaaa", "IS_PUNCT": ".", "IS_SPACE": "\n", "IS_BRACKET": "[", "IS_QUOTE": '"',
-    "IS_LEFT_PUNCT": "(", "IS_RIGHT_PUNCT": ")", "IS_STOP": "the", "LIKE_NUM": "1", "LIKE_URL": "http://example.com", "LIKE_EMAIL": "hi@example.com", "IS_CURRENCY": "$",
+    "IS_ALPHA": "word", "IS_ASCII": "k!", "IS_DIGIT": "90", "IS_LOWER": "low", "IS_UPPER": "UP", "IS_TITLE": "Title", "IS_PUNCT": ";", "IS_SPACE": "\t", "IS_BRACKET": "}", "IS_QUOTE": "\u00bb",
+    "IS_LEFT_PUNCT": "[", "IS_RIGHT_PUNCT": "]", "IS_STOP": "which", "LIKE_NUM": "seven", "LIKE_URL": "www.example.org", "LIKE_EMAIL": "me@mail.example.org", "IS_CURRENCY": "\u20ac",
 }
 
 
@@ -187,4 +189,60 @@ def test_native_is_the_same(spark):
 
 
 def test_token_pattern_is_common():
-    assert regex.findall(tx.TOKEN, "it's 3.5%, naïve…") == ["it", "'", "s", "3", ".", "5", "%", ",", "naïve", "…"]
+    assert regex.findall(tx.TOKEN, "it's 3.5%, naïve… 1,000.5 (U.S.) Mr. Roe, e.g. at 3 p.m. in cars. No.7") == [
+        "it", "'", "s", "3.5", "%", ",", "naïve", "…", "1,000.5", "(", "U.S.", ")", "Mr.", "Roe", ",", "e.g.", "at", "3", "p.m.", "in", "cars", ".", "No.", "7",
+    ]
+
+
+def test_annotations_case_and_fallback(spark):
+    docs = docs_of(spark, [["Ran", "runs"], ["x", "y"]], lemma=[["RUN", "run"], ["walk", None]], norm=[[None, "gonna"], None], tag=[["VBD", "VBZ"], ["NN", "NN"]], dep=[["ROOT", "x"], ["a", "b"]], ent_type=[["", "ORG"], ["", ""]])
+    rules = RuleSet().add("lemma", [[{"LEMMA": "run"}]]).add("LEMMA", [[{"LEMMA": "RUN"}]]).add("norm", [[{"NORM": {"IN": ["ran", "gonna", "y"]}}]])
+    rules.add("tag", [[{"TAG": {"NOT_IN": ["NN"]}}]]).add("dep", [[{"DEP": "ROOT"}, {"ENT_TYPE": "ORG"}]])
+    got = {}
+    for r in match(docs, rules).collect():
+        got.setdefault(r.rule, set()).add((r.doc_id, r.start))
+    assert got == {"lemma": {(0, 0), (0, 1)}, "norm": {(0, 0), (0, 1), (1, 1)}, "tag": {(0, 0), (0, 1)}, "dep": {(0, 0)}}
+    assert match(docs.drop("norm"), RuleSet().add("norm", [[{"NORM": "ran"}]])).count() == 1
+
+
+def test_texts_of_repeated_ids(spark):
+    docs = spark.createDataFrame([(1, ["the", "one"], "x"), (1, ["the", "other", "two"], "y"), (None, ["the", "third"], None)], "doc_id long, words array<string>, text string")
+    got = match(docs, RuleSet().add("r", [[{"LOWER": "the"}, {"OP": "+"}]]), text=True)
+    assert sorted((r.doc_id or 0, r.text) for r in got.collect()) == [(0, "the third"), (1, "the one"), (1, "the other")] or sorted((r.doc_id or 0, r.text) for r in got.collect()) == [(0, "the third"), (1, "the one"), (1, "the other two")]
+
+
+def test_many_rules_are_each_as_alone(spark):
+    import random
+
+    rng = random.Random(3)
+    words = ["The", "the", "Cat", "cat", "dog", "7", ".", "ran"]
+    docs = docs_of(spark, [[rng.choice(words) for _ in range(rng.randint(0, 25))] for _ in range(30)])
+    specs = [{"LOWER": "the"}, {"TEXT": "Cat"}, {"LOWER": {"IN": ["cat", "dog"]}, "IS_TITLE": True}, {"IS_DIGIT": True}, {"TEXT": {"NOT_IN": ["."]}}, {"LENGTH": {">": 3}}, {"TEXT": {"REGEX": "[cd]"}}, {"IS_PUNCT": True, "OP": "!"}, {"OP": "*"}, {"LOWER": "cat", "OP": "?"}, {"LOWER": "ran", "OP": "+"}]
+    patterns = [[s] for s in specs] + [[rng.choice(specs) for _ in range(rng.randint(2, 4))] for _ in range(60)]
+    rules = RuleSet()
+    for k, p in enumerate(patterns):
+        rules.add(f"r{k}", [p])
+    together = {}
+    for r in match(docs, rules).collect():
+        together.setdefault(r.rule, []).append((r.doc_id, r.start, r.end))
+
+    def fits(spec, w):
+        lower, title = w.lower(), regex.search(r"^\p{Lu}\P{Lu}*$", w) is not None
+        has = {"LOWER": lambda v: lower in v["IN"] if isinstance(v, dict) else lower == v, "TEXT": lambda v: w not in v["NOT_IN"] if isinstance(v, dict) and "NOT_IN" in v else regex.search(v["REGEX"], w) is not None if isinstance(v, dict) else w == v,
+               "IS_TITLE": lambda v: title is v, "IS_DIGIT": lambda v: w.isdigit() is v, "IS_PUNCT": lambda v: (w == ".") is v, "LENGTH": lambda v: len(w) > v[">"]}
+        return all(has[a](v) for a, v in spec.items() if a != "OP") != (spec.get("OP") == "!")
+
+    rows = {r.doc_id: r.words for r in docs.collect()}
+    for k, p in enumerate(patterns):
+        tests = [s for s in p if set(s) != {"OP"}]
+        expression = "".join("." + s["OP"] if set(s) == {"OP"} else f"[{''.join(chr(65 + m) for m in range(1 << len(tests)) if m >> tests.index(s) & 1)}]" + {"!": ""}.get(s.get("OP", ""), s.get("OP", "")) for s in p)
+        want = []
+        for i, w in rows.items():
+            text, last = "".join(chr(65 + sum(fits(s, t) << n for n, s in enumerate(tests))) for t in w), None
+            for at in range(len(text)):
+                m = regex.compile(expression).match(text, at)
+                if m and m.end() > at:
+                    if m.end() != last:
+                        want.append((i, at, m.end()))
+                    last = m.end()
+        assert sorted(together.get(f"r{k}", [])) == sorted(want), p

@@ -14,7 +14,7 @@ from lexgrove import catalog
 from lexgrove.operators.rules import RuleSet
 from lexgrove.streaming.pipes import match_stream, read_documents, run_batches, write_matches
 
-SOME = ["tokenize_counts", "token_flags", "idx2i_lookup", "match_plus", "match_any_lazy", "match_negate", "match_length_cmp", "match_raw_regex", "match_multi_rule_dedup", "span_first_conflict_merge", "np_phrases", "sent_boundaries", "abbr_asof_lone", "graph_edges", "title_scan", "dump_parse", "knn_topk", "nb_train", "json_props"]
+NAMES = sorted(catalog.ORACLE)
 
 
 @pytest.fixture(scope="module")
@@ -29,7 +29,7 @@ def _norm(v):
     return f"{v:.9g}" if isinstance(v, float) else str(v)
 
 
-@pytest.mark.parametrize("name", SOME)
+@pytest.mark.parametrize("name", NAMES)
 def test_against_sql(spark, con, name):
     got = catalog.QUERIES[name](spark, SF)
     columns = sorted(got.columns)
