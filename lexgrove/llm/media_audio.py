@@ -6,9 +6,9 @@ polyphase form: every block of DOWN inputs, with the neighbours that the filter
 their natural logarithms are kept. A frame is active from an energy of the upper threshold on, and stays so until it falls below the lower one;
 both lie between the clip's quiet (10th percentile) and loud (95th) frames. Active runs of ``LEAST`` frames or more are segments.
 
-One row a tensor: doc_id, chunk, start_s and end_s of its frames, n_frames that are filled (the rest are 0), logmel (``CHUNK`` x ``MELS`` float32 in row
-order, always that long) and the segments that begin in it. Arrow's fixed-shape tensors: to_tensors() gives the column that type, and
-write_tensors() has the executors write Parquet files with it.
+One row a tensor: doc_id, chunk, start_s and end_s of its frames, n_frames that are filled (the rest are 0), logmel and the segments that begin in it. logmel is an
+Arrow tensor of ``CHUNK`` x ``MELS`` float32 with named dimensions, as the message that pyarrow.ipc.read_tensor reads; all have one shape and so one header. to_tensors() turns the
+column into Arrow's fixed-shape tensor type, and write_tensors() has the executors write Parquet files with it.
 
 The tables hold no audio, so the query takes the UTF-8 bytes of documents.text as payloads: whole texts, whole table.
 
@@ -135,11 +135,39 @@ def segments_of(active: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.nd
 
 _SCHEMA = T.StructType([
     T.StructField("doc_id", T.LongType()), T.StructField("chunk", T.IntegerType()), T.StructField("start_s", T.DoubleType()), T.StructField("end_s", T.DoubleType()),
-    T.StructField("n_frames", T.IntegerType()), T.StructField("logmel", T.ArrayType(T.FloatType()), metadata={"shape": [CHUNK, MELS]}),
+    T.StructField("n_frames", T.IntegerType()), T.StructField("logmel", T.BinaryType(), metadata={"arrow_tensor": "float32", "shape": [CHUNK, MELS]}),
     T.StructField("segments", T.ArrayType(T.StructType([T.StructField("start_s", T.DoubleType()), T.StructField("end_s", T.DoubleType())]))),
 ])
 
 
+def _header() -> np.ndarray:
+    """What stands before the values in the message of a tensor of this shape."""
+    zero, out = np.zeros((CHUNK, MELS), np.float32), pa.BufferOutputStream()
+    pa.ipc.write_tensor(pa.Tensor.from_numpy(zero, ["frame", "mel"]), out)
+    message = out.getvalue().to_pybytes()
+    return np.frombuffer(message[: len(message) - zero.nbytes], np.uint8)
+
+
+_HEADER = _header()
+
+
+def messages(tensors: np.ndarray) -> pa.Array:
+    """(n, CHUNK, MELS) as n tensor messages."""
+    n = len(tensors)
+    data = np.empty((n, len(_HEADER) + 4 * CHUNK * MELS), np.uint8)
+    data[:, : len(_HEADER)] = _HEADER
+    data[:, len(_HEADER) :] = tensors.reshape(n, -1).view(np.uint8)
+    return pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer((np.arange(n + 1) * data.shape[1]).astype(np.int32)), pa.py_buffer(data)])
+
+
+def values_of(column: pa.Array) -> np.ndarray:
+    """The tensors (n, CHUNK, MELS) of messages."""
+    first = np.frombuffer(column.buffers()[1], np.int32)[column.offset] if len(column) else 0
+    width = len(_HEADER) + 4 * CHUNK * MELS
+    data = np.frombuffer(column.buffers()[2] or b"", np.uint8)[first : first + width * len(column)].reshape(len(column), width)
+    return np.ascontiguousarray(data[:, len(_HEADER) :]).view(np.float32).reshape(-1, CHUNK, MELS)
+
+
 def _clips(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for a, b, data, offsets in text_slices(batch["payload"]):
@@ -167,7 +195,7 @@ def _clips(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([
                 batch["doc_id"].slice(a, b - a).take(pa.array(has[clip])).cast(pa.int64()), pa.array(number, pa.int32()), pa.array(number * CHUNK * HOP / RATE),
                 pa.array(np.minimum(((number * CHUNK + filled - 1) * HOP + FRAME) / RATE, seconds[clip])), pa.array(filled, pa.int32()),
-                pa.ListArray.from_arrays(pa.array(np.arange(len(clip) + 1) * (CHUNK * MELS), pa.int32()), pa.array(tensor.ravel())),
+                messages(tensor),
                 pa.ListArray.from_arrays(pa.array(np.append(np.searchsorted(begin, chunk_begin), len(begin)), pa.int32()), spans),
             ], _SCHEMA.names)
 
@@ -183,7 +211,7 @@ def to_tensors(batch: pa.RecordBatch | pa.Table) -> pa.RecordBatch | pa.Table:
     at = batch.schema.get_field_index("logmel")
     column = batch.column(at)
     parts = column.chunks if isinstance(column, pa.ChunkedArray) else [column]
-    made = [pa.ExtensionArray.from_storage(kind, pa.FixedSizeListArray.from_arrays(p.flatten(), CHUNK * MELS)) for p in parts]
+    made = [pa.ExtensionArray.from_storage(kind, pa.FixedSizeListArray.from_arrays(pa.array(values_of(p).ravel()), CHUNK * MELS)) for p in parts]
     return batch.set_column(at, pa.field("logmel", kind), pa.chunked_array(made, kind) if isinstance(column, pa.ChunkedArray) else made[0])
 
 
