@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 from .bytesops import text_slices
-from .tables import table
+from .tables import documents
 
 SOURCE_RATE, RATE = 22_050, 16_000
 UP, DOWN = 320, 441
@@ -237,4 +237,4 @@ def write_tensors(features: DataFrame, uri: str) -> DataFrame:
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return audio_features(table(spark, sf_dir, "documents"), "text")
+    return audio_features(documents(spark, sf_dir), "text")

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .bytesops import mix, ngram_hashes, powers, text_slices, within_rows, word_bounds, words
-from .tables import table
+from .tables import documents
 
 LENGTH = 50
 SEED = 12
@@ -261,4 +261,4 @@ def drop_repeats(docs: DataFrame) -> DataFrame:
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return repeated_spans(table(spark, sf_dir, "documents")).select("doc_id", "start_word", "end_word", "kept")
+    return repeated_spans(documents(spark, sf_dir)).select("doc_id", "start_word", "end_word", "kept")

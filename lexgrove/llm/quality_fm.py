@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 
 from .bytesops import fold, span_hashes, text_slices, word_bounds
-from .tables import labelled_sample, table
+from .tables import documents, labelled_sample, table
 
 WORDS = 1 << 13
 META = 1 << 8
@@ -193,4 +193,4 @@ def drop_rejected(docs: DataFrame, labels: DataFrame, max_train_rows: int = MAX_
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return quality(documents(spark, sf_dir), table(spark, sf_dir, "labels"))

@@ -12,6 +12,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The table of documents; a small one, of fewer tasks than there are cores, is spread (in an order that doesn't change from one reading to the next)."""
+    docs, cores = table(spark, sf_dir, "documents"), spark.sparkContext.defaultParallelism
+    return docs.repartition(cores, "doc_id").sortWithinPartitions("doc_id", "text") if docs.rdd.getNumPartitions() < cores else docs
+
+
 def scratch(spark: SparkSession) -> str:
     """The shared folder that the cluster names in spark.checkpoint.dir. Where none is named, one of our own, on a single machine only."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
@@ -31,6 +37,11 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def remove(spark: SparkSession, folder: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def labelled_sample(docs: DataFrame, labels: DataFrame, target: str, most: int) -> DataFrame:
     """At most ``most`` labelled documents, the ones whose ids hash lowest: the bounded sample that classifiers are fitted on.
 

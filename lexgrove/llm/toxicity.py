@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from .bytesops import fold, text_slices
-from .tables import labelled_sample, table
+from .tables import documents, labelled_sample, table
 
 ORDERS = (3, 4, 5)
 BUCKETS = 1 << 18
@@ -144,4 +144,4 @@ def toxicity(docs: DataFrame, labels: DataFrame, max_train_rows: int = MAX_TRAIN
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return toxicity(documents(spark, sf_dir), table(spark, sf_dir, "labels"))
