@@ -2,7 +2,8 @@
 
 1. Texts with the same n-gram set form a class; its lowest doc_id stands for it.
 2. The representatives meet in blocks: a block holds the texts that agree in a pair of minhash values (``BANDS`` pairs a text).
-   Only (key, id) rows are counted for this, and only texts that meet another one are sent on with their sets.
+   Only (key, id) rows are counted for this, and only texts that meet another one are sent on with their sets. Of blocks that hold the same texts,
+   as those of near copies mostly do, the first is used. A block of more than ``BLOCK`` texts is cut into parts, and each two of these meet in a task of their own.
 3. In a block, a signature tree is built over the texts in the order of their sizes: a node has the OR of the token bitmaps
    below it and the range of their sizes. A traversal of two nodes at a time goes down where the largest possible overlap
    can still reach the threshold; texts of the leaf pairs that are left are compared by their whole sets.
@@ -32,13 +33,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bytesops import mix, ngram_hashes, text_slices, words
-from .tables import cut, table
+from .tables import cut, documents
 
 N = 3
 THRESHOLD = 0.6
 BANDS = 16
 BITS = 1024
 LEAF, FANOUT = 16, 4
+BLOCK = 2000
 
 _SEEDS = mix(np.arange(1, 2 * BANDS + 1, dtype=np.uint64))
 
@@ -108,7 +110,7 @@ def _light(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ], ["id", "set_hash", "size", "keys"])
 
 
-_FULL = "id long, set_hash long, members long, keys binary, grams binary, bands array<int>"
+_FULL = "id long, set_hash long, members long, keys binary, grams binary, bands array<struct<band: int, parts: int>>"
 
 
 def _full(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -234,6 +236,10 @@ def _joiner(threshold: float, pairs: bool):  # noqa: ANN202
         keys = np.frombuffer(b"".join(r[2] for r in held), np.int64).reshape(-1, BANDS)
         band = held[0][0][0]
         a, b, s = similar_pairs([np.frombuffer(r[3], np.uint32) for r in held], threshold)
+        if held[0][0][2] != held[0][0][3]:  # two parts of a block: pairs within one are another task's
+            part = np.array([r[6] for r in held], np.int64)
+            cross = part[a] != part[b]
+            a, b, s = a[cross], b[cross], s[cross]
         new = (ids[a] != ids[b]) & ~(keys[a, :band] == keys[b, :band]).any(1)  # else an earlier band has the pair
         a, b, s = a[new], b[new], s[new]
         if pairs:
@@ -247,7 +253,7 @@ def _joiner(threshold: float, pairs: bool):  # noqa: ANN202
         return ids[some], np.array([r[5] for r in held], np.int64)[some], ids[lowest_labels(len(ids), a, b)][some], links[some], best[some]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows come in the order of (band, key); a block may go on in the next batch."""
+        """Rows come in the order of (band, key, low, high); a block may go on in the next batch."""
         held: list[tuple] = []
         once: set[tuple[int, int]] = set()
         out: list[tuple] = []
@@ -263,12 +269,12 @@ def _joiner(threshold: float, pairs: bool):  # noqa: ANN202
             return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], [n for n, _ in kinds])
 
         for batch in batches:
-            for band, key, i, keys, grams, members, text in zip(*(batch[c].to_pylist() for c in ("band", "key", "id", "keys", "grams", "members", "set_hash")), strict=True):
-                if held and held[0][0] != (band, key):
+            for band, key, low, high, i, keys, grams, members, text, part in zip(*(batch[c].to_pylist() for c in ("band", "key", "low", "high", "id", "keys", "grams", "members", "set_hash", "part")), strict=True):
+                if held and held[0][0] != (band, key, low, high):
                     close()
                 if (i, text) not in once:  # a row may be there again
                     once.add((i, text))
-                    held.append(((band, key), i, keys, grams, members, text))
+                    held.append(((band, key, low, high), i, keys, grams, members, text, part))
             if out:
                 yield made()
                 out.clear()
@@ -287,15 +293,21 @@ def _classes(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     return texts, light.select("id", "set_hash", "size"), classes
 
 
-def _blocks(texts: DataFrame, classes: DataFrame) -> DataFrame:
-    """Rows of the blocks, by (band, key): id, members, keys, grams."""
+def _blocks(texts: DataFrame, classes: DataFrame, most: int) -> DataFrame:
+    """Rows of the blocks, by (band, key, low, high): id, set_hash, members, keys, grams and part. low and high are the parts that meet."""
     spread = classes.select("rep", "set_hash", "members", F.posexplode("keys").alias("band", "key"))
-    meeting = spread.groupBy("band", "key").agg(F.count("*").alias("n")).where("n > 1").select("band", "key")
-    bands = spread.join(meeting, ["band", "key"]).groupBy("rep", "set_hash").agg(F.collect_set("band").alias("bands"), F.max("members").alias("members"))
+    own = [F.bit_xor(F.xxhash64("rep", "set_hash", F.lit(k))).alias(f"h{k}") for k in (0, 1)]
+    meeting = spread.groupBy("band", "key").agg(F.count("*").alias("n"), *own).where("n > 1")
+    # The first of the blocks with the same texts. Each two texts have a first band that they share, and its block is the first of its kind.
+    meeting = meeting.groupBy("n", "h0", "h1").agg(F.min(F.struct("band", "key")).alias("first")).select("first.band", "first.key", F.ceil(F.col("n") / most).cast("int").alias("parts"))
+    bands = spread.join(meeting, ["band", "key"]).groupBy("rep", "set_hash").agg(F.collect_set(F.struct("band", "parts")).alias("bands"), F.max("members").alias("members"))
     full = texts.join(bands, texts["doc_id"] == bands["rep"]).select("doc_id", "text", "bands", "members", "set_hash").mapInArrow(_full, _FULL)
     # The key of a band is 8 bytes of keys at 8 * band.
-    blocks = full.withColumn("band", F.explode("bands")).select("band", F.expr("substring(keys, 8 * band + 1, 8)").alias("key"), "id", "set_hash", "members", "keys", "grams")
-    return blocks.repartition("band", "key").sortWithinPartitions("band", "key")
+    each = full.withColumn("b", F.explode("bands")).select(F.col("b.band").alias("band"), F.col("b.parts").alias("parts"), F.expr("substring(keys, 8 * b.band + 1, 8)").alias("key"), "id", "set_hash", "members", "keys", "grams")
+    each = each.withColumn("part", F.pmod(F.xxhash64("id", "set_hash"), "parts"))
+    each = each.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    blocks = each.select("band", "key", F.least("part", "with").alias("low"), F.greatest("part", "with").alias("high"), "part", "id", "set_hash", "members", "keys", "grams")
+    return blocks.repartition("band", "key", "low", "high").sortWithinPartitions("band", "key", "low", "high")
 
 
 def _members(light: DataFrame, classes: DataFrame) -> DataFrame:
@@ -304,25 +316,25 @@ def _members(light: DataFrame, classes: DataFrame) -> DataFrame:
     return light.join(several, ["set_hash", "size"]).where("id != rep").select("id", "rep").distinct()
 
 
-def representative_pairs(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+def representative_pairs(docs: DataFrame, threshold: float = THRESHOLD, block: int = BLOCK) -> DataFrame:
     """(doc_id, other_id, jaccard): the similar pairs of representatives, and each member of a class with its representative."""
     texts, light, classes = _classes(docs)
-    near = _blocks(texts, classes).mapInArrow(_joiner(threshold, True), _PAIRS)
+    near = _blocks(texts, classes, block).mapInArrow(_joiner(threshold, True), _PAIRS)
     same = _members(light, classes).select(F.col("rep").alias("doc_id"), F.col("id").alias("other_id"), F.lit(1.0).alias("jaccard"))
     return near.unionByName(same).groupBy("doc_id", "other_id").agg(F.max("jaccard").alias("jaccard"))
 
 
-def _linked(docs: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+def _linked(docs: DataFrame, threshold: float, block: int) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """light and classes as above, the links of representatives, and (doc_id, root) of all documents in groups."""
     texts, light, classes = _classes(docs)
-    near = cut(_blocks(texts, classes).mapInArrow(_joiner(threshold, False), _LINKS))
+    near = cut(_blocks(texts, classes, block).mapInArrow(_joiner(threshold, False), _LINKS))
     edges = near.where("id != root").select("id", "root").unionByName(_members(light, classes).select("id", F.col("rep").alias("root")))
     return light, classes, near, components(edges.select(F.col("id").alias("doc_id"), F.col("root").alias("other_id")))
 
 
-def jaccard_join(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+def jaccard_join(docs: DataFrame, threshold: float = THRESHOLD, block: int = BLOCK) -> DataFrame:
     """(doc_id, class_id, n_links, best_jaccard) of every document."""
-    light, classes, near, roots = _linked(docs, threshold)
+    light, classes, near, roots = _linked(docs, threshold, block)
     of_rep = near.groupBy(F.col("id").alias("rep"), "set_hash").agg(F.sum("links").alias("links"), F.max("best").alias("best"))
     each = (
         light.distinct().join(classes.select("set_hash", "size", "rep", "members"), ["set_hash", "size"]).join(of_rep, ["rep", "set_hash"], "left")
@@ -354,11 +366,11 @@ def components(pairs: DataFrame) -> DataFrame:
             return edges.select(F.col("u").alias("doc_id"), F.col("v").alias("root")).unionByName(edges.select(F.col("v").alias("doc_id"), F.col("v").alias("root")).distinct())
 
 
-def keep_one(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+def keep_one(docs: DataFrame, threshold: float = THRESHOLD, block: int = BLOCK) -> DataFrame:
     """docs with one document of each group (connected component of similar documents), the one of the lowest id.
 
     Of rows that repeat a doc_id within a group one stays; rows that are in no group all stay, but for those that repeat an id and a text."""
-    *_, found = _linked(docs, threshold)
+    *_, found = _linked(docs, threshold, block)
     lose = found.where("doc_id != root").select(F.col("doc_id").alias("_lost"))
     kept = docs.join(lose, docs["doc_id"] == lose["_lost"], "left_anti")
     # Ids on several rows are rare; only their rows are looked at again.
@@ -369,4 +381,4 @@ def keep_one(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard_join(table(spark, sf_dir, "documents"))
+    return jaccard_join(documents(spark, sf_dir))

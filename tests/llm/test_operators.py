@@ -108,10 +108,12 @@ def test_jaccard_join_against_brute_force(spark):
         best[i], best[j] = max(v, best.get(i, 0)), max(v, best.get(j, 0))
         i, j = find(i), find(j)
         up[max(i, j)] = min(i, j)
-    got = {r.doc_id: r for r in jaccard_tree.jaccard_join(spark.createDataFrame([*rows, (None, base), rows[-3]], "doc_id long, text string")).collect()}
-    assert set(got) == {i for i, _ in rows} and links[0] == 15
-    wrong = [i for i, r in got.items() if (r.class_id, r.n_links) != (find(i), links[i]) or abs((r.best_jaccard or 0) - best.get(i, 0)) > 1e-9]
-    assert not wrong
+    docs = spark.createDataFrame([*rows, (None, base), rows[-3]], "doc_id long, text string")
+    for block in (jaccard_tree.BLOCK, 2):  # whole blocks, and parts of them
+        got = {r.doc_id: r for r in jaccard_tree.jaccard_join(docs, block=block).collect()}
+        assert set(got) == {i for i, _ in rows} and links[0] == 15
+        wrong = [i for i, r in got.items() if (r.class_id, r.n_links) != (find(i), links[i]) or abs((r.best_jaccard or 0) - best.get(i, 0)) > 1e-9]
+        assert not wrong
 
 
 def test_labels_of_components():
@@ -360,6 +362,14 @@ def test_cuts_are_the_cheapest(units):
     assert cuts[-1] == len(units) and cost == least_cost(lengths.tolist(), penalties.tolist(), 20)
 
 
+def test_parts_of_the_order():
+    rng = np.random.default_rng(3)
+    bounds = np.unique(rng.integers(-3, 4, (9, 2)), axis=0)
+    doc, key = rng.integers(-5, 6, (2, 200))
+    assert packing.part_of(doc, key, bounds).tolist() == [sum((b[0], b[1]) < (d, k) for b in bounds.tolist()) for d, k in zip(doc.tolist(), key.tolist(), strict=True)]
+    assert not packing.part_of(doc, key, np.zeros((0, 2), np.int64)).any()
+
+
 def test_packing_round_trip(spark):
     rng = random.Random(6)
     texts = [". ".join(prose(rng, rng.randint(1, 40)).capitalize() for _ in range(rng.randint(1, 60))) + "." for _ in range(30)] + ["é" * 20_000, "", None, "x"]
@@ -417,6 +427,41 @@ def test_toxicity_on_held_out_insults(spark):
     assert np.mean([r.toxic for r in rows if r.doc_id >= 400]) > 0.9 and np.mean([r.toxic for r in rows if r.doc_id < 400]) < 0.05
 
 
+def test_toxicity_scores_by_hand(spark):
+    """The whole query against plain dictionaries of n-grams and of weights."""
+    rng = random.Random(3)
+    texts = [prose(rng, rng.randint(3, 30)) + (" grundlop" if k % 3 == 0 else "") for k in range(60)] + ["", "ab", "Grundlop GRUNDLOP"]
+    docs = docs_of(spark, texts)
+    labels = spark.createDataFrame([(k, 1, int(k % 3 == 0)) for k in range(60)], "doc_id long, quality int, toxic int")
+    model = toxicity.fit(docs, labels)
+
+    def buckets(text):
+        low, out = text.lower().encode(), set()
+        for n in toxicity.ORDERS:
+            for i in range(len(low) - n + 1):
+                h = 0
+                for k in range(n):
+                    h = (h + (low[i + k] + 1) * int(toxicity._K[k])) & 0xFFFFFFFF
+                    h ^= h >> 13
+                    h = h * 0x2C1B3C6D & 0xFFFFFFFF
+                out.add((h ^ (h >> 15) ^ (n - 1)) & (toxicity.BUCKETS - 1))
+        return out
+
+    toxic, clean = defaultdict(int), defaultdict(int)
+    for k, t in enumerate(texts[:60]):
+        for b in buckets(t):
+            (clean if k % 3 else toxic)[b] += 1
+    total = {c: sum(d.values()) + toxicity.BUCKETS for c, d in (("t", toxic), ("c", clean))}
+    ratio = {b: math.log((toxic[b] + 1) / total["t"]) - math.log((clean[b] + 1) / total["c"]) for b in {*toxic, *clean}}
+    useful = {b for b in ratio if toxic[b] + clean[b] >= toxicity.MIN_TEXTS and abs(ratio[b]) >= toxicity.MIN_RATIO}
+    assert set(np.flatnonzero(model.useful).tolist()) == useful and useful
+    got = {r.doc_id: r for r in toxicity.toxicity(docs, labels).collect()}
+    for k, t in enumerate(texts):
+        want = 1 / (1 + math.exp(-(model.bias + sum(float(model.weight[b]) for b in buckets(t) if b in useful)))) if t else 0.0
+        assert abs(got[k].score - want) < 1e-5 and got[k].toxic == (got[k].score > model.threshold)
+    assert got[62].score > max(got[k].score for k in range(60) if k % 3)
+
+
 # Language ID
 
 
@@ -448,6 +493,33 @@ def test_gru_scores_windows_alike():
         assert np.allclose(got[offsets[k] : offsets[k + 1]], alone, atol=1e-5)
 
 
+def test_gru_scores_against_a_plain_loop():
+    net = langid_gru.ByteGru(["a", "b", "c"], hidden=5, seed=4)
+    net.p["bias"][:] = [0.1, -0.2, 0.3]
+    texts, span = [b"some words here", b"z", b"a longer text than the others are"], 7
+    data, offsets = np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)])
+    got = net.position_probabilities(data, offsets, span)
+    sig = lambda v: 1 / (1 + np.exp(-v))
+    for k, text in enumerate(texts):
+        for b in range(0, len(text), span):
+            part = text[b : b + span]
+            states = np.zeros((2, len(part), 5))
+            for side in (0, 1):
+                h = np.zeros(5)
+                for t in range(len(part)) if side == 0 else range(len(part) - 1, -1, -1):
+                    x, g = net.p["x"][side, part[t]], h @ net.p["u"][side]
+                    z, r = sig(x[:5] + g[:5]), sig(x[5:10] + g[5:10])
+                    n = np.tanh(x[10:] + r * g[10:])
+                    h = n + z * (h - n)
+                    states[side, t] = h
+            logits = states[0] @ net.p["out"][0] + states[1] @ net.p["out"][1] + net.p["bias"]
+            want = np.exp(logits) / np.exp(logits).sum(1, keepdims=True)
+            assert np.allclose(got[offsets[k] + b : offsets[k] + b + len(part)], want, atol=1e-5)
+            # The training pass has the same probabilities: its loss is of these.
+            loss, _ = net.loss_and_gradients(np.frombuffer(part, np.uint8)[None], np.array([1]))
+            assert abs(loss + np.log(want[:, 1]).mean()) < 1e-5
+
+
 def test_language_of_held_out_documents(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     known = {r.doc_id: (r.lang, len(r.text.encode())) for r in docs.collect()}
@@ -605,11 +677,61 @@ def test_hysteresis_and_segments():
 def test_tensors(spark, tmp_path):
     made = media_audio.audio_features(docs_of(spark, ["abc" * 5000, "x", "", None]), "text")
     rows = made.collect()
-    assert {r.doc_id for r in rows} == {0, 1} and all(len(r.logmel) == media_audio.CHUNK * media_audio.MELS for r in rows)
+    tensors = [pa.ipc.read_tensor(pa.BufferReader(bytes(r.logmel))) for r in rows]
+    assert {r.doc_id for r in rows} == {0, 1} and all(t.shape == (media_audio.CHUNK, media_audio.MELS) and t.dim_names == ["frame", "mel"] for t in tensors)
     files = media_audio.write_tensors(made, f"file://{tmp_path}/t").collect()
     read = pa.concat_tables(pq.read_table(f"{tmp_path}/t/{f.file}") for f in files)
     assert isinstance(read.schema.field("logmel").type, pa.FixedShapeTensorType) and read.schema.field("logmel").type.shape == [media_audio.CHUNK, media_audio.MELS]
     assert read.num_rows == sum(f.n_rows for f in files) == len(rows)
+    key = lambda r: (r["doc_id"], r["chunk"])
+    want = [t.to_numpy() for _, t in sorted(zip(rows, tensors, strict=True), key=lambda x: key(x[0]))]
+    got = sorted(zip(read.drop(["logmel"]).to_pylist(), read["logmel"].combine_chunks().to_numpy_ndarray(), strict=True), key=lambda x: key(x[0]))
+    assert all(np.array_equal(g, w) for (_, g), w in zip(got, want, strict=True))
+
+
+def test_rows_of_clips_by_plain_loops(spark):
+    """The whole query: frames in chunks, what is filled, time spans, and segments by a loop over the frames."""
+    rng = np.random.default_rng(6)
+    texts = ["".join(map(chr, rng.integers(48, 58, 9000))) + "".join(rng.choice(list("!~"), 9000)) + "0" * 4000, "x" * 30, "".join(map(chr, rng.integers(32, 127, 700))), "", None]
+    rows = defaultdict(list)
+    for r in media_audio.audio_features(docs_of(spark, texts), "text").orderBy("doc_id", "chunk").collect():
+        rows[r.doc_id].append(r)
+    assert set(rows) == {0, 1, 2}
+    m = media_audio
+    for k, own in rows.items():
+        data = np.frombuffer(texts[k].encode(), np.uint8)
+        y, first, count = m.resample(data, np.array([0, len(data)]))
+        clip, frames = y[first[0] : first[0] + count[0]], []
+        for at in range(0, max(1, count[0] - m.FRAME + m.HOP), m.HOP):
+            frame = np.zeros(m.FRAME, np.float32)
+            frame[: len(clip[at : at + m.FRAME])] = clip[at : at + m.FRAME]
+            frames.append(frame)
+        mel = m.log_mel(np.array(frames))
+        energy = [np.float32(10 * np.log10(max(float(np.square(f).mean()), m.LOG_FLOOR))) for f in frames]
+        ranked = sorted(energy)
+        quiet, loud = ranked[(len(frames) - 1) // 10], ranked[(len(frames) - 1) * 95 // 100]
+        even = loud - quiet < m.EVEN_DB
+        up = m.SILENCE_DB if even else max(quiet + np.float32(m.UPPER) * (loud - quiet), m.SILENCE_DB)
+        low = m.SILENCE_DB if even else quiet + np.float32(m.LOWER) * (loud - quiet)
+        on, runs, begin = False, [], None
+        for i, e in enumerate([*energy, np.float32(-np.inf)]):
+            was, on = on, i < len(energy) and (e >= up or (on and e >= low))
+            if on and not was:
+                begin = i
+            if was and not on and i - begin >= min(m.LEAST, len(frames)):
+                runs.append((begin, i - 1))
+        seconds = count[0] / m.RATE
+        assert len(own) == math.ceil(len(frames) / m.CHUNK)
+        for c, r in enumerate(own):
+            part = mel[c * m.CHUNK : (c + 1) * m.CHUNK]
+            tensor = np.zeros((m.CHUNK, m.MELS), np.float32)
+            tensor[: len(part)] = part
+            assert r.chunk == c and r.n_frames == len(part) and np.allclose(np.maximum(m.values_of(pa.array([bytes(r.logmel)]))[0], -10), np.maximum(tensor, -10), atol=5e-2)
+            assert abs(r.start_s - c * m.CHUNK * m.HOP / m.RATE) < 1e-9
+            assert abs(r.end_s - min(((c * m.CHUNK + len(part) - 1) * m.HOP + m.FRAME) / m.RATE, seconds)) < 1e-9
+            want = [(a * m.HOP / m.RATE, min((b * m.HOP + m.FRAME) / m.RATE, seconds)) for a, b in runs if c * m.CHUNK <= a < (c + 1) * m.CHUNK]
+            assert np.allclose([tuple(s) for s in r.segments], want) if want else not r.segments
+    assert any(r.segments for r in rows[0]) and len(rows[0]) > 2
 
 
 # Chat
