@@ -23,11 +23,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bytesops import text_slices, word_bounds
-from .tables import cut, table
+from .tables import cut, documents
 
 CAPACITY = 8192
 SENTENCE_PENALTY = 64
@@ -94,18 +94,48 @@ def best_cuts(lengths: np.ndarray, penalties: np.ndarray, capacity: int = CAPACI
     return cuts[::-1]
 
 
-_UNITS = "doc_id long, text_key long, tokens long, ends array<int>, hard array<boolean>"
+_UNITS = "doc_id long, text_key long, part int, tokens long, ends array<int>, hard array<boolean>"
+_FIRST = -(1 << 63)
 
 
-def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def part_of(doc: np.ndarray, key: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """Number of bounds (rows of doc and key, ascending) below each (doc, key)."""
+    low, high = (np.searchsorted(bounds[:, 0], doc, side) for side in ("left", "right"))
+    out = low.copy()
+    for k in np.flatnonzero(low < high):
+        out[k] += np.searchsorted(bounds[low[k] : high[k], 1], key[k])
+    return out
+
+
+def _units(bounds: np.ndarray):  # noqa: ANN202
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a, b, data, offsets in text_slices(batch["text"]):
+                ends, hard, first = sentence_ends(data, offsets)
+                flat = pa.array(first, pa.int32())
+                ids, keys = batch["doc_id"].slice(a, b - a).cast(pa.int64()), batch["text_key"].slice(a, b - a)
+                yield pa.RecordBatch.from_arrays([
+                    ids, keys, pa.array(part_of(ids.fill_null(_FIRST).to_numpy(), keys.to_numpy(), bounds), pa.int32()), pa.array(np.diff(offsets) + 1),
+                    pa.ListArray.from_arrays(flat, pa.array(ends, pa.int32())), pa.ListArray.from_arrays(flat, pa.array(hard)),
+                ], ["doc_id", "text_key", "part", "tokens", "ends", "hard"])
+
+    return run
+
+
+def _running(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Adds the tokens of the part before each row; rows come part by part."""
+    at, total = None, 0
     for batch in batches:
-        for a, b, data, offsets in text_slices(batch["text"]):
-            ends, hard, first = sentence_ends(data, offsets)
-            flat = pa.array(first, pa.int32())
-            yield pa.RecordBatch.from_arrays([
-                batch["doc_id"].slice(a, b - a).cast(pa.int64()), batch["text_key"].slice(a, b - a), pa.array(np.diff(offsets) + 1),
-                pa.ListArray.from_arrays(flat, pa.array(ends, pa.int32())), pa.ListArray.from_arrays(flat, pa.array(hard)),
-            ], ["doc_id", "text_key", "tokens", "ends", "hard"])
+        part, tokens = batch["part"].to_numpy(), batch["tokens"].to_numpy()
+        sums = np.concatenate([[0], np.cumsum(tokens)])
+        opens = np.flatnonzero(np.append(True, part[1:] != part[:-1])) if len(part) else np.zeros(0, np.int64)
+        base = np.repeat(sums[opens], np.diff(np.append(opens, len(part))))
+        before = sums[:-1] - base
+        if len(part) and part[0] == at:
+            before[: opens[1] if len(opens) > 1 else len(part)] += total
+        if len(part):
+            at, total = part[-1], int(before[-1] + tokens[-1])
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(before)], [*batch.schema.names, "running"])
 
 
 _PIECES = "shard long, window long, piece int, doc_id long, text_key long, start_byte int, end_byte int, n_tokens int, padding int"
@@ -160,22 +190,27 @@ def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield close()
 
 
-def pack(docs: DataFrame) -> DataFrame:
+def pack(docs: DataFrame, shard_tokens: int = SHARD_TOKENS) -> DataFrame:
     spark = docs.sparkSession
     texts = docs.select("doc_id", "text", F.xxhash64("text").alias("text_key")).where("text is not null and text != ''")
     order = [F.col("doc_id").asc_nulls_first(), F.col("text_key")]
-    units = cut(texts.mapInArrow(_units, _UNITS).repartitionByRange(*order).sortWithinPartitions(*order).withColumn("part", F.spark_partition_id()))
-    # Running total of the tokens: one number a partition meets on the driver.
-    totals = sorted(units.groupBy("part").agg(F.sum("tokens").alias("tokens")).collect(), key=lambda r: r.part)
+    # Parts of the order, between bounds that a sample of the keys gives (100 keys a part; it shapes tasks, not the result); each text is cut into units once.
+    places = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts, rows = 3 * places, docs.count()
+    some = texts.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_FIRST)).alias("doc"), "text_key").sample(min(1.0, 100 * parts / max(1, rows)), 7).toPandas().to_numpy(np.int64)
+    some = np.unique(some, axis=0)
+    bounds = some[np.linspace(0, len(some) - 1, parts + 1).astype(int)[1:-1]] if len(some) > parts else some
+    made = texts.mapInArrow(_units(bounds), _UNITS).repartition(places, "part").sortWithinPartitions("part", *order)
+    units = cut(made.mapInArrow(_running, _UNITS + ", running long"))
+    # Tokens before each part: one number a part meets on the driver.
+    totals = sorted(units.groupBy("part").agg(F.max(F.col("running") + F.col("tokens")).alias("tokens")).collect(), key=lambda r: r.part)
     before, rows = 0, []
     for r in totals:
         rows.append((r.part, before))
         before += r.tokens
     offsets = spark.createDataFrame(rows, "part int, before long")
-    running = F.sum("tokens").over(Window.partitionBy("part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
-    placed = units.withColumn("running", running).join(F.broadcast(offsets), "part")
-    shard = F.floor((F.col("before") + F.col("running") - F.col("tokens")) / SHARD_TOKENS)
-    placed = placed.select(shard.alias("shard"), "doc_id", "text_key", "ends", "hard")
+    placed = units.join(F.broadcast(offsets), "part")
+    placed = placed.select(F.floor((F.col("before") + F.col("running")) / shard_tokens).alias("shard"), "doc_id", "text_key", "ends", "hard")
     return placed.repartition("shard").sortWithinPartitions(F.col("shard"), *order).mapInArrow(_pack, _PIECES)
 
 
@@ -195,4 +230,4 @@ def pack_with_text(docs: DataFrame) -> DataFrame:
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack(table(spark, sf_dir, "documents")).drop("text_key")
+    return pack(documents(spark, sf_dir)).drop("text_key")
