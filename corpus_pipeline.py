@@ -6,13 +6,12 @@ stage that goes by ids (near duplicates, repeats, decontamination) unchanged."""
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 from lexgrove.llm import decontam, jaccard_tree, packing, pfp_dedup, quality_fm
-from lexgrove.llm.tables import table
+from lexgrove.llm.tables import documents, remove, scratch, table
 
 #: A factorisation machine, signature trees, suffix sorting and dynamic programming aren't expressible in SQL; tests hold run() against brute force.
 ORACLE_SQL = None
@@ -53,16 +52,15 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages over documents; each result but the last is written as Parquet, in the folder of spark.checkpoint.dir where it is set, and read again."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if base:
-        folder = f"{base.rstrip('/')}/pipeline-{uuid.uuid4()}"
-    else:
-        folder = tempfile.mkdtemp(prefix="lexgrove-pipeline-")
-    docs = table(spark, sf_dir, "documents")
+    """The stages over documents; each result but the last is written as Parquet, in the shared folder of checkpoints, read again, and removed once the next one is written."""
+    folder = f"{scratch(spark)}/pipeline-{uuid.uuid4()}"
+    docs = documents(spark, sf_dir)
     for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
             docs.write.parquet(f"{folder}/{k}-{name}")
             docs = spark.read.parquet(f"{folder}/{k}-{name}")
+            if k:
+                # The last stage's result is read from the stage before it only.
+                remove(spark, f"{folder}/{k - 1}-{STAGES[k - 1][0]}")
     return docs
