@@ -5,13 +5,18 @@ each window has one trigger and equal windows have equal ones, wherever they sta
 the words from the start of the first to the end of the last. Phrases overlap by less than a window, none is a prefix of
 another's windows, and every window of the corpus is in exactly one phrase occurrence.
 
-Dictionary and parse. Phrases meet by their trigger's hash, in one shuffle. There the distinct phrases form the dictionary, and the
-occurrences (document, place) the parse. Phrases whose trigger is alone are done with. The suffixes of the others, of the dictionary
-only and cut at a window, are sorted; occurrences take the order of their phrases' suffixes. Equal neighbours in that order are the
-windows that repeat, and the parse says where, and which occurrence is the first in the order of the corpus. Highly repetitive text costs
-no more than one copy of it, besides its list of places.
+Dictionary. Phrases are made distinct over ``GROUP`` words of text before they move: the dictionary gets one row for each, with its first and its last
+occurrence, and these meet by their triggers. Suffixes of the distinct phrases that share a trigger, cut at a window, are sorted; equal neighbours in that order are the windows that
+repeat, and their first occurrence in the order of the corpus is the least of their phrases' ones. A phrase without a rival repeats as a whole or not at all. So highly repetitive text costs one
+copy of it.
 
-A window counts once it occurs twice, in two documents or in one; its first occurrence by (doc_id, place) is kept, the others may go.
+Parse again. The occurrences of each phrase, packed by group, are joined with what the dictionary says of the phrase. A suffix array of the parse isn't needed for this: as a window is never in two
+phrases, what follows a phrase can't tell equal windows apart.
+
+Hot triggers, with more than ``HOT`` distinct phrases (around a passage that very many documents have, each in other surroundings), would make one task too large. Their phrases are cut into
+single windows, each a phrase of its own that meets its equals only.
+
+A window counts once it occurs twice, in two documents or in one; its first occurrence by (doc_id, text, place) is kept, the others may go.
 Words are compared without case, by 16 bits of their hashes beyond the trigger, which is compared by 64.
 
 Results for odd input: rows with a null doc_id or text, and texts of fewer than ``LENGTH`` words, have no repeats; rows that repeat both
@@ -24,6 +29,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -34,6 +40,10 @@ LENGTH = 50
 SEED = 12
 #: Dictionary suffixes are sorted in portions of about so many, whole triggers at a time.
 PORTION = 400_000
+#: Words over which phrases are made distinct before they move.
+GROUP = 1 << 21
+#: Distinct phrases from which on a trigger is hot; a group tells of those of NOTICE or more. At most HOT_MOST triggers are hot, as the bound grows with the table.
+HOT, NOTICE, HOT_MOST = 20_000, 16, 1_000_000
 
 
 def _sliding_min(x: np.ndarray, width: int) -> np.ndarray:
@@ -70,23 +80,9 @@ def phrases(h: np.ndarray, rows: np.ndarray, length: int = LENGTH, seed: int = S
     return {"row": row, "start": begin - rows[row], "before": before, "trigger": grams[place].view(np.int64), "first": first, "body": (h >> np.uint64(48)).astype(np.uint16)[index]}
 
 
-_PHRASES = "doc_id long, text_key long, trigger long, start int, before int, body binary"
-
-
-def _binary(first: np.ndarray, body: np.ndarray) -> pa.Array:
-    return pa.Array.from_buffers(pa.binary(), len(first) - 1, [None, pa.py_buffer((first * 2).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(body))])
-
-
-def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        ids, keys = (batch[c].to_numpy(zero_copy_only=False).astype(np.int64) for c in ("doc_id", "text_key"))
-        for a, _, data, offsets in text_slices(batch["text"]):
-            _, _, rows, h = words(data, offsets)
-            p = phrases(h, rows)
-            row = p["row"] + a
-            yield pa.RecordBatch.from_arrays([
-                pa.array(ids[row]), pa.array(keys[row]), pa.array(p["trigger"]), pa.array(p["start"], pa.int32()), pa.array(p["before"], pa.int32()), _binary(p["first"], p["body"]),
-            ], ["doc_id", "text_key", "trigger", "start", "before", "body"])
+def _binary(first: np.ndarray, data: np.ndarray) -> pa.Array:
+    """Rows of data; first counts its items."""
+    return pa.Array.from_buffers(pa.binary(), len(first) - 1, [None, pa.py_buffer((first * data.itemsize).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(data))])
 
 
 def _expand(count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -95,47 +91,122 @@ def _expand(count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return owner, np.arange(len(owner)) - np.repeat(np.cumsum(count) - count, count)
 
 
-def repeats(doc: np.ndarray, key: np.ndarray, trigger: np.ndarray, start: np.ndarray, before: np.ndarray, first: np.ndarray, body: np.ndarray, length: int = LENGTH, seed: int = SEED) -> tuple[np.ndarray, ...]:
-    """Spans (doc, key, start, end, kept) of repeated windows: runs of windows that are all kept, or may all go."""
-    none = (np.zeros(0, np.int64),) * 4 + (np.zeros(0, bool),)
-    # Triggers that are alone have nothing to be equal to.
-    _, group, count = np.unique(trigger, return_inverse=True, return_counts=True) if len(trigger) else (None, np.zeros(0, np.int64), np.zeros(0, np.int64))
-    live = np.flatnonzero(count[group] > 1)
-    if not len(live):
-        return none
-    size = np.diff(first)[live]
-    owner, within = _expand(size)
-    at = first[live][owner] + within
-    doc, key, start, before, trigger = doc[live], key[live], start[live], before[live], trigger[live]
-    text = body[at]
-    first = np.zeros(len(live) + 1, np.int64)
-    np.cumsum(size, out=first[1:])
-    # The dictionary: distinct phrases; the parse: the occurrences of each, in the order of the corpus.
-    spell = np.add.reduceat((text.astype(np.uint64) + np.uint64(1)) * powers(int(size.max()) + 1)[within], first[:-1])
-    spell = mix(spell + mix(trigger.view(np.uint64) + mix((before * 65536 + size).astype(np.uint64))))
-    order = np.lexsort((start, key, doc, spell))
-    spell, doc, key, start, before, size, at = spell[order], doc[order], key[order], start[order], before[order], size[order], first[:-1][order]
-    trigger = trigger[order]
-    new = np.ones(len(order), bool)
-    new[1:] = spell[1:] != spell[:-1]
-    once = new.copy()  # a row that repeats id and text has the same occurrence again
-    once[1:] |= (doc[1:] != doc[:-1]) | (key[1:] != key[:-1]) | (start[1:] != start[:-1])
-    doc, key, start, before, size, at, trigger, new = (x[once] for x in (doc, key, start, before, size, at, trigger, new))
-    lead = np.flatnonzero(new)  # the first occurrence of each phrase
-    entry = np.cumsum(new) - 1
-    times = np.bincount(entry)
-    rank = np.empty(len(doc), np.int64)
-    rank[np.lexsort((start, key, doc))] = np.arange(len(doc))
-    width = length - seed
-    windows = size[lead] - width + 1
+def _ranks(*columns: np.ndarray) -> np.ndarray:
+    """Dense ranks of the rows in the order of the columns; equal rows have one rank."""
+    order = np.lexsort(columns[::-1])
+    new = np.zeros(len(order), bool)
+    for c in columns:
+        new[1:] |= c[order[1:]] != c[order[:-1]]
+    out = np.empty(len(order), np.int64)
+    out[order] = np.cumsum(new)
+    return out
+
+
+class Group:
+    """The distinct phrases of some texts: trigger, phrase (a hash), before, windows, bodies, and the occurrences of each in the order of the corpus."""
+
+    def __init__(self, doc: np.ndarray, key: np.ndarray, trigger: np.ndarray, start: np.ndarray, before: np.ndarray, first: np.ndarray, body: np.ndarray, hot: np.ndarray, length: int = LENGTH, seed: int = SEED):
+        width = length - seed
+        size = np.diff(first)
+        windows = size - width + 1
+        where = np.searchsorted(hot, trigger)
+        is_hot = np.zeros(len(trigger), bool)
+        is_hot[where < len(hot)] = hot[where[where < len(hot)]] == trigger[where < len(hot)]
+        # A phrase of a hot trigger becomes as many as it has windows.
+        parts = np.where(is_hot, windows, 1)
+        owner, offset = _expand(parts)
+        at, many = first[:-1][owner] + offset, is_hot[owner]
+        size, windows, before, start = np.where(many, width, size[owner]), np.where(many, 1, windows[owner]), before[owner] - offset, start[owner] + offset
+        doc, key, trigger = doc[owner], key[owner], trigger[owner]
+        who, within = _expand(size)
+        spell = (body[at[who] + within].astype(np.uint64) + np.uint64(1)) * powers(int(size.max()) + 1)[within] if len(size) else np.zeros(0, np.uint64)
+        spell = np.add.reduceat(spell, np.cumsum(size) - size) if len(size) else spell
+        spell = mix(spell + mix(trigger.view(np.uint64) + mix((before * 65536 + size).astype(np.uint64)))).view(np.int64)
+        trigger = np.where(many, spell, trigger)
+        order = np.lexsort((start, key, doc, spell))
+        self.doc, self.key, self.start, spell = doc[order], key[order], start[order], spell[order]
+        self.opens = np.flatnonzero(np.append(True, spell[1:] != spell[:-1])) if len(spell) else np.zeros(0, np.int64)
+        lead = order[self.opens]
+        self.phrase, self.trigger, self.before, self.windows = spell[self.opens], trigger[lead], before[lead], windows[lead]
+        # Single windows need no body: nothing else has their trigger.
+        kept = np.where(many[lead], 0, size[lead])
+        who, within = _expand(kept)
+        self.first, self.body = np.concatenate([[0], np.cumsum(kept)]), body[at[lead][who] + within]
+
+    def entries(self) -> pa.RecordBatch:
+        """For the dictionary."""
+        closes = np.append(self.opens[1:], len(self.doc)) - 1 if len(self.opens) else self.opens
+        return pa.RecordBatch.from_arrays([
+            pa.array(self.trigger), pa.array(self.phrase), pa.array(self.before, pa.int32()), pa.array(self.windows, pa.int32()), _binary(self.first, self.body),
+            *(pa.array(x[k], t) for k in (self.opens, closes) for x, t in ((self.doc, pa.int64()), (self.key, pa.int64()), (self.start, pa.int32()))),
+        ], [c.split()[0] for c in _ENTRIES.split(", ")])
+
+    def occurrences(self) -> pa.RecordBatch:
+        first = np.append(self.opens, len(self.doc)) if len(self.opens) else np.zeros(1, np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(self.phrase), *(_binary(first, x) for x in (self.doc, self.key, self.start.astype(np.int32)))], ["phrase", "docs", "keys", "starts"])
+
+    def busy(self) -> pa.RecordBatch:
+        """Triggers of many distinct phrases, and their numbers."""
+        trigger, n = np.unique(self.trigger, return_counts=True)
+        some = n >= NOTICE
+        return pa.RecordBatch.from_arrays([pa.array(trigger[some]), pa.array(n[some], pa.int64())], ["trigger", "n"])
+
+
+_ENTRIES = "trigger long, phrase long, before int, windows int, body binary, doc long, key long, start int, last_doc long, last_key long, last_start int"
+_OCCURRENCES = "phrase long, docs binary, keys binary, starts binary"
+
+
+def _parse(make, hot: Broadcast | None, most: int):  # noqa: ANN001, ANN202
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        triggers = hot.value if hot else np.zeros(0, np.int64)
+        held: list[tuple[np.ndarray, ...]] = []
+        size = 0
+
+        def close() -> pa.RecordBatch:
+            doc, key, trigger, start, before, sizes, body = (np.concatenate(x) for x in zip(*held, strict=True))
+            held.clear()
+            return make(Group(doc, key, trigger, start, before, np.concatenate([[0], np.cumsum(sizes)]), body, triggers))
+
+        for batch in batches:
+            ids, keys = (batch[c].to_numpy(zero_copy_only=False).astype(np.int64) for c in ("doc_id", "text_key"))
+            for a, _, data, offsets in text_slices(batch["text"]):
+                _, _, rows, h = words(data, offsets)
+                p = phrases(h, rows)
+                row = p["row"] + a
+                held.append((ids[row], keys[row], p["trigger"], p["start"], p["before"], np.diff(p["first"]), p["body"]))
+                size += len(h)
+                if size >= most:
+                    yield close()
+                    size = 0
+        if held:
+            yield close()
+
+    return run
+
+
+def repeats(trigger: np.ndarray, phrase: np.ndarray, before: np.ndarray, windows: np.ndarray, first: np.ndarray, body: np.ndarray, begin: tuple[np.ndarray, ...], last: tuple[np.ndarray, ...], length: int = LENGTH, seed: int = SEED) -> tuple[np.ndarray, ...]:
+    """Of the phrases that have repeated windows: row, and runs of these (row of the phrase, first and last window, whether the phrase's first occurrence is the corpus's first).
+
+    begin and last: (doc, key, start) of the first and last occurrence that a row knows of."""
+    n = len(phrase)
+    # The dictionary: one entry a phrase.
+    order = np.lexsort((*begin[::-1], phrase))
+    lead = order[np.append(True, phrase[order[1:]] != phrase[order[:-1]])] if n else order
+    order = np.lexsort((*last[::-1], phrase))
+    tail = order[np.append(phrase[order[1:]] != phrase[order[:-1]], True)] if n else order
+    begin, last = tuple(x[lead] for x in begin), tuple(x[tail] for x in last)
+    trigger, before, windows, at = trigger[lead], before[lead], windows[lead], first[:-1][lead]
     owner, offset = _expand(windows)
     base = np.cumsum(windows) - windows
-    many = times[owner] > 1
-    leads = np.ones(len(owner), bool)  # whether the phrase's first occurrence is the window's first
+    several = np.zeros(len(lead), bool)
+    for a, b in zip(begin, last, strict=True):
+        several |= a != b
+    many, leads = several[owner], np.ones(len(owner), bool)
     # Suffixes of phrases that share a trigger with another phrase are sorted; the others have no equal but their own copies.
-    _, family, kin = np.unique(trigger[lead], return_inverse=True, return_counts=True)
+    _, family, kin = np.unique(trigger, return_inverse=True, return_counts=True)
     mixed = np.flatnonzero(kin[family] > 1)
     mixed = mixed[np.argsort(family[mixed], kind="stable")]
+    width = length - seed
     if len(mixed):
         total = np.cumsum(windows[mixed])
         edge = np.append(np.flatnonzero(np.diff(family[mixed])) + 1, len(mixed))
@@ -148,67 +219,93 @@ def repeats(doc: np.ndarray, key: np.ndarray, trigger: np.ndarray, start: np.nda
             e = part[own]
             suffix = np.empty((len(e), width + 3), ">u2")
             suffix[:, 0], suffix[:, 1] = family[e] >> 16 & 0xFFFF, family[e] & 0xFFFF
-            suffix[:, 2] = before[lead[e]] - off
-            suffix[:, 3:] = np.lib.stride_tricks.sliding_window_view(text, width)[at[lead[e]] + off]
-            flat = suffix.view(f"S{2 * (width + 3)}").ravel()
-            order = np.argsort(flat, kind="stable")
-            differs = np.ones(len(order), bool)
-            differs[1:] = (suffix[order[1:]] != suffix[order[:-1]]).any(1)
-            cls = np.cumsum(differs) - 1
-            heads = np.flatnonzero(differs)
+            suffix[:, 2] = before[e] - off
+            suffix[:, 3:] = np.lib.stride_tricks.sliding_window_view(body, width)[at[e] + off]
+            order = np.argsort(suffix.view(f"S{2 * (width + 3)}").ravel(), kind="stable")
+            heads = np.flatnonzero(np.append(True, (suffix[order[1:]] != suffix[order[:-1]]).any(1)))
+            cls = np.cumsum(np.bincount(heads, minlength=len(order))) - 1
             e, off = e[order], off[order]
+            rank = _ranks(*(np.concatenate([a[e], b[e]]) + (np.tile(off, 2) if k == 2 else 0) for k, (a, b) in enumerate(zip(begin, last, strict=True))))
+            least, most = np.minimum.reduceat(rank[: len(e)], heads), np.maximum.reduceat(rank[len(e) :], heads)
             where = base[e] + off
-            several = np.add.reduceat(times[e], heads) > 1
-            many[where] = several[cls]
-            leads[where] = rank[lead[e]] == np.minimum.reduceat(rank[lead[e]], heads)[cls]
-    # Runs of windows of a phrase with the same answer, for its first occurrence and for the later ones; then for all occurrences.
-    out: list[tuple[np.ndarray, ...]] = []
-    is_first = new
-    for firsts in (True, False):
-        state = np.where(many, np.where(leads & firsts, 2, 1), 0)
-        cut = np.ones(len(owner), bool)
-        cut[1:] = (owner[1:] != owner[:-1]) | (state[1:] != state[:-1])
-        opens = np.flatnonzero(cut)
-        closes = np.append(opens[1:], len(owner)) - 1
-        said = state[opens] > 0
-        opens, closes = opens[said], closes[said]
-        runs = np.bincount(owner[opens], minlength=len(lead))
-        begin = np.cumsum(runs) - runs
-        occurrence = np.flatnonzero(is_first == firsts)
-        who, k = _expand(runs[entry[occurrence]])
-        r, who = begin[entry[occurrence]][who] + k, occurrence[who]
-        out.append((doc[who], key[who], start[who] + offset[opens[r]], start[who] + offset[closes[r]] + length, state[opens[r]] == 2))
-    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+            many[where] = (least != most)[cls]
+            leads[where] = rank[: len(e)] == least[cls]
+    # Runs of windows of a phrase with the same answer.
+    state = np.where(many, 1 + leads, 0)
+    opens = np.flatnonzero(np.append(True, (owner[1:] != owner[:-1]) | (state[1:] != state[:-1]))) if len(owner) else np.zeros(0, np.int64)
+    closes = np.append(opens[1:], len(owner)) - 1 if len(opens) else opens
+    said = state[opens] > 0
+    opens, closes = opens[said], closes[said]
+    return lead, owner[opens], offset[opens], offset[closes], state[opens] == 2
 
 
-_SPANS = "doc_id long, text_key long, start_word int, end_word int, kept boolean"
+_RUNS = "phrase long, doc long, key long, start int, begins binary, ends binary, leads binary"
 
 
 def _sort_dictionary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """All phrases of the triggers of a partition."""
+    """All distinct phrases of the triggers of a partition."""
     columns: list[tuple] = []
     for batch in batches:
         body = batch["body"]
         first = np.frombuffer(body.buffers()[1], np.int32)[body.offset : body.offset + len(body) + 1].astype(np.int64) // 2 if len(body) else np.zeros(1, np.int64)
-        data = np.frombuffer(body.buffers()[2], np.uint8)[first[0] * 2 : first[-1] * 2].view(np.uint16) if len(body) else np.zeros(0, np.uint16)
-        columns.append((*(batch[c].to_numpy().astype(np.int64) for c in ("doc_id", "text_key", "trigger", "start", "before")), np.diff(first), data.copy()))
+        data = np.frombuffer(body.buffers()[2] or b"", np.uint8)[first[0] * 2 : first[-1] * 2].view(np.uint16) if len(body) else np.zeros(0, np.uint16)
+        columns.append((*(batch[c].to_numpy().astype(np.int64) for c in ("trigger", "phrase", "before", "windows", "doc", "key", "start", "last_doc", "last_key", "last_start")), np.diff(first), data.copy()))
     if not columns:
         return
-    doc, key, trigger, start, before, size, body = (np.concatenate(x) for x in zip(*columns, strict=True))
+    trigger, phrase, before, windows, *places, size, body = (np.concatenate(x) for x in zip(*columns, strict=True))
     columns.clear()
-    first = np.zeros(len(size) + 1, np.int64)
-    np.cumsum(size, out=first[1:])
-    doc, key, begin, end, kept = repeats(doc, key, trigger, start, before, first, body)
-    yield pa.RecordBatch.from_arrays([pa.array(doc), pa.array(key), pa.array(begin, pa.int32()), pa.array(end, pa.int32()), pa.array(kept)], ["doc_id", "text_key", "start_word", "end_word", "kept"])
+    first = np.concatenate([[0], np.cumsum(size)])
+    lead, row, begin, end, leads = repeats(trigger, phrase, before, windows, first, body, tuple(places[:3]), tuple(places[3:]))
+    some = np.flatnonzero(np.append(True, row[1:] != row[:-1])) if len(row) else row
+    of, runs = lead[row[some]], np.append(some, len(row))
+    yield pa.RecordBatch.from_arrays([
+        pa.array(phrase[of]), pa.array(places[0][of]), pa.array(places[1][of]), pa.array(places[2][of], pa.int32()),
+        *(_binary(runs, x.astype(np.int32)) for x in (begin, end, leads)),
+    ], [c.split()[0] for c in _RUNS.split(", ")])
+
+
+_SPANS = "doc_id long, text_key long, start_word int, end_word int, kept boolean"
+
+
+def _flat(column: pa.Array, kind: type) -> tuple[np.ndarray, np.ndarray]:
+    """Number of items of each row, and all items."""
+    if not len(column):
+        return np.zeros(0, np.int64), np.zeros(0, kind)
+    first = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
+    return np.diff(first) // np.dtype(kind).itemsize, np.frombuffer(np.frombuffer(column.buffers()[2], np.uint8)[first[0] : first[-1]].tobytes(), kind)
+
+
+def _spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Spans of all occurrences of a phrase: its runs of windows, each kept or not."""
+    for batch in batches:
+        times, docs = _flat(batch["docs"], np.int64)
+        (_, keys), (_, starts) = _flat(batch["keys"], np.int64), _flat(batch["starts"], np.int32)
+        runs, begins = _flat(batch["begins"], np.int32)
+        (_, ends), (_, leads) = _flat(batch["ends"], np.int32), _flat(batch["leads"], np.int32)
+        row, _ = _expand(times)
+        is_first = (docs == batch["doc"].to_numpy()[row]) & (keys == batch["key"].to_numpy()[row]) & (starts == batch["start"].to_numpy()[row])
+        occurrence, k = _expand(runs[row])
+        run = (np.cumsum(runs) - runs)[row[occurrence]] + k
+        yield pa.RecordBatch.from_arrays([
+            pa.array(docs[occurrence]), pa.array(keys[occurrence]), pa.array(starts[occurrence] + begins[run], pa.int32()), pa.array(starts[occurrence] + ends[run] + LENGTH, pa.int32()),
+            pa.array(is_first[occurrence] & (leads[run] > 0)),
+        ], ["doc_id", "text_key", "start_word", "end_word", "kept"])
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text", F.xxhash64("text").alias("text_key")).where("doc_id is not null and text is not null")
 
 
-def repeated_spans(docs: DataFrame) -> DataFrame:
+def repeated_spans(docs: DataFrame, group: int = GROUP, hot: int = HOT) -> DataFrame:
     """(doc_id, text_key, start_word, end_word, kept): maximal spans, in words, that are covered by repeated windows that are kept (first in the corpus) or that may go."""
-    found = _keyed(docs).mapInArrow(_parse, _PHRASES).repartition("trigger").mapInArrow(_sort_dictionary, _SPANS)
+    texts = _keyed(docs)
+    size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    # Each hot trigger has ``limit`` phrases, a phrase takes more than 20 bytes of text: so there are at most HOT_MOST of them.
+    limit = max(hot, size // (20 * HOT_MOST))
+    busy = texts.mapInArrow(_parse(Group.busy, None, group), "trigger long, n long").groupBy("trigger").agg(F.sum("n").alias("n")).where(F.col("n") > limit)
+    triggers = docs.sparkSession.sparkContext.broadcast(np.sort(np.array(busy.select("trigger").toPandas()["trigger"], np.int64)))
+    runs = texts.mapInArrow(_parse(Group.entries, triggers, group), _ENTRIES).repartition("trigger").mapInArrow(_sort_dictionary, _RUNS)
+    found = texts.mapInArrow(_parse(Group.occurrences, triggers, group), _OCCURRENCES).join(runs, "phrase").mapInArrow(_spans, _SPANS)
     order = Window.partitionBy("doc_id", "text_key", "kept").orderBy("start_word", "end_word")
     opens = F.coalesce(F.col("start_word") > F.max("end_word").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(True))
     island = F.sum(F.col("opens").cast("int")).over(order.rowsBetween(Window.unboundedPreceding, 0))

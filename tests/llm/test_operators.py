@@ -193,13 +193,44 @@ def repeated_words(texts: list[str], n: int = pfp_dedup.LENGTH) -> tuple[dict, d
 def test_repeats_against_brute_force(spark):
     texts = repeat_texts()
     every, later = repeated_words(texts)
-    got, gone = defaultdict(set), defaultdict(set)
-    for r in pfp_dedup.repeated_spans(docs_of(spark, texts)).collect():
-        got[r.doc_id].update(range(r.start_word, r.end_word))
-        if not r.kept:
-            gone[r.doc_id].update(range(r.start_word, r.end_word))
-    assert got == every and len(every) > 20
-    assert gone == later
+    rows = docs_of(spark, texts).unionByName(docs_of(spark, texts).where("doc_id < 9"))  # some come twice
+    for group, hot in ((pfp_dedup.GROUP, pfp_dedup.HOT), (300, pfp_dedup.HOT), (pfp_dedup.GROUP, 0), (2000, 0)):
+        got, gone = defaultdict(set), defaultdict(set)
+        for r in pfp_dedup.repeated_spans(rows, group, hot).collect():
+            got[r.doc_id].update(range(r.start_word, r.end_word))
+            if not r.kept:
+                gone[r.doc_id].update(range(r.start_word, r.end_word))
+        assert got == every and len(every) > 20
+        assert gone == later
+
+
+def test_hot_triggers_are_cut_into_windows(spark):
+    """A passage that all documents have, each in other surroundings: the phrases at its edges all differ."""
+    rng = random.Random(14)
+    passage = prose(rng, 70)
+    texts = [f"{prose(rng, 60)} {passage} {prose(rng, 60)}" for _ in range(60)]
+    every, later = repeated_words(texts)
+    for hot in (pfp_dedup.HOT, 20):
+        got, gone = defaultdict(set), defaultdict(set)
+        for r in pfp_dedup.repeated_spans(docs_of(spark, texts).coalesce(1), hot=hot).collect():
+            got[r.doc_id].update(range(r.start_word, r.end_word))
+            if not r.kept:
+                gone[r.doc_id].update(range(r.start_word, r.end_word))
+        assert got == every and gone == later
+    data, offsets = bytesops.column_bytes(pa.array(texts))
+    _, _, rows, h = bytesops.words(data, offsets)
+    p = pfp_dedup.phrases(h, rows)
+    arrays = (p["row"], p["row"] * 0, p["trigger"], p["start"], p["before"], p["first"], p["body"])
+    whole = pfp_dedup.Group(*arrays, np.zeros(0, np.int64))
+    busy = whole.busy().to_pydict()
+    assert max(busy["n"]) >= 40
+    cut = pfp_dedup.Group(*arrays, np.sort(np.array([t for t, n in zip(busy["trigger"], busy["n"], strict=True) if n > 20])))
+    assert cut.windows.sum() < whole.windows.sum() and max(cut.busy().to_pydict()["n"], default=0) <= 20
+
+
+def test_repeats_are_cut_from_texts(spark):
+    texts = repeat_texts()
+    _, later = repeated_words(texts)
     kept = {r.doc_id: (words(r.text), r.n_chars, len(r.text)) for r in pfp_dedup.drop_repeats(docs_of(spark, texts)).collect()}
     for i, t in enumerate(texts):
         left = [w for k, w in enumerate(words(t)) if k not in later.get(i, ())]
