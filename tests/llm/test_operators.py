@@ -433,6 +433,30 @@ def test_factorisation_machine_sum_of_squares():
         assert abs(got - (0.3 + float(model.w[i] @ x) + pairs)) < 1e-4
 
 
+def test_features_by_plain_loops():
+    texts = ["Two words, two WORDS! 42", "", "Zeile eins\nzeile zwei\n", None, "x"]
+    parts = list(quality_fm.features(pa.array(texts), pa.array(["en", "en", "de", None, ""]), pa.array(["a", None, "a", "b", "a"])))
+    assert len(parts) == 1
+    first, index, value, some = parts[0]
+    assert some.tolist() == [True, False, True, False, True]
+    for k, t in enumerate(texts):
+        t = t or ""
+        w, raw = [x.lower() for x in __import__("re").findall(r"[A-Za-z0-9]+", t)], t.encode()
+        got = dict(zip(index[first[k] : first[k + 1]].tolist(), value[first[k] : first[k + 1]].tolist(), strict=True))
+        counts = defaultdict(float)
+        for x in w:
+            data = np.frombuffer(x.encode(), np.uint8)
+            counts[int(bytesops.span_hashes(data, np.array([0]), np.array([len(x)]))[0] % np.uint64(quality_fm.WORDS))] += 1
+        norm = math.sqrt(sum(c * c for c in counts.values()))
+        assert all(abs(got[b] - c / norm) < 1e-6 for b, c in counts.items())
+        letters = max(1, sum(65 <= c <= 122 for c in raw))
+        plain = sum(chr(c).isalnum() for c in raw)
+        spaces, n, size = raw.count(b" ") + raw.count(b"\n"), max(1, len(w)), max(1, len(raw))
+        stats = [plain / size, sum(65 <= c <= 90 for c in raw) / letters, sum(48 <= c <= 57 for c in raw) / size, (len(raw) - spaces - plain) / n, raw.count(b"\n") / n, min(plain / n / 16, 2), math.log1p(len(w)) / 10, len(counts) / n, 1.0]
+        assert all(abs(got[quality_fm.DIM - quality_fm.STATS + j] - x) < 1e-6 for j, x in enumerate(stats))
+        assert len(got) == len(counts) + 2 + quality_fm.STATS or len(set(index[first[k] : first[k + 1]].tolist())) < first[k + 1] - first[k]
+
+
 def _held_out(spark, column, make):
     docs, labels = (spark.read.parquet(f"{SF.replace('0.001', '0.01')}/{t}.parquet") for t in ("documents", "labels"))
     known = {r.doc_id: r[column] for r in labels.collect()}
