@@ -372,12 +372,14 @@ def keep_one(docs: DataFrame, threshold: float = THRESHOLD, block: int = BLOCK)
     Of rows that repeat a doc_id within a group one stays; rows that are in no group all stay, but for those that repeat an id and a text."""
     *_, found = _linked(docs, threshold, block)
     lose = found.where("doc_id != root").select(F.col("doc_id").alias("_lost"))
-    kept = docs.join(lose, docs["doc_id"] == lose["_lost"], "left_anti")
+    # Both kinds of rows are read from one exchange of the texts: all of it has the same filter.
+    some = docs.where("doc_id is not null")
+    kept = some.join(lose, some["doc_id"] == lose["_lost"], "left_anti")
     # Ids on several rows are rare; only their rows are looked at again.
-    again = docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("_again"))
+    again = some.groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("_again"))
     unique = kept.join(again, kept["doc_id"] == again["_again"], "left_anti")
     repeated = kept.join(again, kept["doc_id"] == again["_again"], "left_semi").dropDuplicates(["doc_id", "text"])
-    return unique.unionByName(repeated)
+    return docs.where("doc_id is null").unionByName(unique).unionByName(repeated)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
