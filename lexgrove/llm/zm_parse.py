@@ -8,16 +8,20 @@ symbols and s phrases of the document's own incremental (LZ78) parse,
     relative_entropy = (c log2(N) - s log2(s)) / n           what the reference costs beyond the document's own complexity
 
 The reference of a document is the whole corpus of its language, every other row of it, however large. One automaton of that doesn't fit a task, and
-one a part would be walked by every document, which is quadratic. So the automaton's substrings are held by their lengths, over the cluster: a
-string is a match if, for each length of ``ROUNDS`` up to its own, all its substrings of that length occur in another row. Up to 4 symbols
-that is the suffix automaton's answer; a longer one may be put together from several rows, where these overlap by 3 symbols or more
-and, from 8 symbols on, by 7 (README has how much this changes).
+one a part would be walked by every document, which is quadratic. So what the automaton would answer, the longest string at each place that another
+row has too, is found over the cluster, for any length, with no string put together from several rows (strings are compared by 64-bit hashes, symbols beside them by 24 bits).
+
+* Strings of 2, 3 and 4 symbols: a chunk asks whether another row has them.
+* Of shared strings of k symbols (k = 4, then each of ``ORDERS``) it asks as well whether all their occurrences have the same symbol before, and after.
+  Where the next string has one symbol before it, always, a match from here and one from the next place end together. Where a string has one symbol after it, always, a match goes on.
+  So only places before a string of several predecessors are to be looked at, and from there only ends after a string of several followers:
+  of these strings, up to the next order's length, the chunk asks whether another row has them. They are the branches of the automaton. Then the same is done from the next order on, up to the longest text.
 
 Plan. Texts become chunks of about ``CHUNK`` symbols, once, and one exchange of these serves all rounds (docs have to come as the same rows in the same
-partitions when they are read again, as those of a table or a checkpoint do; a chunk that doesn't fit its answers is an error). In a round each chunk sends its distinct n-grams as sorted 40-bit
-hashes to buckets of about ``BUCKET`` of them, and each bucket answers with a bit for each: whether another chunk has it too. As n-grams are
-distinct before they are sent, a hot one costs a row a chunk at most. Later rounds ask only where the shorter n-grams all occur. The time and
-the bytes that are moved are in proportion to the corpus.
+partitions when they are read again, as those of a table or a checkpoint do; a chunk that doesn't fit its answers is an error). In a round each chunk sends its distinct strings as sorted 40-bit
+hashes to buckets of about ``BUCKET`` of them, and each bucket answers with a bit for each: whether another chunk has it too. As strings are
+distinct before they are sent, a hot one costs a row a chunk at most. Later rounds ask only where shorter strings all occur. The number of rounds grows with
+the logarithm of the longest text. Time and moved bytes are in proportion to the corpus, but for a run of one symbol, whose places branch everywhere: that costs the square of its length in time.
 
 Results for odd input: a null or empty text, or one of white space only, has 0 symbols and null scores; a document whose language has no other
 text has null scores; null and empty languages are one language; a null doc_id is scored and stays null; repeated rows are scored each and are references to one
@@ -35,13 +39,48 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .bytesops import fold, mix, ngram_hashes, span_hashes, text_slices, word_bounds
+from .bytesops import fold, mix, powers, span_hashes, text_slices, word_bounds
 from .tables import documents
 
-#: Lengths of n-grams, those of one round together; a round asks only for places whose n-grams of the rounds before all occur.
-ROUNDS = ((2, 3), (4, 8))
+#: Orders: lengths from which on matches are followed to the next order. The last is repeated 16 times as large, as far as texts go.
+ORDERS = (4, 16, 64, 256, 1024)
 CHUNK = 1 << 21
 BUCKET = 1 << 22
+#: Tests that are made at once.
+BLOCK = 1 << 21
+
+Round = tuple[tuple[str, int], ...]
+
+
+def _after(k: int) -> int:
+    return next((n for n in ORDERS if n > k), 16 * k)
+
+
+def _before(k: int) -> int:
+    return max(n for n in ORDERS if n < k) if k <= ORDERS[-1] else k // 16
+
+
+def rounds(most: int) -> list[Round]:
+    """What is asked in each round, for texts of up to so many symbols: n-grams up to the first order; then tests of one order, and which strings of the next have several symbols beside them."""
+    out, k = [(("gram", 2), ("gram", 3)), (("branch", ORDERS[0]),)], ORDERS[0]
+    while k < most:
+        out.append((("test", k), ("branch", _after(k))) if _after(k) < most else (("test", k),))
+        k = _after(k)
+    return out
+
+
+_powers_inverse = np.ones(1, np.uint64)
+
+
+def _inverses(n: int) -> np.ndarray:
+    """1, 1 / m, 1 / m^2, ... modulo 2^64, of the m of ``powers``."""
+    global _powers_inverse
+    if len(_powers_inverse) < n:
+        grown = np.full(max(n, 2 * len(_powers_inverse)), pow(int(powers(2)[1]), -1, 1 << 64), np.uint64)
+        grown[0] = 1
+        _powers_inverse = np.multiply.accumulate(grown)
+    return _powers_inverse
+
 
 _WORD = np.zeros(256, bool)
 _WORD[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
@@ -87,13 +126,24 @@ def jumps(longest: list[int]) -> int:
 
 
 class Chunk:
-    """Documents of a chunk: ids, languages, first symbol of each (with a last entry), codes of the symbols, and the hash of each code."""
+    """Documents of a chunk: ids, languages, first symbol of each (with a last entry), codes of the symbols, and the hash of each code.
+
+    ``longest`` is the longest match at each place, as far as it is known: exact where it is below the order that was heard last, else a bound from above."""
 
     def __init__(self, ids: list[int | None], langs: list[str], first: np.ndarray, codes: np.ndarray, hashes: np.ndarray):
         self.ids, self.langs, self.first, self.codes, self.hashes = ids, langs, first, codes, hashes
         self.row = np.repeat(np.arange(len(ids), dtype=np.int32), np.diff(first))
         self.left = np.repeat(first[1:], np.diff(first)) - np.arange(len(codes))  # symbols from here to the row's end
         self.longest = self.left.copy()
+        self.heads = self.ends = np.zeros(len(codes), bool)
+        self.sums: np.ndarray | None = None
+
+    def spans(self, begin: np.ndarray, size: np.ndarray | int) -> np.ndarray:
+        """Hashes of strings of any lengths."""
+        if self.sums is None:
+            self.sums = np.zeros(len(self.codes) + 1, np.uint64)
+            np.cumsum(self.hashes[self.codes] * powers(len(self.codes))[: len(self.codes)], dtype=np.uint64, out=self.sums[1:])
+        return mix((self.sums[begin + size] - self.sums[begin]) * _inverses(len(self.codes) + 1)[begin] + np.asarray(size).astype(np.uint64))
 
     @staticmethod
     def dump(ids: list[int | None], langs: list[str], first: np.ndarray, h: np.ndarray) -> bytes:
@@ -121,53 +171,179 @@ class Chunk:
         codes = np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(4, -1).T).view(np.uint32).ravel()
         return cls(ids, langs, first, codes, hashes)
 
-    def ask(self, n: int, buckets: int) -> Asked:
-        """The distinct n-grams at the places where a match of so many symbols is still possible."""
-        at = np.flatnonzero(self.longest >= n)
-        g = ngram_hashes(self.hashes[self.codes], n)[at]
-        low = g & np.uint64(0xFFFFFF)
-        key = ((low * np.uint64(buckets) >> np.uint64(24)) << np.uint64(40)) | (g >> np.uint64(24))
-        return Asked(at, key, self.row[at])
-
-    def told(self, n: int, at: np.ndarray) -> None:
-        """n-grams at these places occur in another row, those elsewhere don't: matches get shorter."""
+    def save(self) -> bytes:
+        """What is known of the places."""
+        far = np.diff(np.append(self.longest + np.arange(len(self.longest)), 0)).astype(np.int32)  # ends of matches: equal over long stretches
+        raw = far.view(np.uint8).reshape(-1, 4).T.tobytes() + np.packbits(self.heads).tobytes() + np.packbits(self.ends).tobytes()
+        return len(raw).to_bytes(8, "little") + pa.Codec("zstd").compress(raw, asbytes=True)
+
+    def restore(self, blob: bytes) -> None:
+        raw = np.frombuffer(pa.Codec("zstd").decompress(blob[8:], int.from_bytes(blob[:8], "little"), asbytes=True), np.uint8)
+        n = len(self.codes)
+        far = np.ascontiguousarray(raw[: 4 * n].reshape(4, n).T).view(np.int32).ravel()
+        self.longest = -np.cumsum(far[::-1], dtype=np.int64)[::-1] - np.arange(n)
+        bits = raw[4 * n :]
+        self.heads, self.ends = (np.unpackbits(x, count=n).astype(bool) for x in (bits[: -(-n // 8)], bits[-(-n // 8) :]))
+
+    def stops(self, k: int) -> np.ndarray:
+        """For each place, the first place from there on without a match of k symbols."""
+        none = np.flatnonzero(np.append(self.longest < k, True))
+        return none[np.searchsorted(none, np.arange(len(self.codes)))]
+
+    def branching(self, k: int) -> np.ndarray:
+        """Places whose matches of k symbols may have several symbols before or after them. Those of a longer string are among those of its first and last symbols."""
+        at = np.flatnonzero(self.longest >= k)
+        return at[self.heads[at] | self.ends[at + (k - _before(k))]] if k > ORDERS[0] else at
+
+    def tests(self, k: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(places, number of tests of each, ends of the tests): at a place before a head, a match goes on to each place of several followers, if its string up to there and one symbol more is shared.
+        Tests are of strings of less than the next order and one; in blocks, as a text of one symbol has very many."""
+        stop = self.stops(k)
+        begin = np.flatnonzero((self.longest[:-1] >= k) & (self.longest[1:] >= k) & self.heads[1:]) if len(stop) else np.zeros(0, np.int64)
+        at = np.flatnonzero(self.ends[:-1] & (self.longest[1:] >= k)) if len(stop) else begin
+        i = np.searchsorted(at, begin)
+        count = np.searchsorted(at, np.minimum(stop[begin] - 1, begin + _after(k) - k)) - i
+        total = np.cumsum(count)
+        a = 0
+        while a < len(begin):
+            b = max(a + 1, int(np.searchsorted(total, total[a] - count[a] + BLOCK, "right")))
+            some, n = begin[a:b], count[a:b]
+            yield some, n, at[np.arange(int(n.sum())) + np.repeat(i[a:b] - (np.cumsum(n) - n), n)] + k + 1
+            a = b
+
+    def ask(self, kind: str, k: int, buckets: int) -> Asked:
+        if kind == "test":
+            asked = Asked([], buckets)
+            for begin, n, end in self.tests(k):
+                begin = np.repeat(begin, n)
+                asked.add(self.spans(begin, end - begin), self.row[begin])
+            return asked
+        asked = Asked(["before", "after"] if kind == "branch" else [], buckets)
+        at = np.flatnonzero(self.longest >= k) if kind == "gram" else self.branching(k)
+        asked.at = at
+        more = []
+        if kind == "branch":
+            mark = np.maximum(self.hashes >> np.uint64(40), np.uint64(2)).astype(np.int32)  # 0: several, 1: the row's begin or end
+            more = [np.where(at == self.first[self.row[at]], 1, mark[self.codes[at - 1]]), np.where(self.left[at] == k, 1, mark[self.codes[np.minimum(at + k, len(self.codes) - 1)]])] if len(at) else [at, at]
+        asked.add(self.spans(at, k), self.row[at], *more)
+        return asked
+
+    def told(self, kind: str, k: int, asked: Asked, answers: dict[int, bytes]) -> None:
+        bits = asked.hear(answers)
+        size = len(self.codes)
+        if kind == "test":
+            self.tested(k, asked, bits[0])
+            return
+        if kind == "gram" or k == ORDERS[0]:
+            # n-grams at these places occur in another row, those elsewhere don't: matches get shorter.
+            stop = np.ones(size + 1, bool)
+            stop[asked.at[bits[0][asked.which]]] = False
+            none = np.flatnonzero(stop)
+            run = none[np.searchsorted(none, np.arange(size))] - np.arange(size)  # consecutive n-grams that occur
+            self.longest = np.minimum(self.longest, run + (k - 1))
+        if kind == "branch":
+            self.heads, self.ends = np.zeros(size, bool), np.zeros(size, bool)
+            self.heads[asked.at[bits[1][asked.which]]] = True
+            self.ends[asked.at[bits[2][asked.which]]] = True
+
+    def tested(self, k: int, asked: Asked, shared: np.ndarray) -> None:
+        """A string that is always preceded by the same symbol is shared with it: the place before has a match of the same end. So only places before heads were asked about."""
         size = len(self.codes)
-        stop = np.ones(size + 1, bool)
-        stop[at] = False
-        none = np.flatnonzero(stop)
-        run = none[np.searchsorted(none, np.arange(size))] - np.arange(size)  # consecutive n-grams that occur
-        self.longest = np.minimum(self.longest, run + (n - 1))
+        places = np.arange(size)
+        stop = self.stops(k)
+        far = stop + (k - 1)
+        fixed = np.append(self.longest[1:] < k, True)
+        for begin, n, end in self.tests(k):
+            fixed[begin] = True
+            some = n > 0
+            if some.any():
+                key = self.spans(np.repeat(begin, n), end - np.repeat(begin, n))
+                reach = np.where(shared[asked.find(key)], 1 << 62, end - 1)
+                far[begin[some]] = np.minimum(far[begin[some]], np.minimum.reduceat(reach, (np.cumsum(n) - n)[some]))
+        ends = np.flatnonzero(fixed)
+        known = far[ends[np.searchsorted(ends, places)]] - places if size else places
+        self.longest = np.where(self.longest >= k, np.minimum(known, self.longest), self.longest)
 
 
 class Asked:
-    """Distinct keys (40 bits within a bucket) in their order, and whether several rows of the chunk have each."""
+    """Distinct keys in the order of (bucket, 40 bits within it), whether several rows of the chunk have each, and marks of the symbols beside them (0: several)."""
 
-    def __init__(self, at: np.ndarray, key: np.ndarray, row: np.ndarray):
+    def __init__(self, marks: list[str], buckets: int):
+        self.count, self.marks = buckets, [np.zeros(0, np.int32) for _ in marks]
+        self.key, self.least, self.most = np.zeros(0, np.uint64), np.zeros(0, np.int32), np.zeros(0, np.int32)
+        self.at = self.which = np.zeros(0, np.int64)
+
+    def order(self, g: np.ndarray) -> np.ndarray:
+        return (((g & np.uint64(0xFFFFFF)) * np.uint64(self.count) >> np.uint64(24)) << np.uint64(40)) | (g >> np.uint64(24))
+
+    def add(self, g: np.ndarray, row: np.ndarray, *marks: np.ndarray) -> None:
+        key, least, most = np.concatenate([self.key, self.order(g)]), np.concatenate([self.least, row]), np.concatenate([self.most, row])
         order = np.argsort(key)
-        key, row, self.at = key[order], row[order], at[order]
+        key = key[order]
         new = np.ones(len(key), bool)
         new[1:] = key[1:] != key[:-1]
         heads = np.flatnonzero(new)
-        self.which = np.cumsum(new) - 1
-        self.key = key[heads]
-        self.several = np.minimum.reduceat(row, heads) != np.maximum.reduceat(row, heads) if len(heads) else np.zeros(0, bool)
-        bucket = (self.key >> np.uint64(40)).astype(np.int64)
-        self.buckets, begin = np.unique(bucket, return_index=True)
-        self.edges = np.append(begin, len(bucket))
+        if self.at.size:
+            self.which = np.empty(len(key), np.int64)
+            self.which[order] = np.cumsum(new) - 1
+        if not len(heads):
+            return
+        self.key, self.least, self.most = key[heads], np.minimum.reduceat(least[order], heads), np.maximum.reduceat(most[order], heads)
+        self.marks = [_one_mark(x[order], heads) for x in marks]
+
+    def find(self, g: np.ndarray) -> np.ndarray:
+        return np.searchsorted(self.key, self.order(g))
+
+    def edges(self) -> tuple[np.ndarray, np.ndarray]:
+        buckets, begin = np.unique((self.key >> np.uint64(40)).astype(np.int64), return_index=True)
+        return buckets, np.append(begin, len(self.key))
 
     def blobs(self) -> Iterator[tuple[int, bytes]]:
-        """(bucket, its keys: high bytes, then low words); sorted high bytes compress to next to nothing."""
-        low, high = (self.key & np.uint64(0xFFFFFFFF)).astype(np.uint32), (self.key >> np.uint64(32)).astype(np.uint8)
-        for b, i, j in zip(self.buckets.tolist(), self.edges[:-1], self.edges[1:], strict=True):
-            yield b, high[i:j].tobytes() + low[i:j].tobytes()
-
-    def shared(self, answers: dict[int, bytes]) -> np.ndarray:
-        """The places whose n-grams another row has."""
-        if [(b, -(-int(n) // 8)) for b, n in zip(self.buckets.tolist(), np.diff(self.edges), strict=True)] != [(b, len(answers[b])) for b in sorted(answers)]:
+        """(bucket, its keys and three bytes of each mark)."""
+        marks = [np.ascontiguousarray(x.astype(np.uint32).view(np.uint8).reshape(-1, 4)[:, :3]) for x in self.marks]
+        buckets, edges = self.edges()
+        for b, i, j in zip(buckets.tolist(), edges[:-1], edges[1:], strict=True):
+            yield b, b"".join([_squeeze(self.key[i:j]), *(x[i:j].tobytes() for x in marks)])
+
+    def hear(self, answers: dict[int, bytes]) -> list[np.ndarray]:
+        """For each key: whether another row has it, and whether it has several symbols before and after."""
+        buckets, edges = self.edges()
+        kinds = 1 + len(self.marks)
+        if [(b, -(-int(n) // 8) * kinds) for b, n in zip(buckets.tolist(), np.diff(edges), strict=True)] != [(b, len(answers[b])) for b in sorted(answers)]:
             raise ValueError("a chunk isn't what it was when it asked: docs change from one reading to the next")
-        bits = [np.unpackbits(np.frombuffer(answers[b], np.uint8), count=j - i) for b, i, j in zip(self.buckets.tolist(), self.edges[:-1], self.edges[1:], strict=True)]
-        has = self.several | (np.concatenate(bits).astype(bool) if bits else False)
-        return self.at[has[self.which]]
+        out = [np.zeros(len(self.key), bool) for _ in range(kinds)]
+        for b, i, j in zip(buckets.tolist(), edges[:-1], edges[1:], strict=True):
+            for x, bits in zip(out, np.frombuffer(answers[b], np.uint8).reshape(kinds, -1), strict=True):
+                x[i:j] = np.unpackbits(bits, count=j - i)
+        out[0] |= self.least != self.most
+        return out
+
+
+def _squeeze(key: np.ndarray) -> bytes:
+    """Ascending keys of 40 bits: their number, their low bits, and a bit string in which the high bits count up (Elias-Fano)."""
+    n = len(key)
+    low = 3 if n >= 1 << 13 else 4
+    up = np.zeros(n + (1 << (40 - 8 * low)), bool)
+    up[((key & np.uint64((1 << 40) - 1)) >> np.uint64(8 * low)).astype(np.int64) + np.arange(n)] = True
+    return n.to_bytes(4, "little") + key.astype(np.uint32).view(np.uint8).reshape(-1, 4)[:, :low].tobytes() + np.packbits(up).tobytes()
+
+
+def _stretch(blob: bytes) -> tuple[np.ndarray, int]:
+    """The keys, and the bytes that they took."""
+    n = int.from_bytes(blob[:4], "little")
+    low = 3 if n >= 1 << 13 else 4
+    bits = n + (1 << (40 - 8 * low))
+    end = 4 + low * n + -(-bits // 8)
+    key = np.zeros((n, 8), np.uint8)
+    key[:, :low] = np.frombuffer(blob, np.uint8, low * n, 4).reshape(n, low)
+    up = np.flatnonzero(np.unpackbits(np.frombuffer(blob, np.uint8, end - 4 - low * n, 4 + low * n), count=bits)) - np.arange(n)
+    return key.view(np.uint64).ravel() | up.astype(np.uint64) << np.uint64(8 * low), end
+
+
+def _one_mark(mark: np.ndarray, heads: np.ndarray) -> np.ndarray:
+    """The mark of each group, 0 if it has several."""
+    least = np.minimum.reduceat(mark, heads)
+    return np.where(least == np.maximum.reduceat(mark, heads), least, 0)
 
 
 _CHUNKS = "chunk long, payload binary"
@@ -226,36 +402,26 @@ def _known(batch: pa.RecordBatch, k: int) -> tuple[Chunk, dict[int, bytes], dict
     return Chunk.load(batch["payload"][k].as_py()), kept, answers
 
 
-def _hear(chunk: Chunk, kept: dict[int, bytes], answers: dict[int, dict[int, bytes]], upto: int, buckets: int) -> dict[int, np.ndarray]:
-    """Applies the rounds before ``upto``; the places with shared n-grams by level."""
-    known = {}
-    for k, levels in enumerate(ROUNDS[:upto]):
-        if k < upto - 1:
-            for n in levels:
-                known[n] = np.flatnonzero(np.unpackbits(np.frombuffer(kept[n], np.uint8), count=len(chunk.codes)))
-        else:
-            for n in levels:  # all are asked for before any is heard
-                known[n] = chunk.ask(n, buckets).shared(answers.get(n, {}))
-        for n in levels:
-            chunk.told(n, known[n])
-    return known
+def _hear(chunk: Chunk, kept: dict[int, bytes], answers: dict[int, dict[int, bytes]], asked: Round, buckets: int) -> None:
+    """Applies the answers to a round."""
+    if 0 in kept:
+        chunk.restore(kept[0])
+    all_asked = [chunk.ask(kind, k, buckets) for kind, k in asked]  # all are asked for before any is heard
+    for level, ((kind, k), one) in enumerate(zip(asked, all_asked, strict=True)):
+        chunk.told(kind, k, one, answers.get(level, {}))
 
 
-def _ask(number: int, buckets: int):  # noqa: ANN202
+def _ask(before: Round, now: Round, buckets: int):  # noqa: ANN202
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """The messages of a round: n-grams to the buckets, and what is known so far to the chunk itself (by a negative address)."""
+        """The messages of a round: strings to the buckets, and what is known so far to the chunk itself (by a negative address)."""
         for batch in batches:
             for k in range(batch.num_rows):
                 i = batch["chunk"][k].as_py()
                 chunk, kept, answers = _known(batch, k)
-                known = _hear(chunk, kept, answers, number, buckets)
-                out = []
-                for n, at in known.items():
-                    bits = np.zeros(len(chunk.codes), bool)
-                    bits[at] = True
-                    out.append((-1 - i, n, np.packbits(bits).tobytes()))
-                for n in ROUNDS[number]:
-                    out.extend((b, n, blob) for b, blob in chunk.ask(n, buckets).blobs())
+                _hear(chunk, kept, answers, before, buckets)
+                out = [(-1 - i, 0, chunk.save())] if before else []
+                for level, (kind, n) in enumerate(now):
+                    out.extend((b, level, blob) for b, blob in chunk.ask(kind, n, buckets).blobs())
                 for a in range(0, len(out), 1024):
                     to, level, blob = zip(*out[a : a + 1024], strict=True)
                     yield pa.RecordBatch.from_arrays([pa.array(to, pa.int64()), pa.array([i] * len(to), pa.int64()), pa.array(level, pa.int32()), pa.array(blob, pa.binary())], ["to", "chunk", "level", "blob"])
@@ -263,45 +429,56 @@ def _ask(number: int, buckets: int):  # noqa: ANN202
     return run
 
 
-def _shared_bits(blobs: list[bytes]) -> list[bytes]:
-    """For each chunk's keys of a bucket, a bit a key: whether another chunk has it."""
-    sizes = [len(b) // 5 for b in blobs]
-    high = np.concatenate([np.frombuffer(b, np.uint8, n) for b, n in zip(blobs, sizes, strict=True)]).astype(np.uint64)
-    key = (high << np.uint64(32)) | np.concatenate([np.frombuffer(b[n:], np.uint32) for b, n in zip(blobs, sizes, strict=True)])
+def _shared_bits(blobs: list[bytes], marks: int) -> list[bytes]:
+    """For each chunk's keys of a bucket, a bit a key: whether another chunk has it; and one for each mark: whether there are several."""
+    keys, begin = zip(*map(_stretch, blobs), strict=True)
+    sizes = [len(x) for x in keys]
+    key = np.concatenate(keys)
     order = np.argsort(key)
     ordered = key[order]
     same = np.zeros(len(key) + 1, bool)
     same[1:-1] = ordered[1:] == ordered[:-1]
-    has = np.empty(len(key), bool)
-    has[order] = same[1:] | same[:-1]
-    return [np.packbits(x).tobytes() for x in np.split(has, np.cumsum(sizes)[:-1])]
-
+    heads = np.flatnonzero(~same[:-1])
+    out = [same[1:] | same[:-1]]
+    for m in range(marks):
+        mark = np.concatenate([np.frombuffer(b, np.uint8, 3 * n, a + 3 * m * n) for b, n, a in zip(blobs, sizes, begin, strict=True)]).reshape(-1, 3).astype(np.int32)
+        out.append(np.repeat(_one_mark((mark[:, 0] | mark[:, 1] << 8 | mark[:, 2] << 16)[order], heads) == 0, np.diff(np.append(heads, len(key)))))
+    bits = []
+    for x in out:
+        has = np.empty(len(key), bool)
+        has[order] = x
+        bits.append(np.split(has, np.cumsum(sizes)[:-1]))
+    return [b"".join(np.packbits(x).tobytes() for x in one) for one in zip(*bits, strict=True)]
+
+
+def _answer(asked: Round):  # noqa: ANN202
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows come in the order of (to, level). A chunk's own messages go on as they are."""
+        at, chunks, blobs = None, [], []
 
-def _answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows come in the order of (to, level). A chunk's own messages go on as they are."""
-    at, chunks, blobs = None, [], []
+        def close() -> Iterator[pa.RecordBatch]:
+            bits = _shared_bits(blobs, 2 * (asked[at[1]][0] == "branch")) if blobs else []
+            for a in range(0, len(bits), 1024):
+                some, n = bits[a : a + 1024], len(bits[a : a + 1024])
+                yield pa.RecordBatch.from_arrays([pa.array([at[0]] * n, pa.int64()), pa.array(chunks[a : a + n], pa.int64()), pa.array([at[1]] * n, pa.int32()), pa.array(some, pa.binary())], ["to", "chunk", "level", "blob"])
+            chunks.clear()
+            blobs.clear()
 
-    def close() -> Iterator[pa.RecordBatch]:
-        bits = _shared_bits(blobs) if blobs else []
-        for a in range(0, len(bits), 1024):
-            some, n = bits[a : a + 1024], len(bits[a : a + 1024])
-            yield pa.RecordBatch.from_arrays([pa.array([at[0]] * n, pa.int64()), pa.array(chunks[a : a + n], pa.int64()), pa.array([at[1]] * n, pa.int32()), pa.array(some, pa.binary())], ["to", "chunk", "level", "blob"])
-        chunks.clear()
-        blobs.clear()
+        for batch in batches:
+            own = batch.filter(pa.array(batch["to"].to_numpy() < 0))
+            if own.num_rows:
+                yield own
+            for to, chunk, level, blob in zip(batch["to"].to_pylist(), batch["chunk"].to_pylist(), batch["level"].to_pylist(), batch["blob"], strict=True):
+                if to < 0:
+                    continue
+                if (to, level) != at:
+                    yield from close()
+                    at = (to, level)
+                chunks.append(chunk)
+                blobs.append(blob.as_py())
+        yield from close()
 
-    for batch in batches:
-        own = batch.filter(pa.array(batch["to"].to_numpy() < 0))
-        if own.num_rows:
-            yield own
-        for to, chunk, level, blob in zip(batch["to"].to_pylist(), batch["chunk"].to_pylist(), batch["level"].to_pylist(), batch["blob"], strict=True):
-            if to < 0:
-                continue
-            if (to, level) != at:
-                yield from close()
-                at = (to, level)
-            chunks.append(chunk)
-            blobs.append(blob.as_py())
-    yield from close()
+    return run
 
 
 def _sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -314,12 +491,12 @@ def _sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 _COUNTS = "doc_id long, lang string, n_symbols int, phrases int, own_phrases int"
 
 
-def _count(buckets: int):  # noqa: ANN202
+def _count(before: Round, buckets: int):  # noqa: ANN202
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(batch.num_rows):
                 chunk, kept, answers = _known(batch, k)
-                _hear(chunk, kept, answers, len(ROUNDS), buckets)
+                _hear(chunk, kept, answers, before, buckets)
                 longest, codes, first = chunk.longest.tolist(), chunk.codes.tolist(), chunk.first.tolist()
                 spans = list(zip(first[:-1], first[1:], strict=True))
                 yield pa.RecordBatch.from_arrays([
@@ -334,19 +511,21 @@ def cross_parse(docs: DataFrame, chunk: int = CHUNK, bucket: int = BUCKET) -> Da
     """doc_id, the counts and the two scores, for every row of docs."""
     spark = docs.sparkSession
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("lang", F.lit("")).alias("lang"), "text")
-    # A symbol has about five bytes.
-    size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    # A symbol has about five bytes, and at least one.
+    size, most = texts.agg(F.sum(F.octet_length("text")), F.max(F.octet_length("text"))).first()
+    size, most = size or 0, most or 0
     buckets = min(1 << 24, max(1, -(-size // (5 * bucket))))
     # A fixed number of partitions, so that all rounds reuse one exchange.
     places = int(spark.conf.get("spark.sql.shuffle.partitions"))
     chunks = texts.mapInArrow(_pack(chunk), _CHUNKS).repartition(places, "chunk")
     totals = chunks.mapInArrow(_sizes, "lang string, size long").groupBy("lang").agg(F.sum("size").alias("total"))
     state = chunks.withColumn("messages", F.lit(None).cast("array<struct<to: long, level: int, blob: binary>>"))
-    for k in range(len(ROUNDS)):
-        answers = state.mapInArrow(_ask(k, buckets), _MESSAGES).repartition("to").sortWithinPartitions("to", "level").mapInArrow(_answer, _MESSAGES)
+    before: Round = ()
+    for asked in rounds(most):
+        answers = state.mapInArrow(_ask(before, asked, buckets), _MESSAGES).repartition("to").sortWithinPartitions("to", "level").mapInArrow(_answer(asked), _MESSAGES)
         heard = answers.repartition(places, "chunk").groupBy("chunk").agg(F.collect_list(F.struct("to", "level", "blob")).alias("messages"))
-        state = chunks.join(heard, "chunk", "left")
-    counts = state.mapInArrow(_count(buckets), _COUNTS)
+        state, before = chunks.join(heard, "chunk", "left"), asked
+    counts = state.mapInArrow(_count(before, buckets), _COUNTS)
     n, c, s = F.col("n_symbols"), F.col("phrases"), F.col("own_phrases")
     size = F.col("total") - n
     cost = F.when((n > 0) & (size > 0), c * F.log2(F.greatest(size, F.lit(2)).cast("double")))

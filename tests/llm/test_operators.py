@@ -669,6 +669,32 @@ def test_cross_parse_against_brute_force(spark):
                 assert abs(r.cross_entropy - cost / r.n_symbols) < 1e-9 and abs(r.relative_entropy - (cost - r.own_phrases * math.log2(r.own_phrases)) / r.n_symbols) < 1e-9
 
 
+def test_phrases_are_longest_matches_in_one_other_row(spark):
+    """Matches of any length, in texts whose windows all occur elsewhere, though not together; near copies, runs of one word, and rows without symbols."""
+    rng = random.Random(17)
+    texts = [" ".join(rng.choice(WORDS[: rng.choice((2, 4, 30))]) for _ in range(rng.randint(1, 90))) for _ in range(30)]
+    # Every window of up to 8 symbols of the first text is in one of two others, which overlap by 9.
+    texts += [" ".join(f"w{k}" for k in range(a, b)) for a, b in ((0, 40), (0, 24), (15, 40))]
+    for k in range(12):
+        near = rng.choice(texts[:30]).split()
+        for _ in range(rng.randint(0, 3)):
+            near[rng.randrange(len(near))] = rng.choice(WORDS)
+        texts.append(" ".join(near))
+    texts += ["so " * 70, "so " * 33 + "on", "", None]
+    rows = [(k, t, "en") for k, t in enumerate(texts)]
+
+    def split(t):
+        data, offsets = bytesops.column_bytes(pa.array([t], pa.string()))
+        return zm_parse.symbols(data, offsets)[0].tolist()
+
+    parts = [split(t) for t in texts]
+    want = {k: exact_phrases(p, parts[:k] + parts[k + 1 :]) for k, p in enumerate(parts)}
+    assert want[30] == 2
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    for chunk, bucket in ((zm_parse.CHUNK, zm_parse.BUCKET), (150, 60)):
+        assert {r.doc_id: r.phrases for r in zm_parse.cross_parse(docs, chunk, bucket).collect()} == want
+
+
 def test_copies_score_apart_wherever_they_lie(spark):
     rng = random.Random(13)
     rows = [(k, prose(rng, 80), "en") for k in range(200)] + [(200 + k, t, "en") for k, t in enumerate(prose(rng, 80) for _ in range(5))]
