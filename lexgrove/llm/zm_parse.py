@@ -42,8 +42,8 @@ from pyspark.sql import functions as F
 from .bytesops import fold, mix, powers, span_hashes, text_slices, word_bounds
 from .tables import documents
 
-#: Orders: lengths from which on matches are followed to the next order. The last is repeated 16 times as large, as far as texts go.
-ORDERS = (4, 16, 64, 256, 1024)
+#: Orders: lengths from which on matches are followed to the next order. After the last they are 64 times as large each, as far as texts go.
+ORDERS = (4, 16, 64, 256, 512, 1024)
 CHUNK = 1 << 21
 BUCKET = 1 << 22
 #: Tests that are made at once.
@@ -53,11 +53,11 @@ Round = tuple[tuple[str, int], ...]
 
 
 def _after(k: int) -> int:
-    return next((n for n in ORDERS if n > k), 16 * k)
+    return next((n for n in ORDERS if n > k), 64 * k)
 
 
 def _before(k: int) -> int:
-    return max(n for n in ORDERS if n < k) if k <= ORDERS[-1] else k // 16
+    return max(n for n in ORDERS if n < k) if k <= ORDERS[-1] else k // 64
 
 
 def rounds(most: int) -> list[Round]:
@@ -69,6 +69,12 @@ def rounds(most: int) -> list[Round]:
     return out
 
 
+def _known_below(heard: Round) -> int:
+    """Matches of fewer symbols are known once this round is heard."""
+    kind, k = heard[0]
+    return _after(k) if kind == "test" else k
+
+
 _powers_inverse = np.ones(1, np.uint64)
 
 
@@ -135,6 +141,7 @@ class Chunk:
         self.row = np.repeat(np.arange(len(ids), dtype=np.int32), np.diff(first))
         self.left = np.repeat(first[1:], np.diff(first)) - np.arange(len(codes))  # symbols from here to the row's end
         self.longest = self.left.copy()
+        self.phrases = np.full(len(ids), -1, np.int32)  # of the rows whose parse is known
         self.heads = self.ends = np.zeros(len(codes), bool)
         self.sums: np.ndarray | None = None
 
@@ -157,7 +164,7 @@ class Chunk:
         for lang, n in zip(langs, np.diff(first).tolist(), strict=True):
             sizes[lang] = sizes.get(lang, 0) + n
         head = pickle.dumps(sizes, 5)
-        return b"".join([len(head).to_bytes(8, "little"), head, len(raw).to_bytes(8, "little"), pa.Codec("zstd").compress(raw, asbytes=True)])
+        return b"".join([len(head).to_bytes(8, "little"), head, len(raw).to_bytes(8, "little"), pa.Codec("zstd", 6).compress(raw, asbytes=True)])
 
     @staticmethod
     def sizes(blob: bytes) -> dict[str, int]:
@@ -171,52 +178,82 @@ class Chunk:
         codes = np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(4, -1).T).view(np.uint32).ravel()
         return cls(ids, langs, first, codes, hashes)
 
-    def save(self) -> bytes:
-        """What is known of the places."""
-        far = np.diff(np.append(self.longest + np.arange(len(self.longest)), 0)).astype(np.int32)  # ends of matches: equal over long stretches
-        raw = far.view(np.uint8).reshape(-1, 4).T.tobytes() + np.packbits(self.heads).tobytes() + np.packbits(self.ends).tobytes()
-        return len(raw).to_bytes(8, "little") + pa.Codec("zstd").compress(raw, asbytes=True)
+    def save(self, k: int) -> bytes:
+        """What is known of the places once matches of fewer than k symbols are: rows without longer ones are parsed, and of the others it is the matches and branches."""
+        left = np.zeros(len(self.ids), bool)
+        left[self.row[self.longest >= k]] = True
+        for r in np.flatnonzero(~left & (self.phrases < 0)).tolist():
+            self.phrases[r] = jumps(self.longest[self.first[r] : self.first[r + 1]].tolist())
+        some = left[self.row]
+        longest = self.longest[some]
+        far = np.diff(np.append(longest + np.arange(len(longest)), 0)).astype(np.int32)  # ends of matches: equal over long stretches
+        raw = self.phrases.tobytes() + far.view(np.uint8).reshape(-1, 4).T.tobytes() + np.packbits(self.heads[some]).tobytes() + np.packbits(self.ends[some]).tobytes()
+        return len(raw).to_bytes(8, "little") + pa.Codec("zstd", 3).compress(raw, asbytes=True)
 
     def restore(self, blob: bytes) -> None:
         raw = np.frombuffer(pa.Codec("zstd").decompress(blob[8:], int.from_bytes(blob[:8], "little"), asbytes=True), np.uint8)
-        n = len(self.codes)
+        self.phrases = raw[: 4 * len(self.ids)].view(np.int32).copy()
+        some = (self.phrases < 0)[self.row]
+        n, raw = int(some.sum()), raw[4 * len(self.ids) :]
         far = np.ascontiguousarray(raw[: 4 * n].reshape(4, n).T).view(np.int32).ravel()
-        self.longest = -np.cumsum(far[::-1], dtype=np.int64)[::-1] - np.arange(n)
-        bits = raw[4 * n :]
-        self.heads, self.ends = (np.unpackbits(x, count=n).astype(bool) for x in (bits[: -(-n // 8)], bits[-(-n // 8) :]))
-
-    def stops(self, k: int) -> np.ndarray:
-        """For each place, the first place from there on without a match of k symbols."""
-        none = np.flatnonzero(np.append(self.longest < k, True))
-        return none[np.searchsorted(none, np.arange(len(self.codes)))]
+        self.longest = np.ones(len(self.codes), np.int64)
+        self.longest[some] = -np.cumsum(far[::-1], dtype=np.int64)[::-1] - np.arange(n)
+        self.heads, self.ends = np.zeros(len(self.codes), bool), np.zeros(len(self.codes), bool)
+        for x, bits in zip((self.heads, self.ends), (raw[4 * n : 4 * n + -(-n // 8)], raw[4 * n + -(-n // 8) :]), strict=True):
+            x[some] = np.unpackbits(bits, count=n)
+
+    def runs(self, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """Places with a match of k symbols, and for each the first place after it without one."""
+        at = np.flatnonzero(self.longest >= k)
+        last = np.flatnonzero(np.append(at[1:] != at[:-1] + 1, True)[: len(at)])
+        return at, np.repeat(at[last] + 1, np.diff(np.append(-1, last)))
 
     def branching(self, k: int) -> np.ndarray:
         """Places whose matches of k symbols may have several symbols before or after them. Those of a longer string are among those of its first and last symbols."""
         at = np.flatnonzero(self.longest >= k)
         return at[self.heads[at] | self.ends[at + (k - _before(k))]] if k > ORDERS[0] else at
 
-    def tests(self, k: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        """(places, number of tests of each, ends of the tests): at a place before a head, a match goes on to each place of several followers, if its string up to there and one symbol more is shared.
-        Tests are of strings of less than the next order and one; in blocks, as a text of one symbol has very many."""
-        stop = self.stops(k)
-        begin = np.flatnonzero((self.longest[:-1] >= k) & (self.longest[1:] >= k) & self.heads[1:]) if len(stop) else np.zeros(0, np.int64)
-        at = np.flatnonzero(self.ends[:-1] & (self.longest[1:] >= k)) if len(stop) else begin
+    def starts(self, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Places before a head, in the order of their strings up to where tests end; the first of each string in that order; the least and the greatest row that has it."""
+        none = np.zeros(0, np.int64)
+        at, stop = self.runs(k)
+        some = np.flatnonzero(at + 1 < stop)
+        some = some[self.heads[at[some] + 1]]
+        if not len(some):
+            return none, none, none, none
+        begin = at[some]
+        string = self.spans(begin, np.minimum(stop[some] - 1 + k - begin, _after(k)))
+        order = np.argsort(string, kind="stable")
+        begin, string = begin[order], string[order]
+        heads = np.flatnonzero(np.append(True, string[1:] != string[:-1]))
+        row = self.row[begin]
+        return begin, heads, np.minimum.reduceat(row, heads), np.maximum.reduceat(row, heads)
+
+    def tests(self, k: int, begin: np.ndarray) -> Iterator[tuple[slice, np.ndarray, np.ndarray, np.ndarray]]:
+        """(which of the given places, they, number of tests of each, ends of the tests): at a place before a head, a match goes on to each place of several followers, if its string up to there and one symbol more is shared.
+        In blocks, as a text of one symbol has very many."""
+        if not len(begin):
+            return
+        at, stop = self.runs(k)
+        stop = stop[np.searchsorted(at, begin)]
+        at = at[:-1][self.ends[at[:-1]] & (at[1:] == at[:-1] + 1)]
         i = np.searchsorted(at, begin)
-        count = np.searchsorted(at, np.minimum(stop[begin] - 1, begin + _after(k) - k)) - i
+        count = np.searchsorted(at, np.minimum(stop - 1, begin + _after(k) - k)) - i
         total = np.cumsum(count)
         a = 0
         while a < len(begin):
             b = max(a + 1, int(np.searchsorted(total, total[a] - count[a] + BLOCK, "right")))
-            some, n = begin[a:b], count[a:b]
-            yield some, n, at[np.arange(int(n.sum())) + np.repeat(i[a:b] - (np.cumsum(n) - n), n)] + k + 1
+            n = count[a:b]
+            yield slice(a, b), begin[a:b], n, at[np.arange(int(n.sum())) + np.repeat(i[a:b] - (np.cumsum(n) - n), n)] + k + 1
             a = b
 
     def ask(self, kind: str, k: int, buckets: int) -> Asked:
         if kind == "test":
             asked = Asked([], buckets)
-            for begin, n, end in self.tests(k):
-                begin = np.repeat(begin, n)
-                asked.add(self.spans(begin, end - begin), self.row[begin])
+            begin, heads, least, most = self.starts(k)
+            for some, first, n, end in self.tests(k, begin[heads]):
+                first = np.repeat(first, n)
+                asked.add(self.spans(first, end - first), np.repeat(least[some], n), np.repeat(most[some], n))
             return asked
         asked = Asked(["before", "after"] if kind == "branch" else [], buckets)
         at = np.flatnonzero(self.longest >= k) if kind == "gram" else self.branching(k)
@@ -225,7 +262,7 @@ class Chunk:
         if kind == "branch":
             mark = np.maximum(self.hashes >> np.uint64(40), np.uint64(2)).astype(np.int32)  # 0: several, 1: the row's begin or end
             more = [np.where(at == self.first[self.row[at]], 1, mark[self.codes[at - 1]]), np.where(self.left[at] == k, 1, mark[self.codes[np.minimum(at + k, len(self.codes) - 1)]])] if len(at) else [at, at]
-        asked.add(self.spans(at, k), self.row[at], *more)
+        asked.add(self.spans(at, k), self.row[at], self.row[at], *more)
         return asked
 
     def told(self, kind: str, k: int, asked: Asked, answers: dict[int, bytes]) -> None:
@@ -248,21 +285,24 @@ class Chunk:
 
     def tested(self, k: int, asked: Asked, shared: np.ndarray) -> None:
         """A string that is always preceded by the same symbol is shared with it: the place before has a match of the same end. So only places before heads were asked about."""
-        size = len(self.codes)
-        places = np.arange(size)
-        stop = self.stops(k)
+        at, stop = self.runs(k)
+        if not len(at):
+            return
         far = stop + (k - 1)
-        fixed = np.append(self.longest[1:] < k, True)
-        for begin, n, end in self.tests(k):
-            fixed[begin] = True
+        fixed = at + 1 == stop
+        begin, heads, *_ = self.starts(k)
+        place = np.searchsorted(at, begin)
+        fixed[place] = True
+        reach = np.full(len(heads), 1 << 62)  # of the string's first test that isn't shared
+        for which, first, n, end in self.tests(k, begin[heads]):
             some = n > 0
             if some.any():
-                key = self.spans(np.repeat(begin, n), end - np.repeat(begin, n))
-                reach = np.where(shared[asked.find(key)], 1 << 62, end - 1)
-                far[begin[some]] = np.minimum(far[begin[some]], np.minimum.reduceat(reach, (np.cumsum(n) - n)[some]))
+                key = asked.which if len(asked.which) == len(end) else asked.find(self.spans(np.repeat(first, n), end - np.repeat(first, n)))
+                reach[which][some] = np.minimum.reduceat(np.where(shared[key], 1 << 62, end - 1 - np.repeat(first, n)), (np.cumsum(n) - n)[some])
+        far[place] = np.minimum(far[place], begin + np.repeat(reach, np.diff(np.append(heads, len(begin)))))
         ends = np.flatnonzero(fixed)
-        known = far[ends[np.searchsorted(ends, places)]] - places if size else places
-        self.longest = np.where(self.longest >= k, np.minimum(known, self.longest), self.longest)
+        known = np.repeat(far[ends], np.diff(np.append(-1, ends))) - at
+        self.longest[at] = np.minimum(known, self.longest[at])
 
 
 class Asked:
@@ -276,14 +316,15 @@ class Asked:
     def order(self, g: np.ndarray) -> np.ndarray:
         return (((g & np.uint64(0xFFFFFF)) * np.uint64(self.count) >> np.uint64(24)) << np.uint64(40)) | (g >> np.uint64(24))
 
-    def add(self, g: np.ndarray, row: np.ndarray, *marks: np.ndarray) -> None:
-        key, least, most = np.concatenate([self.key, self.order(g)]), np.concatenate([self.least, row]), np.concatenate([self.most, row])
+    def add(self, g: np.ndarray, least: np.ndarray, most: np.ndarray, *marks: np.ndarray) -> None:
+        key, least, most = np.concatenate([self.key, self.order(g)]), np.concatenate([self.least, least]), np.concatenate([self.most, most])
         order = np.argsort(key)
         key = key[order]
         new = np.ones(len(key), bool)
         new[1:] = key[1:] != key[:-1]
         heads = np.flatnonzero(new)
-        if self.at.size:
+        self.which = np.zeros(0, np.int64)
+        if not len(self.key):  # the first part; with a second one it is void
             self.which = np.empty(len(key), np.int64)
             self.which[order] = np.cumsum(new) - 1
         if not len(heads):
@@ -419,7 +460,7 @@ def _ask(before: Round, now: Round, buckets: int):  # noqa: ANN202
                 i = batch["chunk"][k].as_py()
                 chunk, kept, answers = _known(batch, k)
                 _hear(chunk, kept, answers, before, buckets)
-                out = [(-1 - i, 0, chunk.save())] if before else []
+                out = [(-1 - i, 0, chunk.save(_known_below(before)))] if before else []
                 for level, (kind, n) in enumerate(now):
                     out.extend((b, level, blob) for b, blob in chunk.ask(kind, n, buckets).blobs())
                 for a in range(0, len(out), 1024):
@@ -497,11 +538,12 @@ def _count(before: Round, buckets: int):  # noqa: ANN202
             for k in range(batch.num_rows):
                 chunk, kept, answers = _known(batch, k)
                 _hear(chunk, kept, answers, before, buckets)
-                longest, codes, first = chunk.longest.tolist(), chunk.codes.tolist(), chunk.first.tolist()
+                codes, first = chunk.codes.tolist(), chunk.first.tolist()
                 spans = list(zip(first[:-1], first[1:], strict=True))
+                phrases = [c if c >= 0 else jumps(chunk.longest[a:b].tolist()) for c, (a, b) in zip(chunk.phrases.tolist(), spans, strict=True)]
                 yield pa.RecordBatch.from_arrays([
                     pa.array(chunk.ids, pa.int64()), pa.array(chunk.langs, pa.string()), pa.array(np.diff(chunk.first), pa.int32()),
-                    pa.array([jumps(longest[a:b]) for a, b in spans], pa.int32()), pa.array([own_phrases(codes[a:b]) for a, b in spans], pa.int32()),
+                    pa.array(phrases, pa.int32()), pa.array([own_phrases(codes[a:b]) for a, b in spans], pa.int32()),
                 ], ["doc_id", "lang", "n_symbols", "phrases", "own_phrases"])
 
     return run
@@ -511,8 +553,9 @@ def cross_parse(docs: DataFrame, chunk: int = CHUNK, bucket: int = BUCKET) -> Da
     """doc_id, the counts and the two scores, for every row of docs."""
     spark = docs.sparkSession
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("lang", F.lit("")).alias("lang"), "text")
-    # A symbol has about five bytes, and at least one.
-    size, most = texts.agg(F.sum(F.octet_length("text")), F.max(F.octet_length("text"))).first()
+    # A symbol has about five bytes. Those of long texts are counted: words, and what is neither of a word nor white space.
+    length = F.when(F.octet_length("text") <= 64 * ORDERS[-1], F.octet_length("text")).otherwise(F.length(F.regexp_replace(F.regexp_replace("text", r"[0-9A-Za-z\x{80}-\x{10FFFF}]+", "w"), r"[\t-\r ]+", "")))
+    size, most = texts.agg(F.sum(F.octet_length("text")), F.max(length)).first()
     size, most = size or 0, most or 0
     buckets = min(1 << 24, max(1, -(-size // (5 * bucket))))
     # A fixed number of partitions, so that all rounds reuse one exchange.
