@@ -17,8 +17,8 @@ row has too, is found over the cluster, for any length, with no string put toget
   So only places before a string of several predecessors are to be looked at, and from there only ends after a string of several followers:
   of these strings, up to the next order's length, the chunk asks whether another row has them. They are the branches of the automaton. Then the same is done from the next order on, up to the longest text.
 
-Plan. Texts become chunks of about ``CHUNK`` symbols, once, and one exchange of these serves all rounds (docs have to come as the same rows in the same
-partitions when they are read again, as those of a table or a checkpoint do; a chunk that doesn't fit its answers is an error). In a round each chunk sends its distinct strings as sorted 40-bit
+Plan. Texts become chunks of about ``CHUNK`` symbols, once, and one checkpoint of these serves all rounds. What chunks have heard is a checkpoint too; once it is
+written, the files of the round's exchanges and the checkpoint before go, so that the disk holds one round and not all (a chunk that doesn't fit its answers is an error). In a round each chunk sends its distinct strings as sorted 40-bit
 hashes to buckets of about ``BUCKET`` of them, and each bucket answers with a bit for each: whether another chunk has it too. As strings are
 distinct before they are sent, a hot one costs a row a chunk at most. Later rounds ask only where shorter strings all occur. The number of rounds grows with
 the logarithm of the longest text. Time and moved bytes are in proportion to the corpus, but for a run of one symbol, whose places branch everywhere: that costs the square of its length in time.
@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bytesops import fold, mix, powers, span_hashes, text_slices, word_bounds
-from .tables import documents
+from .tables import cut_and_free, documents, uncut
 
 #: Orders: lengths from which on matches are followed to the next order. After the last they are 64 times as large each, as far as texts go.
 ORDERS = (4, 16, 64, 256, 512, 1024)
@@ -134,15 +134,21 @@ def jumps(longest: list[int]) -> int:
 class Chunk:
     """Documents of a chunk: ids, languages, first symbol of each (with a last entry), codes of the symbols, and the hash of each code.
 
-    ``longest`` is the longest match at each place, as far as it is known: exact where it is below the order that was heard last, else a bound from above."""
+    ``longest`` is the longest match at each place, as far as it is known: exact where it is below the order that was heard last, else a bound from above.
+    Once a chunk is restored its places are those of the rows whose parse is open alone."""
 
     def __init__(self, ids: list[int | None], langs: list[str], first: np.ndarray, codes: np.ndarray, hashes: np.ndarray):
-        self.ids, self.langs, self.first, self.codes, self.hashes = ids, langs, first, codes, hashes
-        self.row = np.repeat(np.arange(len(ids), dtype=np.int32), np.diff(first))
-        self.left = np.repeat(first[1:], np.diff(first)) - np.arange(len(codes))  # symbols from here to the row's end
-        self.longest = self.left.copy()
+        self.ids, self.langs, self.hashes = ids, langs, hashes
         self.phrases = np.full(len(ids), -1, np.int32)  # of the rows whose parse is known
+        self.lay(first, codes)
+        self.longest = self.left.copy()
         self.heads = self.ends = np.zeros(len(codes), bool)
+
+    def lay(self, first: np.ndarray, codes: np.ndarray) -> None:
+        """The places: those of the rows whose parse is open."""
+        self.first, self.codes, self.open = first, codes, np.flatnonzero(self.phrases < 0)
+        self.row = np.repeat(np.arange(len(first) - 1, dtype=np.int32), np.diff(first))
+        self.left = np.repeat(first[1:], np.diff(first)) - np.arange(len(codes))  # symbols from here to the row's end
         self.sums: np.ndarray | None = None
 
     def spans(self, begin: np.ndarray, size: np.ndarray | int) -> np.ndarray:
@@ -180,10 +186,10 @@ class Chunk:
 
     def save(self, k: int) -> bytes:
         """What is known of the places once matches of fewer than k symbols are: rows without longer ones are parsed, and of the others it is the matches and branches."""
-        left = np.zeros(len(self.ids), bool)
+        left = np.zeros(len(self.open), bool)
         left[self.row[self.longest >= k]] = True
-        for r in np.flatnonzero(~left & (self.phrases < 0)).tolist():
-            self.phrases[r] = jumps(self.longest[self.first[r] : self.first[r + 1]].tolist())
+        for r in np.flatnonzero(~left).tolist():
+            self.phrases[self.open[r]] = jumps(self.longest[self.first[r] : self.first[r + 1]].tolist())
         some = left[self.row]
         longest = self.longest[some]
         far = np.diff(np.append(longest + np.arange(len(longest)), 0)).astype(np.int32)  # ends of matches: equal over long stretches
@@ -193,14 +199,12 @@ class Chunk:
     def restore(self, blob: bytes) -> None:
         raw = np.frombuffer(pa.Codec("zstd").decompress(blob[8:], int.from_bytes(blob[:8], "little"), asbytes=True), np.uint8)
         self.phrases = raw[: 4 * len(self.ids)].view(np.int32).copy()
-        some = (self.phrases < 0)[self.row]
-        n, raw = int(some.sum()), raw[4 * len(self.ids) :]
+        sizes = np.diff(self.first)
+        self.lay(np.append(0, np.cumsum(sizes[self.phrases < 0])), self.codes[np.repeat(self.phrases < 0, sizes)])
+        n, raw = len(self.codes), raw[4 * len(self.ids) :]
         far = np.ascontiguousarray(raw[: 4 * n].reshape(4, n).T).view(np.int32).ravel()
-        self.longest = np.ones(len(self.codes), np.int64)
-        self.longest[some] = -np.cumsum(far[::-1], dtype=np.int64)[::-1] - np.arange(n)
-        self.heads, self.ends = np.zeros(len(self.codes), bool), np.zeros(len(self.codes), bool)
-        for x, bits in zip((self.heads, self.ends), (raw[4 * n : 4 * n + -(-n // 8)], raw[4 * n + -(-n // 8) :]), strict=True):
-            x[some] = np.unpackbits(bits, count=n)
+        self.longest = -np.cumsum(far[::-1], dtype=np.int64)[::-1] - np.arange(n)
+        self.heads, self.ends = (np.unpackbits(bits, count=n).astype(bool) for bits in (raw[4 * n : 4 * n + -(-n // 8)], raw[4 * n + -(-n // 8) :]))
 
     def runs(self, k: int) -> tuple[np.ndarray, np.ndarray]:
         """Places with a match of k symbols, and for each the first place after it without one."""
@@ -214,20 +218,20 @@ class Chunk:
         return at[self.heads[at] | self.ends[at + (k - _before(k))]] if k > ORDERS[0] else at
 
     def starts(self, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Places before a head, in the order of their strings up to where tests end; the first of each string in that order; the least and the greatest row that has it."""
+        """Places before a head, in the order of their strings up to where tests end; the first of each string in that order; a row that has it, and whether several do."""
         none = np.zeros(0, np.int64)
         at, stop = self.runs(k)
         some = np.flatnonzero(at + 1 < stop)
         some = some[self.heads[at[some] + 1]]
         if not len(some):
-            return none, none, none, none
+            return none, none, none, none.astype(bool)
         begin = at[some]
         string = self.spans(begin, np.minimum(stop[some] - 1 + k - begin, _after(k)))
-        order = np.argsort(string, kind="stable")
+        order = np.argsort(string)
         begin, string = begin[order], string[order]
-        heads = np.flatnonzero(np.append(True, string[1:] != string[:-1]))
-        row = self.row[begin]
-        return begin, heads, np.minimum.reduceat(row, heads), np.maximum.reduceat(row, heads)
+        new = np.append(True, string[1:] != string[:-1])
+        heads, row = np.flatnonzero(new), self.row[begin]
+        return begin, heads, row[heads], _several(row, new, len(heads))
 
     def tests(self, k: int, begin: np.ndarray) -> Iterator[tuple[slice, np.ndarray, np.ndarray, np.ndarray]]:
         """(which of the given places, they, number of tests of each, ends of the tests): at a place before a head, a match goes on to each place of several followers, if its string up to there and one symbol more is shared.
@@ -247,22 +251,23 @@ class Chunk:
             yield slice(a, b), begin[a:b], n, at[np.arange(int(n.sum())) + np.repeat(i[a:b] - (np.cumsum(n) - n), n)] + k + 1
             a = b
 
-    def ask(self, kind: str, k: int, buckets: int) -> Asked:
+    def ask(self, kind: str, k: int, buckets: int, hearing: bool) -> Asked:
+        """What a round asks for; to send it, or (hearing) to read the answers."""
         if kind == "test":
-            asked = Asked([], buckets)
-            begin, heads, least, most = self.starts(k)
+            asked = Asked(0, buckets, hearing)
+            begin, heads, row, several = self.starts(k)
             for some, first, n, end in self.tests(k, begin[heads]):
                 first = np.repeat(first, n)
-                asked.add(self.spans(first, end - first), np.repeat(least[some], n), np.repeat(most[some], n))
+                asked.add(self.spans(first, end - first), np.repeat(row[some], n), np.repeat(several[some], n))
             return asked
-        asked = Asked(["before", "after"] if kind == "branch" else [], buckets)
+        asked = Asked(2 * (kind == "branch"), buckets, hearing)
         at = np.flatnonzero(self.longest >= k) if kind == "gram" else self.branching(k)
         asked.at = at
         more = []
-        if kind == "branch":
+        if kind == "branch" and not hearing:
             mark = np.maximum(self.hashes >> np.uint64(40), np.uint64(2)).astype(np.int32)  # 0: several, 1: the row's begin or end
             more = [np.where(at == self.first[self.row[at]], 1, mark[self.codes[at - 1]]), np.where(self.left[at] == k, 1, mark[self.codes[np.minimum(at + k, len(self.codes) - 1)]])] if len(at) else [at, at]
-        asked.add(self.spans(at, k), self.row[at], self.row[at], *more)
+        asked.add(self.spans(at, k), self.row[at], np.zeros(len(at), bool), *more)
         return asked
 
     def told(self, kind: str, k: int, asked: Asked, answers: dict[int, bytes]) -> None:
@@ -276,7 +281,7 @@ class Chunk:
             stop = np.ones(size + 1, bool)
             stop[asked.at[bits[0][asked.which]]] = False
             none = np.flatnonzero(stop)
-            run = none[np.searchsorted(none, np.arange(size))] - np.arange(size)  # consecutive n-grams that occur
+            run = np.repeat(none, np.diff(np.append(-1, none)))[:size] - np.arange(size)  # consecutive n-grams that occur
             self.longest = np.minimum(self.longest, run + (k - 1))
         if kind == "branch":
             self.heads, self.ends = np.zeros(size, bool), np.zeros(size, bool)
@@ -306,31 +311,38 @@ class Chunk:
 
 
 class Asked:
-    """Distinct keys in the order of (bucket, 40 bits within it), whether several rows of the chunk have each, and marks of the symbols beside them (0: several)."""
+    """Distinct keys in the order of (bucket, 40 bits within it). To be sent: marks of the symbols beside them (0: several). For hearing: whether several rows of the chunk have each, and which key each place has."""
 
-    def __init__(self, marks: list[str], buckets: int):
-        self.count, self.marks = buckets, [np.zeros(0, np.int32) for _ in marks]
-        self.key, self.least, self.most = np.zeros(0, np.uint64), np.zeros(0, np.int32), np.zeros(0, np.int32)
+    def __init__(self, kinds: int, buckets: int, hearing: bool):
+        self.count, self.kinds, self.hearing = buckets, kinds, hearing
+        self.marks = [np.zeros(0, np.int32) for _ in range(kinds)]
+        self.key, self.row, self.several = np.zeros(0, np.uint64), np.zeros(0, np.int32), np.zeros(0, bool)
         self.at = self.which = np.zeros(0, np.int64)
 
     def order(self, g: np.ndarray) -> np.ndarray:
         return (((g & np.uint64(0xFFFFFF)) * np.uint64(self.count) >> np.uint64(24)) << np.uint64(40)) | (g >> np.uint64(24))
 
-    def add(self, g: np.ndarray, least: np.ndarray, most: np.ndarray, *marks: np.ndarray) -> None:
-        key, least, most = np.concatenate([self.key, self.order(g)]), np.concatenate([self.least, least]), np.concatenate([self.most, most])
+    def add(self, g: np.ndarray, row: np.ndarray, several: np.ndarray, *marks: np.ndarray) -> None:
+        key = np.concatenate([self.key, self.order(g)])
+        if not self.hearing and not self.kinds:
+            key.sort()
+            self.key = key[_new(key)]
+            return
         order = np.argsort(key)
         key = key[order]
-        new = np.ones(len(key), bool)
-        new[1:] = key[1:] != key[:-1]
+        new = _new(key)
         heads = np.flatnonzero(new)
+        if not self.hearing:  # marks come in one part
+            self.key, self.marks = key[heads], [_one_mark(x[order], heads) for x in marks] if len(heads) else self.marks
+            return
+        row, several = np.concatenate([self.row, row])[order], np.concatenate([self.several, several])[order]
+        group = np.cumsum(new) - 1
         self.which = np.zeros(0, np.int64)
         if not len(self.key):  # the first part; with a second one it is void
             self.which = np.empty(len(key), np.int64)
-            self.which[order] = np.cumsum(new) - 1
-        if not len(heads):
-            return
-        self.key, self.least, self.most = key[heads], np.minimum.reduceat(least[order], heads), np.maximum.reduceat(most[order], heads)
-        self.marks = [_one_mark(x[order], heads) for x in marks]
+            self.which[order] = group
+        self.key, self.row, self.several = key[heads], row[heads], _several(row, new, len(heads))
+        self.several[group[several]] = True
 
     def find(self, g: np.ndarray) -> np.ndarray:
         return np.searchsorted(self.key, self.order(g))
@@ -349,14 +361,14 @@ class Asked:
     def hear(self, answers: dict[int, bytes]) -> list[np.ndarray]:
         """For each key: whether another row has it, and whether it has several symbols before and after."""
         buckets, edges = self.edges()
-        kinds = 1 + len(self.marks)
+        kinds = 1 + self.kinds
         if [(b, -(-int(n) // 8) * kinds) for b, n in zip(buckets.tolist(), np.diff(edges), strict=True)] != [(b, len(answers[b])) for b in sorted(answers)]:
             raise ValueError("a chunk isn't what it was when it asked: docs change from one reading to the next")
         out = [np.zeros(len(self.key), bool) for _ in range(kinds)]
         for b, i, j in zip(buckets.tolist(), edges[:-1], edges[1:], strict=True):
             for x, bits in zip(out, np.frombuffer(answers[b], np.uint8).reshape(kinds, -1), strict=True):
                 x[i:j] = np.unpackbits(bits, count=j - i)
-        out[0] |= self.least != self.most
+        out[0] |= self.several
         return out
 
 
@@ -381,6 +393,20 @@ def _stretch(blob: bytes) -> tuple[np.ndarray, int]:
     return key.view(np.uint64).ravel() | up.astype(np.uint64) << np.uint64(8 * low), end
 
 
+def _new(ordered: np.ndarray) -> np.ndarray:
+    """Whether each value isn't the one before it."""
+    new = np.ones(len(ordered), bool)
+    new[1:] = ordered[1:] != ordered[:-1]
+    return new
+
+
+def _several(value: np.ndarray, new: np.ndarray, groups: int) -> np.ndarray:
+    """Whether each group has several values."""
+    out = np.zeros(groups, bool)
+    out[np.cumsum(new)[1:][(value[1:] != value[:-1]) & ~new[1:]] - 1] = True
+    return out
+
+
 def _one_mark(mark: np.ndarray, heads: np.ndarray) -> np.ndarray:
     """The mark of each group, 0 if it has several."""
     least = np.minimum.reduceat(mark, heads)
@@ -447,7 +473,7 @@ def _hear(chunk: Chunk, kept: dict[int, bytes], answers: dict[int, dict[int, byt
     """Applies the answers to a round."""
     if 0 in kept:
         chunk.restore(kept[0])
-    all_asked = [chunk.ask(kind, k, buckets) for kind, k in asked]  # all are asked for before any is heard
+    all_asked = [chunk.ask(kind, k, buckets, True) for kind, k in asked]  # all are asked for before any is heard
     for level, ((kind, k), one) in enumerate(zip(asked, all_asked, strict=True)):
         chunk.told(kind, k, one, answers.get(level, {}))
 
@@ -462,7 +488,7 @@ def _ask(before: Round, now: Round, buckets: int):  # noqa: ANN202
                 _hear(chunk, kept, answers, before, buckets)
                 out = [(-1 - i, 0, chunk.save(_known_below(before)))] if before else []
                 for level, (kind, n) in enumerate(now):
-                    out.extend((b, level, blob) for b, blob in chunk.ask(kind, n, buckets).blobs())
+                    out.extend((b, level, blob) for b, blob in chunk.ask(kind, n, buckets, False).blobs())
                 for a in range(0, len(out), 1024):
                     to, level, blob = zip(*out[a : a + 1024], strict=True)
                     yield pa.RecordBatch.from_arrays([pa.array(to, pa.int64()), pa.array([i] * len(to), pa.int64()), pa.array(level, pa.int32()), pa.array(blob, pa.binary())], ["to", "chunk", "level", "blob"])
@@ -537,12 +563,13 @@ def _count(before: Round, buckets: int):  # noqa: ANN202
         for batch in batches:
             for k in range(batch.num_rows):
                 chunk, kept, answers = _known(batch, k)
+                codes, first = chunk.codes.tolist(), chunk.first
+                spans = list(zip(first[:-1].tolist(), first[1:].tolist(), strict=True))
                 _hear(chunk, kept, answers, before, buckets)
-                codes, first = chunk.codes.tolist(), chunk.first.tolist()
-                spans = list(zip(first[:-1], first[1:], strict=True))
-                phrases = [c if c >= 0 else jumps(chunk.longest[a:b].tolist()) for c, (a, b) in zip(chunk.phrases.tolist(), spans, strict=True)]
+                phrases = chunk.phrases.copy()
+                phrases[chunk.open] = [jumps(chunk.longest[a:b].tolist()) for a, b in zip(chunk.first[:-1], chunk.first[1:], strict=True)]
                 yield pa.RecordBatch.from_arrays([
-                    pa.array(chunk.ids, pa.int64()), pa.array(chunk.langs, pa.string()), pa.array(np.diff(chunk.first), pa.int32()),
+                    pa.array(chunk.ids, pa.int64()), pa.array(chunk.langs, pa.string()), pa.array(np.diff(first), pa.int32()),
                     pa.array(phrases, pa.int32()), pa.array([own_phrases(codes[a:b]) for a, b in spans], pa.int32()),
                 ], ["doc_id", "lang", "n_symbols", "phrases", "own_phrases"])
 
@@ -558,16 +585,23 @@ def cross_parse(docs: DataFrame, chunk: int = CHUNK, bucket: int = BUCKET) -> Da
     size, most = texts.agg(F.sum(F.octet_length("text")), F.max(length)).first()
     size, most = size or 0, most or 0
     buckets = min(1 << 24, max(1, -(-size // (5 * bucket))))
-    # A fixed number of partitions, so that all rounds reuse one exchange.
+    # A fixed number of partitions, so that chunks don't move again to meet their messages.
     places = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    chunks = texts.mapInArrow(_pack(chunk), _CHUNKS).repartition(places, "chunk")
+    chunks = cut_and_free(spark, lambda: texts.mapInArrow(_pack(chunk), _CHUNKS).repartition(places, "chunk"))
     totals = chunks.mapInArrow(_sizes, "lang string, size long").groupBy("lang").agg(F.sum("size").alias("total"))
     state = chunks.withColumn("messages", F.lit(None).cast("array<struct<to: long, level: int, blob: binary>>"))
     before: Round = ()
-    for asked in rounds(most):
+    last = None
+
+    def hear() -> DataFrame:
         answers = state.mapInArrow(_ask(before, asked, buckets), _MESSAGES).repartition("to").sortWithinPartitions("to", "level").mapInArrow(_answer(asked), _MESSAGES)
-        heard = answers.repartition(places, "chunk").groupBy("chunk").agg(F.collect_list(F.struct("to", "level", "blob")).alias("messages"))
-        state, before = chunks.join(heard, "chunk", "left"), asked
+        return answers.repartition(places, "chunk").groupBy("chunk").agg(F.collect_list(F.struct("to", "level", "blob")).alias("messages"))
+
+    for asked in rounds(most):
+        heard = cut_and_free(spark, hear)
+        if last is not None:
+            uncut(last)
+        state, before, last = chunks.join(heard, "chunk", "left"), asked, heard
     counts = state.mapInArrow(_count(before, buckets), _COUNTS)
     n, c, s = F.col("n_symbols"), F.col("phrases"), F.col("own_phrases")
     size = F.col("total") - n

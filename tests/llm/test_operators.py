@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import math
 import random
+import time
 from collections import defaultdict
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -695,6 +697,30 @@ def test_phrases_are_longest_matches_in_one_other_row(spark):
         assert {r.doc_id: r.phrases for r in zm_parse.cross_parse(docs, chunk, bucket).collect()} == want
 
 
+def test_rounds_leave_their_files_behind_no_longer_than_they_are_read(spark):
+    """Of all rounds' exchanges and checkpoints only what the result is read from stays on disk."""
+
+    def shuffles() -> set[str]:
+        files = spark._jsc.sc().env().blockManager().diskBlockManager().getAllFiles()
+        return {f.getName().split("_")[1] for f in spark._jvm.scala.jdk.javaapi.CollectionConverters.asJava(files) if f.getName().startswith("shuffle_")}
+
+    def checkpoints() -> set[Path]:
+        folder = spark.sparkContext.getCheckpointDir()
+        return {*Path(folder.removeprefix("file:")).glob("rdd-*")} if folder else set()
+
+    rng = random.Random(19)
+    texts = [prose(rng, 60) for _ in range(30)]
+    docs = spark.createDataFrame([(k, t, "en") for k, t in enumerate([*texts, *texts[:5], prose(rng, 1500)])], "doc_id long, text string, lang string").repartition(3)
+    old = shuffles(), checkpoints()
+    scores = zm_parse.cross_parse(docs, 150, 60)
+    assert len(scores.collect()) == 36
+    until = time.time() + 20
+    while len(shuffles() - old[0]) > 6 and time.time() < until:  # files go in the background
+        time.sleep(0.2)
+    assert len(zm_parse.rounds(1500)) == 8 and len(shuffles() - old[0]) <= 6 and len(checkpoints() - old[1]) == 2
+    assert len(scores.collect()) == 36
+
+
 def test_copies_score_apart_wherever_they_lie(spark):
     rng = random.Random(13)
     rows = [(k, prose(rng, 80), "en") for k in range(200)] + [(200 + k, t, "en") for k, t in enumerate(prose(rng, 80) for _ in range(5))]
