@@ -85,8 +85,8 @@ placed as (select doc_id, text, i, sum(length(p)) over (partition by doc_id orde
 @query(f"{_STARTS} select doc_id, cast(sum(case when place <= length(text) // 2 then 1 else 0 end) - 1 as integer) as token from placed group by doc_id")
 def idx2i_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The token at the middle character of each document that has tokens."""
-    docs = documents(spark, sf_dir).where("size(words) > 0")
-    return docs.select("doc_id", F.expr("length(text) div 2").cast("int").alias("at"), tx.token_starts("text", "words").alias("starts")).select("doc_id", tx.char_to_token(F.col("starts"), F.col("at")).alias("token"))
+    docs = documents(spark, sf_dir).select("doc_id", F.size("words").alias("n"), tx.starts_until("text", "words", F.expr("length(text) div 2").cast("int")).alias("until"))
+    return docs.where("n > 0").select("doc_id", (F.col("until") - 1).alias("token"))
 
 
 @query(
@@ -96,8 +96,11 @@ select doc_id, cast(greatest(s, 0) as integer) as start, cast(greatest(case when
 )
 def char_span_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token range of the second quarter of each document's characters."""
-    docs = documents(spark, sf_dir).where("size(words) > 0").select("doc_id", F.length("text").alias("n"), tx.token_starts("text", "words").alias("starts"))
-    return docs.select("doc_id", tx.char_span_to_tokens(F.col("starts"), F.col("n"), F.expr("n div 4"), F.expr("n div 2")).alias("s")).select("doc_id", "s.start", "s.end")
+    docs = documents(spark, sf_dir).withColumn("n", F.length("text"))
+    until, before = tx.starts_until("text", "words", F.expr("n div 4").cast("int")), tx.starts_before("text", "words", F.expr("n div 2").cast("int"))
+    got = docs.select("doc_id", "n", F.size("words").alias("k"), until.alias("until"), before.alias("before")).where("k > 0")
+    start = F.greatest(F.lit(0), F.col("until") - 1)
+    return got.select("doc_id", start.alias("start"), F.greatest(F.when(F.expr("n div 2 >= n"), F.col("k")).otherwise(F.col("before")), start + 1).alias("end"))
 
 
 # Patterns
