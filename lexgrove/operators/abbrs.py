@@ -7,16 +7,19 @@ words. Results for odd input: null or empty words have no abbreviations; rows th
 
 from __future__ import annotations
 
+import functools
 from bisect import bisect_right
 from collections import defaultdict
 from collections.abc import Iterator
 from typing import NamedTuple
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions import text as tx
 from . import sents
 
 _OPEN, _CLOSE = ("(", "["), (")", "]")
@@ -130,22 +133,33 @@ def find_pairs(words: list[str], spaces: list[bool] | None = None, starts: list[
     for i in range(len(words)):
         now += i in opens or i == 0
         sent.append(now)
-    definitions: dict[tuple[str, ...], list[tuple[tuple[int, int], tuple[int, int]]]] = defaultdict(list)
+    definitions = _definitions(words, spaces, sent, spans)
+    heads = {form[0] for form in definitions}
+    return _uses(words, definitions, [i for i, w in enumerate(words) if w in heads])
+
+
+def _definitions(words, spaces, sent, spans) -> dict[tuple[str, ...], list[tuple[tuple[int, int], tuple[int, int]]]]:  # noqa: ANN001
+    """By form, its places and their partners, in their order."""
+    out: dict[tuple[str, ...], list[tuple[tuple[int, int], tuple[int, int]]]] = defaultdict(list)
     for start, end in spans:
         pair = find_definition(words, spaces, sent, start, end)
         if pair:
             short, long = (pair.short_start, pair.short_end), (pair.long_start, pair.long_end)
-            definitions[tuple(words[slice(*short)])].append((short, long))
-            definitions[tuple(words[slice(*long)])].append((long, short))
-    if not definitions:
-        return []
+            out[tuple(words[slice(*short)])].append((short, long))
+            out[tuple(words[slice(*long)])].append((long, short))
+    for places in out.values():
+        places.sort()
+    return out
+
+
+def _uses(words, definitions: dict, at: list[int]) -> list[Pair]:  # noqa: ANN001
+    """Each use of a form with the partner of its latest definition. at: the places of the forms' first words."""
     heads: dict[str, list[tuple[str, ...]]] = defaultdict(list)
     for form in definitions:
         heads[form[0]].append(form)
-        definitions[form].sort()
     out: dict[tuple[int, int], Pair] = {}
-    for i, w in enumerate(words):
-        for form in heads.get(w, ()):
+    for i in at:
+        for form in heads.get(words[i], ()):
             if tuple(words[i : i + len(form)]) != form:
                 continue
             latest = bisect_right(definitions[form], i, key=lambda d: d[0][0]) - 1
@@ -159,6 +173,79 @@ def find_pairs(words: list[str], spaces: list[bool] | None = None, starts: list[
     return sorted(out.values(), key=lambda p: (p.long_start, p.short_start))
 
 
+class _Row:
+    """The tokens of a document in an Arrow batch, of which only those that are looked at become strings."""
+
+    def __init__(self, codes: np.ndarray, values: list[str]):
+        self.codes, self.values = codes, values
+
+    def __getitem__(self, at):  # noqa: ANN001, ANN204
+        return [self.values[c] for c in self.codes[at].tolist()] if isinstance(at, slice) else self.values[self.codes[at]]
+
+
+class _All:
+    """True for each place."""
+
+    def __getitem__(self, at: int) -> bool:
+        return True
+
+
+class _Sentence:
+    """The number of the sentence that a token is in."""
+
+    def __init__(self, starts: list[int] | None):
+        self.starts = sorted({*(starts or [0]), 0})
+
+    def __getitem__(self, at: int) -> int:
+        return bisect_right(self.starts, at) - 1
+
+
+@functools.lru_cache(1 << 16)
+def _kind(value: str | None) -> int:
+    """1: an upper-case word, 2: an opening bracket, 4: a closing one."""
+    return 0 if value is None else 1 * (len(value) > 1 and value.isalpha() and value.isupper()) + 2 * (value in _OPEN) + 4 * (value in _CLOSE)
+
+
+def _pairs_of_piece(words: pa.Array, spaces: pa.Array, starts: pa.Array) -> list[list[Pair] | None]:
+    """find_pairs() of each row: distinct tokens are looked at once, and then only what stands at candidates and uses."""
+    size = np.where(words.is_valid().to_numpy(zero_copy_only=False), np.diff(words.offsets.to_numpy().astype(np.int64)), 0)
+    first = np.concatenate([[0], np.cumsum(size)])
+    flat = words.flatten().dictionary_encode(null_encoding="encode")
+    codes, values = flat.indices.to_numpy(zero_copy_only=False), flat.dictionary.to_pylist()
+    code_of = {v: c for c, v in enumerate(values)}
+    kind = np.array([_kind(v) for v in values], np.int8)[codes] if len(codes) else np.zeros(0, np.int8)
+    upper, opens, closes = (np.flatnonzero(kind & k) for k in (1, 2, 4))
+    # What is between brackets ends at the first closing one.
+    close = np.searchsorted(closes, opens, "right")
+    ended = close < len(closes)
+    opens, close = opens[ended], closes[close[ended]]
+    same = np.searchsorted(first, opens, "right") == np.searchsorted(first, close, "right")
+    some = same & (close > opens + 1) & (kind[np.minimum(opens + 1, max(0, len(kind) - 1))] & 2 == 0)
+    begins, ends = np.concatenate([upper, opens[some] + 1]), np.concatenate([upper + 1, close[some]])
+    owner = np.searchsorted(first, begins, "right") - 1
+    order = np.lexsort((ends, begins))
+    by_row = np.searchsorted(owner[order], np.arange(len(size) + 1))
+    sought = np.zeros(len(values), bool)
+    out: list[list[Pair] | None] = []
+    for k in range(len(size)):
+        if not words[k].is_valid:
+            out.append(None)
+            continue
+        mine = order[by_row[k] : by_row[k + 1]]
+        if not len(mine):
+            out.append([])
+            continue
+        row = _Row(codes[first[k] : first[k + 1]], values)
+        spans = sorted(set(zip((begins[mine] - first[k]).tolist(), (ends[mine] - first[k]).tolist(), strict=True)))
+        definitions = _definitions(row, spaces[k].as_py() or _All(), _Sentence(starts[k].as_py()), spans)
+        heads = [code_of[form[0]] for form in definitions]
+        sought[heads] = True
+        out.append(_uses(row, definitions, np.flatnonzero(sought[row.codes]).tolist()) if heads else [])
+        sought[heads] = False
+    return out
+
+
+@tx.evaluated_once
 @F.arrow_udf(T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())])))
 def candidates_column(words: pa.Array) -> pa.Array:
     """The candidate spans of each document."""
@@ -169,10 +256,12 @@ def candidates_column(words: pa.Array) -> pa.Array:
 _PAIRS = T.ArrayType(T.StructType([T.StructField(f, T.IntegerType()) for f in Pair._fields]))
 
 
+@tx.evaluated_once
 @F.arrow_udf(_PAIRS)
 def _find(words: pa.Array, spaces: pa.Array, starts: pa.Array) -> pa.Array:
     kind = pa.list_(pa.struct([(f, pa.int32()) for f in Pair._fields]))
-    return pa.array([None if w is None else [p._asdict() for p in find_pairs(w, s, b)] for w, s, b in zip(words.to_pylist(), spaces.to_pylist(), starts.to_pylist(), strict=True)], kind)
+    got = [row for k, n in tx.pieces(words) for row in _pairs_of_piece(words.slice(k, n), spaces.slice(k, n), starts.slice(k, n))]
+    return pa.array([None if row is None else [p._asdict() for p in row] for row in got], kind)
 
 
 def pairs_column(words: Column, spaces: Column | None = None, starts: Column | None = None) -> Column:
@@ -183,9 +272,8 @@ def pairs_column(words: Column, spaces: Column | None = None, starts: Column | N
 def with_abbreviations(docs: DataFrame) -> DataFrame:
     """docs with ``abbrs``; sentences (sent_starts) are found where docs don't bring them."""
     docs = docs if "sent_starts" in docs.columns else sents.with_sentences(docs)
-    # Most documents have neither a bracket nor an upper-case word and need no Python.
-    may = F.exists("words", lambda w: w.isin("(", "[") | ((F.length(w) > 1) & w.rlike(r"^\p{Lu}+$")))
-    return docs.withColumn("abbrs", F.when(may, pairs_column(F.col("words"), F.col("spaces") if "spaces" in docs.columns else None, F.col("sent_starts"))).otherwise(F.array().cast(_PAIRS)))
+    found = pairs_column(F.col("words"), F.col("spaces") if "spaces" in docs.columns else None, F.col("sent_starts"))
+    return docs.withColumn("abbrs", F.coalesce(found, F.array().cast(_PAIRS)))
 
 
 def abbreviations(docs: DataFrame, key: str = "doc_id") -> DataFrame:

@@ -389,7 +389,11 @@ def abbr_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
 def abbr_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Abbreviations of all documents, with an introduced one appended to each that has tokens: its first two words of letters, their initials, and a later use."""
     docs = documents(spark, sf_dir)
-    alpha = F.filter("words", lambda w: w.rlike(r"^\p{L}{2,}$"))
+    # Made once, and of the first words where they do.
+    letters = lambda of: F.slice(F.filter(of, lambda w: w.rlike(r"^\p{L}{2,}$")), 1, 2)
+    docs = docs.withColumn("alpha", letters(F.slice("words", 1, 64)))
+    docs = docs.withColumn("alpha", F.when((F.size("alpha") < 2) & (F.size("words") > 64), letters(F.col("words"))).otherwise(F.col("alpha")))
+    alpha = F.col("alpha")
     initials = F.upper(F.concat(F.left(alpha[0], F.lit(1)), F.left(alpha[1], F.lit(1))))
     said = F.concat(F.array(alpha[0], alpha[1], F.lit("("), initials, F.lit(")"), F.lit(","), F.lit("as"), initials), "words")
     return abbrs.abbreviations(docs.withColumn("words", F.when(F.size(alpha) >= 2, said).otherwise(F.col("words"))))
