@@ -5,7 +5,7 @@ most one match, the one that the expression prefers; matches that end where an e
 
 ``match`` runs any number of rules in one pass: tests are evaluated on the distinct values of an Arrow batch only, values to be equal to are looked up, and a pattern looks at the documents only that have a
 token for each of the tests it can't do without, found through the tokens of each value. So the cost of a rule follows its hits, and thousands of rules cost little
-more than one. There is no shuffle. ``match_native`` does one pattern in built-in expressions; it is quadratic in the length of a document.
+more than one. There is no shuffle. ``match_native`` does one pattern in built-in expressions.
 
 Results for odd input: null or empty ``words`` have no match; a null key stays null; rows that repeat a key are matched each, with their own text; a null annotation fits no test but
 NOT_IN and "!"; other columns aren't read, whatever their names.
@@ -376,9 +376,11 @@ def match_native(docs: DataFrame, pattern: list[dict], key: str = "doc_id") -> D
             mask = mask + F.when(~fits if u.negated else fits, F.lit(1 << k)).otherwise(F.lit(0))
         return F.element_at(F.array(*map(F.lit, alphabet)), mask)
 
-    expression = "^(?:" + compiled.template.format(*("[" + "".join(a for j, a in enumerate(alphabet) if j >> k & 1) + "]" for k in range(len(compiled.units))), any=".") + ")"
-    sym = docs.where(F.size("words") > 0).select(key, F.array_join(F.transform(token, symbol), "").alias("sym"))
-    spans = F.transform(F.sequence(F.lit(0), F.length("sym") - 1), lambda i: F.struct(i.alias("start"), (i + F.length(F.regexp_extract(F.substring("sym", i + 1, F.length("sym")), expression, 0))).alias("end")))
-    spans = F.filter(spans, lambda s: s["end"] > s["start"])
+    expression = compiled.template.format(*("[" + "".join(a for j, a in enumerate(alphabet) if j >> k & 1) + "]" for k in range(len(compiled.units))), any=".")
+    sym = docs.select(key, F.array_join(F.transform(token, symbol), "").alias("sym"))
+    # One pass: each symbol gets the match that begins at it put before it, between two signs; so the work grows with the text and its matches, and not with its square.
+    marked = F.regexp_replace("sym", f"(?=({expression}))", "\x01$1\x02")
+    sizes = F.transform(F.regexp_extract_all(marked, F.lit("(?:\x01([^\x02]*)\x02)?[^\x01\x02]"), F.lit(1)), lambda m, i: F.struct(i.alias("start"), (i + F.length(m)).alias("end")))
+    spans = F.filter(sizes, lambda s: s["end"] > s["start"])
     kept = F.filter("spans", lambda s, j: (j == 0) | (F.get("spans", j - 1)["end"] != s["end"]))
     return sym.select(key, spans.alias("spans")).select(key, F.explode(kept).alias("s")).select(key, "s.start", "s.end")
