@@ -13,6 +13,7 @@ NOT_IN and "!"; other columns aren't read, whatever their names.
 
 from __future__ import annotations
 
+import functools
 import operator
 from collections.abc import Callable, Iterator
 
@@ -74,6 +75,12 @@ def value_test(test: Test, compat: bool) -> Callable[[object], bool]:
     return lambda v: v is not None and compare(v if isinstance(v, int | float) and not isinstance(v, bool) else len(str(v)), test.value)
 
 
+@functools.lru_cache(256)
+def _kept_test(test: Test, compat: bool) -> Callable[[object], bool]:
+    """The test, which keeps what it has told of values, from one piece to the next."""
+    return functools.lru_cache(1 << 16)(value_test(test, compat))
+
+
 class _Batch:
     """The tokens of an Arrow batch, by their distinct values."""
 
@@ -146,7 +153,7 @@ class _Batch:
                 low = not test.extension and test.attr == "LOWER"
                 self.tests[key] = np.array(sorted({c for w in wanted for c in by.get(w.lower() if low else w, ())}), np.int64)
             else:
-                fits = value_test(test, compat)
+                fits = _kept_test(test, compat)
                 self.tests[key] = np.flatnonzero(np.fromiter((fits(v) for v in values), bool, len(values)))
         return self.tests[key]
 
@@ -193,6 +200,31 @@ def _expand(first: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return np.arange(at[-1]) + np.repeat(first[docs] - at[:-1], size), at
 
 
+_ATOM = regex.compile(r"\{(\d+)\}([+*?]?\??)")
+
+
+def _may_begin(template: str, present: np.ndarray, text: np.ndarray) -> np.ndarray | None:
+    """Places where a match may begin, or None for all.
+
+    Where a pattern is a row of units whose last one is a single token that fits none of the others, what stands before the first token that fits none of those decides: else each place of a long run is tried, and run through to no end."""
+    atoms = _ATOM.findall(template)
+    if len(atoms) < 2 or "".join(f"{{{k}}}{q}" for k, q in atoms) != template or atoms[-1][1]:
+        return None
+    fits = lambda k: (present >> int(k) & 1).astype(bool)
+    inner = np.logical_or.reduce([fits(k) for k, _ in atoms[:-1]])
+    last = fits(atoms[-1][0])
+    if (inner & last).any():
+        return None
+    # The end sign fits nothing.
+    inner, last = np.append(inner, False), np.append(last, False)
+    symbol = np.where(text == _END, len(present), text.astype(np.int64) - _FIRST)
+    stops = np.flatnonzero(~inner[symbol])
+    first = np.append(fits(atoms[0][0]), False) if not atoms[0][1].startswith(("*", "?")) else inner | last
+    at = np.flatnonzero(first[symbol])
+    stop = stops[np.searchsorted(stops, at)]
+    return at[last[symbol[stop]]]
+
+
 def _scan(batch: _Batch, pattern: Compiled, cache: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Document, start and end of the matches of a pattern, those with the end of the one before left out."""
     none = (np.zeros(0, np.int64),) * 3
@@ -232,7 +264,14 @@ def _scan(batch: _Batch, pattern: Compiled, cache: dict) -> tuple[np.ndarray, np
     text = np.full(len(tokens) + len(docs), _END, "<u4")
     owner = np.repeat(np.arange(len(docs)), np.diff(first))
     text[np.arange(len(tokens)) + owner] = symbol + _FIRST
-    spans = np.array([m.span() for m in cache[key].finditer(text.tobytes().decode("utf-32-le"), overlapped=True)], np.int64).reshape(-1, 2)
+    written = text.tobytes().decode("utf-32-le")
+    begins = _may_begin(pattern.template, present, text)
+    if begins is None:
+        found = (m.span() for m in cache[key].finditer(written, overlapped=True))
+    else:
+        at = cache[key].match
+        found = (m.span() for m in (at(written, p) for p in begins.tolist()) if m)
+    spans = np.array(list(found), np.int64).reshape(-1, 2)
     spans = spans[spans[:, 1] > spans[:, 0]]
     if not len(spans):
         return none
@@ -274,10 +313,10 @@ def _texts(batch: _Batch, doc: np.ndarray, start: np.ndarray, end: np.ndarray) -
     return pc.binary_join(pa.ListArray.from_arrays(pa.array(first, pa.int32()), batch.flat["words"].take(pa.array(at))), " ")
 
 
-def _run(rules: list[tuple[str, int, list[tuple[int, Compiled]]]], columns: dict[str, str], key: str, text: bool):  # noqa: ANN202
+def _run(rules: list[tuple[str, int, list[tuple[int, Compiled]]]], columns: dict[str, str], key: str, text: bool, packed: Callable | None = None):  # noqa: ANN202
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache: dict = {}
-        for record in batches:
+        for record in (b.slice(k, n) for b in batches for k, n in tx.pieces(b["words"])):
             batch = _Batch(record, columns)
             parts = []
             for name, ord_, patterns in rules:
@@ -303,6 +342,9 @@ def _run(rules: list[tuple[str, int, list[tuple[int, Compiled]]]], columns: dict
             if not parts:
                 continue
             docs, starts, ends = (np.concatenate([x[k] for x in parts]) for k in (3, 4, 5))
+            if packed is not None:
+                yield packed(record[key], docs, starts, ends, np.repeat([x[1] for x in parts], [len(x[3]) for x in parts]))
+                continue
             yield pa.RecordBatch.from_arrays([
                 record[key].take(pa.array(docs)),
                 pa.array([x[0] for x in parts], pa.string()).take(pa.array(np.repeat(np.arange(len(parts)), [len(x[3]) for x in parts]))),
@@ -313,10 +355,12 @@ def _run(rules: list[tuple[str, int, list[tuple[int, Compiled]]]], columns: dict
     return run
 
 
-def match(docs: DataFrame, rules: RuleSet, key: str = "doc_id", allow_missing: bool = False, text: bool = False) -> DataFrame:
+def match(docs: DataFrame, rules: RuleSet, key: str = "doc_id", allow_missing: bool = False, text: bool = False, packed: Callable | None = None) -> DataFrame:
     """key, rule, rule_ord, pattern_ord, start, end: the matches of all rules, in ``words`` of docs; and text, their tokens joined by spaces.
 
-    ValueError when a rule needs an annotation that docs have no column for, unless ``allow_missing``; such an annotation is then null. A null norm is the token in lower case."""
+    ValueError when a rule needs an annotation that docs have no column for, unless ``allow_missing``; such an annotation is then null. A null norm is the token in lower case.
+
+    packed: makes one row of each document's matches (see spans.pack), of the rules' numbers and without callbacks."""
     columns = rules.columns()
     missing = {a: c for a, c in columns.items() if c not in docs.columns}
     if set(missing) - {"NORM"} and not allow_missing:
@@ -327,14 +371,17 @@ def match(docs: DataFrame, rules: RuleSet, key: str = "doc_id", allow_missing: b
     kept = docs.select(key, "words", *sorted(set(columns.values()) - {key, "words"}), *(["text"] if raw and "text" not in columns.values() else []))
     plain = [(r.key, k, list(enumerate(r.compiled))) for k, r in enumerate(rules.rules.values())]
     schema = f"`{key}` {dict(docs.dtypes)[key]}, {MATCHES}" + ", text string" * text
-    found = kept.where("words is not null").mapInArrow(_run(plain, columns, key, text), schema)
-    called = [r for r in rules.rules.values() if r.on_match is not None]
+    if packed is not None:
+        return kept.mapInArrow(_run(plain, columns, key, False, packed), f"`{key}` {dict(docs.dtypes)[key]}, start array<int>, end array<int>, rule array<int>")
+    # Null words are left to the pass: a condition on them would have the texts cut into tokens twice.
+    found = lambda some: kept.mapInArrow(_run(some, columns, key, text), schema)
+    called = {r.key: r for r in rules.rules.values() if r.on_match is not None}
     if not called:
-        return found
-    out = found.where(~F.col("rule").isin([r.key for r in called]))
-    for r in called:
-        out = out.unionByName(r.on_match(found.where(F.col("rule") == r.key)), allowMissingColumns=True)
-    return out
+        return found(plain)
+    # A pass for the rules without a callback, if there are any, and one for each with one: no match is made to be thrown away.
+    rest = [p for p in plain if p[0] not in called]
+    parts = ([found(rest)] if rest else []) + [called[p[0]].on_match(found([p])) for p in plain if p[0] in called]
+    return functools.reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
 
 
 # The native variant

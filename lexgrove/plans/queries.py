@@ -249,17 +249,20 @@ _SPANS = f"""{o.WORDS}, {o.match_steps("a", [o.flag("IS_TITLE"), o.flag("IS_LOWE
 s as (select doc_id, start, "end", 'A' as label from a union select doc_id, start, "end", 'B' from b union select doc_id, start, "end", 'C' from c)"""
 
 
-def _label_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+_LABELS = ["A", "B", "C"]
+
+
+def _label_spans(spark: SparkSession, sf_dir: str, packed: Callable) -> DataFrame:
     rules = (
         RuleSet().add("A", [[{"IS_TITLE": True}, {"IS_LOWER": True, "OP": "*"}]]).add("B", [[{"IS_STOP": True}, {"IS_ALPHA": True}, {"TEXT": ",", "OP": "?"}]])
         .add("C", [[{"IS_ALPHA": True}, {"TEXT": "."}]])
     )
-    return match(documents(spark, sf_dir), rules).select("doc_id", "start", "end", F.col("rule").alias("label"))
+    return match(documents(spark, sf_dir), rules, packed=packed)
 
 
 @query(f"""with {_SPANS}, m as (select *, max("end") over (partition by doc_id order by start, "end" desc rows between unbounded preceding and 1 preceding) as most from (select distinct doc_id, start, "end" from s)) select doc_id, start, "end" from m where "end" > coalesce(most, 0)""")
 def phrase_running_end(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spans.running_end(_label_spans(spark, sf_dir).select("doc_id", "start", "end").distinct(), ["doc_id"])
+    return spans.outermost(_label_spans(spark, sf_dir, spans.pack_outer))
 
 
 _CONTAINED = """((x.start > y.start and x."end" <= y."end") or (x.start >= y.start and x."end" < y."end"))"""
@@ -267,7 +270,7 @@ _CONTAINED = """((x.start > y.start and x."end" <= y."end") or (x.start >= y.sta
 
 @query(f"""with {_SPANS}, x as (select distinct doc_id, start, "end" from s) select doc_id, start, "end" from x where not exists (select 1 from x y where x.doc_id = y.doc_id and {_CONTAINED})""")
 def span_drop_contained(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spans.drop_contained(_label_spans(spark, sf_dir).select("doc_id", "start", "end"), ["doc_id"])
+    return spans.outermost(_label_spans(spark, sf_dir, spans.pack_outer))
 
 
 _LONGEST = f"""c as (select x.*, y.start as ys, y."end" as ye, y.label as yl,
@@ -282,12 +285,12 @@ from d where does is null or does <> 'drop'"""
 
 @query(f"with {_SPANS.replace('c as (select doc_id, cast', 'c_ as (select doc_id, cast').replace('from c)', 'from c_)')}, {_LONGEST}")
 def span_first_conflict_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spans.only_longest(_label_spans(spark, sf_dir))
+    return spans.only_longest_packed(_label_spans(spark, sf_dir, spans.pack), _LABELS)
 
 
 @query(f"""with {_SPANS}, t as (select doc_id, label, unnest(range(start, "end")) as i from s) select doc_id, cast(i as integer) as i, array_to_string(list_sort(list(distinct label)), ',') as labels from t group by doc_id, i""")
 def label_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spans.token_labels(_label_spans(spark, sf_dir)).select("doc_id", "i", F.array_join("labels", ",").alias("labels"))
+    return spans.token_labels_packed(_label_spans(spark, sf_dir, spans.pack), _LABELS).select("doc_id", "i", F.array_join("labels", ",").alias("labels"))
 
 
 #: Pairs of texts that stand for abbreviations with their long forms: a word with a capital, and the word after it.
@@ -406,10 +409,8 @@ select h.doc_id, cast(h.at as integer) as at, cast(max(d.since) as integer) as d
 )
 def abbr_asof_lone(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The as-of join that gives a lone form its latest definition: here each comma the latest title-case word."""
-    tokens = tx.explode_tokens(documents(spark, sf_dir))
-    hits = tokens.where("token = ','").select("doc_id", F.col("i").alias("at"))
-    definitions = tokens.where(tx.flag("IS_TITLE", F.col("token"))).select("doc_id", F.col("i").alias("since"))
-    return spans.as_of(hits, definitions, ["doc_id"], "at", "since", F.col("since")).select("doc_id", "at", F.col("_value").alias("definition"))
+    found = match(documents(spark, sf_dir), RuleSet().add("hit", [[{"TEXT": ","}]]).add("definition", [[{"IS_TITLE": True}]]), packed=spans.pack)
+    return spans.as_of_packed(found).select("doc_id", "at", F.col("since").alias("definition"))
 
 
 # The graph of the star schema: regions, nations, brands and types are categories with articles of the same titles; customers and parts are articles
