@@ -4,6 +4,8 @@ Results for odd input: null or empty words have no phrases; null tags fit no pat
 
 from __future__ import annotations
 
+import functools
+
 import numpy as np
 import pyarrow as pa
 import regex
@@ -11,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions import text as tx
 from . import spans
 from .matcher import match
 from .rules import RuleSet
@@ -42,6 +45,7 @@ _RULES = [(regex.compile(p), low, tag) for p, low, tag in (
 )]
 
 
+@functools.lru_cache(1 << 16)
 def lexicon_tag(token: str | None) -> str | None:
     """A coarse tag of a token: closed classes by the lexicon, then numbers, signs, names and endings; NOUN for the rest."""
     if token is None:
@@ -50,9 +54,14 @@ def lexicon_tag(token: str | None) -> str | None:
     return _CLOSED.get(low) or next((tag for p, lower, tag in _RULES if p.search(low if lower else token)), "NOUN")
 
 
+@tx.evaluated_once
 @F.arrow_udf(T.ArrayType(T.StringType()))
 def _tags(words: pa.Array) -> pa.Array:
-    """Each distinct token of a batch is tagged once."""
+    """Each distinct token is tagged once."""
+    return pa.concat_arrays([pa.array([], pa.list_(pa.string())), *(_of_piece(words.slice(k, n)) for k, n in tx.pieces(words))])
+
+
+def _of_piece(words: pa.Array) -> pa.Array:
     flat = words.flatten().dictionary_encode()
     tags = pa.array([lexicon_tag(t) for t in flat.dictionary.to_pylist()], pa.string()).take(flat.indices)
     first = np.concatenate([[0], np.cumsum(np.where(words.is_valid().to_numpy(zero_copy_only=False), np.diff(words.offsets.to_numpy()), 0))])
@@ -66,8 +75,7 @@ def tag_by_lexicon(docs: DataFrame) -> DataFrame:
 
 def phrases(docs: DataFrame, patterns: list[list[dict]], name: str = "phrase", key: str = "doc_id") -> DataFrame:
     """key, start, end of the phrases that the patterns make."""
-    found = match(docs, RuleSet().add(name, patterns), key).select(key, "start", "end")
-    return spans.drop_contained(spans.running_end(found, [key]), [key])
+    return spans.outermost(match(docs, RuleSet().add(name, patterns), key, packed=spans.pack_outer), key)
 
 
 def noun_phrases(docs: DataFrame, key: str = "doc_id") -> DataFrame:

@@ -9,6 +9,8 @@ Results for odd input: null words have null starts and no sentences, empty ones
 
 from __future__ import annotations
 
+import functools
+
 import numpy as np
 import pyarrow as pa
 import regex
@@ -16,6 +18,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions import text as tx
+
 SAFE_ACRONYM = r"^(?:tm|TM|Std|Nor|Fig|FIG|Figs|FIGS|pat|Pat|ser|Ser|No|Num|eg|[1-9][0-9])$"
 SAFE_ABBREVIATION = r"^[a-zA-Z]{1,3}\."
 ENDS = r"\.[\"')\]]*$"
@@ -26,16 +30,20 @@ _safe = regex.compile(f"{SAFE_ACRONYM}|{SAFE_ABBREVIATION}")
 _ends, _starter, _marks = regex.compile(ENDS), regex.compile(STARTER), regex.compile(r"(?:<A>)?(?:<E>)?(?:<S>)?$")
 
 
+@functools.lru_cache(1 << 16)
+def _told(value: str) -> tuple[bool, bool, bool, bool, bool]:
+    """Of a token: whether it is safe, safe without marks, ends a sentence, is a starter, and breaks the line."""
+    bare = _marks.sub("", value)
+    return _safe.search(value) is not None, _safe.search(bare) is not None, _ends.search(bare) is not None, _starter.search(value) is not None, "\n" in value
+
+
 def sentence_starts(value: np.ndarray, tag: np.ndarray, first: np.ndarray, values: list[str], tags: list) -> np.ndarray:
     """Tokens (by number, over all documents) that open a sentence. value and tag: codes; first: first token of each document, with a last entry."""
     n = len(value)
     if not n:
         return np.zeros(0, np.int64)
-    bare = [_marks.sub("", v) for v in values]
-    test = lambda xs, f: np.fromiter((f(x) for x in xs), bool, len(xs))
-    safe, safe_bare = test(values, lambda v: _safe.search(v) is not None), test(bare, lambda v: _safe.search(v) is not None)
-    ends, starter = test(bare, lambda v: _ends.search(v) is not None), test(values, lambda v: _starter.search(v) is not None)
-    after, breaks = test(tags, lambda t: t in BEFORE_STARTER), test(values, lambda v: "\n" in v)
+    safe, safe_bare, ends, starter, breaks = np.array([_told(v) for v in values], bool).reshape(-1, 5).T
+    after = np.fromiter((t in BEFORE_STARTER for t in tags), bool, len(tags))
     inner = np.ones(n, bool)
     inner[first[:-1][first[:-1] < n]] = False
     before = np.zeros(n, np.int64)
@@ -52,8 +60,13 @@ def sentence_starts(value: np.ndarray, tag: np.ndarray, first: np.ndarray, value
     return np.flatnonzero(starts)
 
 
+@tx.evaluated_once
 @F.arrow_udf(T.ArrayType(T.IntegerType()))
 def _starts(words: pa.Array, pos: pa.Array) -> pa.Array:
+    return pa.concat_arrays([pa.array([], pa.list_(pa.int32())), *(_of_piece(words.slice(k, n), pos.slice(k, n)) for k, n in tx.pieces(words))])
+
+
+def _of_piece(words: pa.Array, pos: pa.Array) -> pa.Array:
     size = np.where(words.is_valid().to_numpy(zero_copy_only=False), np.diff(words.offsets.to_numpy()), 0)
     first = np.concatenate([[0], np.cumsum(size)])
     flat = words.flatten().dictionary_encode()
