@@ -75,7 +75,8 @@ class Dictionary:
     """Keys by their number of tokens: sorted hashes of keys with their numbers, and of all beginnings of longer keys."""
 
     def __init__(self, keys: list[str], titles: list[list[str]]):
-        self.titles = titles
+        # Arrow's arrays, of which a worker has no second form.
+        self.titles = pa.array(titles, pa.list_(pa.string()))
         runs = [np.array([_hash(t) for t in k.split(" ")], np.uint64) for k in keys]
         self.most = max(map(len, runs), default=0)
         live = np.argsort([len(r) for r in runs], kind="stable")
@@ -138,8 +139,8 @@ def _pass(shared: Broadcast, key: str, within: bool | None):  # noqa: ANN202
         known = shared.value
         letters = regex.compile(r"[\p{L}\p{N}]")
         hashes: dict[str, int] = {}
-        titles = pa.array(known.titles, pa.list_(pa.string()))
-        for batch in batches:
+        titles = known.titles
+        for batch in (b.slice(k, n) for b in batches for k, n in tx.pieces(b["words"])):
             words = batch["words"]
             offsets = words.offsets.to_numpy().astype(np.int64)
             size = np.where(words.is_valid().to_numpy(zero_copy_only=False), np.diff(offsets), 0)
@@ -196,7 +197,7 @@ def _matches(docs: DataFrame, index: DataFrame, key: str, within: bool | None, b
     if (size[0] or 0) <= broadcast_bytes:
         rows = index.select("key", "titles").orderBy("key").collect()  # of the size just checked
         known = docs.sparkSession.sparkContext.broadcast(Dictionary([r.key for r in rows], [list(r.titles) for r in rows]))
-        return docs.select(key, "words").where("words is not null").mapInArrow(_pass(known, key, within), f"`{key}` {dict(docs.dtypes)[key]}, {_SPANS}")
+        return docs.select(key, "words").mapInArrow(_pass(known, key, within), f"`{key}` {dict(docs.dtypes)[key]}, {_SPANS}")
     found = _joined(docs, index, key, size[1])
     if within is None:
         return found
