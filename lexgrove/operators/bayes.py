@@ -15,6 +15,10 @@ SMOOTH, PRIOR_POWER = 0.1, 4
 def train(features: DataFrame, smooth: float = SMOOTH) -> DataFrame:
     """features (label 0/1, feat) as the model (feat, p0, p1); the row of the null feature holds the priors."""
     counts = features.where("label is not null and feat is not null").groupBy("feat").agg(*(F.sum(F.when(F.col("label") == k, 1).otherwise(0)).alias(f"c{k}") for k in (0, 1)))
+    return _model(counts, smooth)
+
+
+def _model(counts: DataFrame, smooth: float) -> DataFrame:
     totals = counts.agg(F.sum("c0").alias("n0"), F.sum("c1").alias("n1"), F.count("*").alias("kinds"))
     # One row.
     smoothed = totals.select(*((F.col(f"n{k}") + smooth * F.col("kinds")).alias(f"t{k}") for k in (0, 1)))
@@ -77,6 +81,19 @@ def boundary_features(pairs: DataFrame, counts: DataFrame | None = None) -> Data
 
 def word_counts(docs: DataFrame) -> DataFrame:
     """(word, non_abbr, lower) over all documents with ``words``: non_abbr counts a word that no full stop follows."""
-    follows = F.transform("words", lambda w, i: F.struct(w.alias("w"), F.get("words", i + 1).alias("next")))
-    each = docs.select(F.explode(follows).alias("x")).select("x.w", "x.next")
-    return each.groupBy(F.col("w").alias("word")).agg(F.sum(F.when(F.col("next").eqNullSafe("."), 0).otherwise(1)).alias("non_abbr"), F.sum(F.when((F.lower("w") == F.col("w")) & (F.upper("w") != F.col("w")), 1).otherwise(0)).alias("lower"))
+    # An outer explode, as another one has the texts cut into tokens once more for its condition.
+    each = docs.select("words", F.posexplode_outer("words").alias("i", "w")).where("i is not null").select("w", F.get("words", F.col("i") + 1).alias("next"))
+    counts = each.groupBy(F.col("w").alias("word")).agg(F.sum(F.when(F.col("next").eqNullSafe("."), 0).otherwise(1)).alias("non_abbr"), F.count("*").alias("n"))
+    lower = (F.lower("word") == F.col("word")) & (F.upper("word") != F.col("word"))
+    return counts.select("word", "non_abbr", F.when(lower, F.col("n")).otherwise(0).alias("lower"))
+
+
+def boundary_pairs(boundaries: DataFrame, counts: DataFrame, sums: list[Column]) -> DataFrame:
+    """boundaries (word, next, ...) as (pair, feat, and sums): what stands around a boundary has the same features wherever it stands, so these are made, and joined to the counts, once for each distinct pair."""
+    pairs = boundaries.groupBy("word", "next").agg(*sums)
+    return boundary_features(pairs.withColumn("pair", F.struct("word", "next")), counts)
+
+
+def train_pairs(features: DataFrame, smooth: float = SMOOTH) -> DataFrame:
+    """train() of features (feat, n0, n1, n_labels) that stand for so many of label 0, of label 1 and of any; those of no label don't count."""
+    return _model(features.where("n_labels > 0").groupBy("feat").agg(F.sum("n0").alias("c0"), F.sum("n1").alias("c1")), smooth)

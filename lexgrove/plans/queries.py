@@ -310,10 +310,10 @@ union all select doc_id, cast(long_start as integer), cast(long_end as integer),
 def label_abbr_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     found = labels.labelled(docs, labels.label_rules([("TH", [[{"LOWER": {"REGEX": "^th.*"}}]])]))
-    following = F.transform("words", lambda w, i: F.struct(i.alias("i"), w.alias("w"), F.get("words", i + 1).alias("next")))
-    x = docs.select("doc_id", F.explode(following).alias("x")).where(F.col("x.next").isNotNull() & tx.flag("IS_TITLE", F.col("x.w")) & tx.flag("IS_ALPHA", F.col("x.next")))
-    i = F.col("x.i")
-    pairs = x.select("doc_id", i.alias("short_start"), (i + 1).alias("short_end"), (i + 1).alias("long_start"), (i + 2).alias("long_end"), F.col("x.w").alias("short_text"), F.col("x.next").alias("long_text"))
+    # An outer explode, as another one has the texts cut into tokens once more for its condition.
+    x = docs.select("doc_id", "words", F.posexplode_outer("words").alias("i", "w")).where(tx.flag("IS_TITLE", F.col("w"))).select("doc_id", "i", "w", F.get("words", F.col("i") + 1).alias("next"))
+    i = F.col("i")
+    pairs = x.where(tx.flag("IS_ALPHA", F.col("next"))).select("doc_id", i.alias("short_start"), (i + 1).alias("short_end"), (i + 1).alias("long_start"), (i + 2).alias("long_end"), F.col("w").alias("short_text"), F.col("next").alias("long_text"))
     return labels.pass_through_abbreviations(found, pairs)
 
 
@@ -714,13 +714,15 @@ def chunk_mean_vector(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _boundaries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, i, word, next: each full stop with the words around it, over all documents."""
-    around = F.transform("words", lambda w, i: F.struct(i.alias("i"), F.when(i > 0, F.get("words", i - 1)).alias("p"), w.alias("w"), F.get("words", i + 1).alias("next")))
-    x = documents(spark, sf_dir).select("doc_id", F.explode(around).alias("x")).where("x.w = '.'")
-    return x.select("doc_id", "x.i", F.concat(F.coalesce("x.p", F.lit("")), F.lit(".")).alias("word"), F.col("x.next").alias("next"))
+    # An outer explode, as another one has the texts cut into tokens once more for its condition.
+    x = documents(spark, sf_dir).select("doc_id", "words", F.posexplode_outer("words").alias("i", "w")).where("w = '.'")
+    before = F.when(F.col("i") > 0, F.get("words", F.col("i") - 1))
+    return x.select("doc_id", "i", F.concat(F.coalesce(before, F.lit("")), F.lit(".")).alias("word"), F.get("words", F.col("i") + 1).alias("next"))
 
 
-def _features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bayes.boundary_features(_boundaries(spark, sf_dir), bayes.word_counts(documents(spark, sf_dir)))
+def _word_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As large as the vocabulary; it is joined twice."""
+    return store.cut(bayes.word_counts(documents(spark, sf_dir)))
 
 
 _NB = rf"""{o.WORDS}, f as (select doc_id, unnest(range(len(words))) as i, unnest(words) as t from words_of),
@@ -741,17 +743,20 @@ model as (select feat, (c0 + 0.1) / t0 as p0, (c1 + 0.1) / t1 as p1 from k cross
 
 @query(f"with {_NB} select feat, count(*) as n from feats where feat is not null group by feat")
 def nb_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _features(spark, sf_dir).groupBy("feat").agg(F.count("*").alias("n"))
+    features = bayes.boundary_pairs(_boundaries(spark, sf_dir), _word_counts(spark, sf_dir), [F.count("*").alias("n")])
+    return features.groupBy("feat").agg(F.sum("n").alias("n"))
 
 
-def _model(spark: SparkSession, sf_dir: str) -> DataFrame:
-    known = _features(spark, sf_dir).join(table(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("label")), "doc_id")
-    return bayes.train(known.select("label", "feat"))
+def _labelled_features(spark: SparkSession, sf_dir: str, how: str) -> DataFrame:
+    """(pair, feat, n0, n1, n_labels): with a left join also the pairs that no labelled document has."""
+    known = _boundaries(spark, sf_dir).join(table(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("label")), "doc_id", how)
+    sums = [F.sum(F.when(F.col("label") == k, 1).otherwise(0)).alias(f"n{k}") for k in (0, 1)]
+    return bayes.boundary_pairs(known, _word_counts(spark, sf_dir), [*sums, F.count("label").alias("n_labels")])
 
 
 @query(f"with {_NB} select feat, round(p0, 9) as p0, round(p1, 9) as p1 from model")
 def nb_train(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _model(spark, sf_dir).select("feat", F.round("p0", 9).alias("p0"), F.round("p1", 9).alias("p1"))
+    return bayes.train_pairs(_labelled_features(spark, sf_dir, "inner")).select("feat", F.round("p0", 9).alias("p0"), F.round("p1", 9).alias("p1"))
 
 
 @query(
@@ -760,8 +765,11 @@ sc as (select doc_id, i, coalesce(sum(ln(p0)), 0) as s0, coalesce(sum(ln(p1)), 0
 select doc_id, i, round(1 / (1 + exp(s0 + b0 - s1 - b1)), 5) as p1 from sc cross join pr"""
 )
 def nb_classify(spark: SparkSession, sf_dir: str) -> DataFrame:
-    items = _features(spark, sf_dir).select(F.struct("doc_id", F.col("i").cast("long").alias("i")).alias("key"), "feat")
-    return bayes.classify(items, _model(spark, sf_dir), "key").select("key.doc_id", "key.i", F.round("p1", 5).alias("p1"))
+    # As large as the distinct pairs; read for the model, and again for their probabilities.
+    features = store.cut(_labelled_features(spark, sf_dir, "left"))
+    told = bayes.classify(features, bayes.train_pairs(features), "pair").select("pair.word", "pair.next", F.round("p1", 5).alias("p1"))
+    items, told = _boundaries(spark, sf_dir), told.withColumnRenamed("next", "_next").withColumnRenamed("word", "_word")
+    return items.join(told, (F.col("word") == F.col("_word")) & F.col("next").eqNullSafe(F.col("_next"))).select("doc_id", F.col("i").cast("long").alias("i"), "p1")
 
 
 @query("select event_type, count(*) as n, sum(cast(json_extract_string(props, '$.k') as bigint)) as k from events group by event_type")
