@@ -32,8 +32,10 @@ def pass_through_abbreviations(labels: DataFrame, abbrs: DataFrame) -> DataFrame
     by_text = labels.select("doc_id", "text", "label", F.row_number().over(last).alias("k")).where("k = 1")
     side = lambda s: by_text.select("doc_id", F.col("text").alias(f"{s}_text"), F.col("label").alias(f"{s}_label"))
     both = abbrs.join(side("short"), ["doc_id", "short_text"], "left").join(side("long"), ["doc_id", "long_text"], "left")
-    pick = lambda to, of: both.where(f"{to}_label is null and {of}_label is not null").select("doc_id", F.col(f"{to}_start").alias("start"), F.col(f"{to}_end").alias("end"), F.col(f"{of}_label").alias("label"), F.col(f"{to}_text").alias("text"))
-    return labels.unionByName(pick("short", "long")).unionByName(pick("long", "short"))
+    # Both directions of one join: a pair passes its label on one way at most.
+    passed = lambda to, of: F.when(F.col(f"{to}_label").isNull() & F.col(f"{of}_label").isNotNull(), F.struct(F.col(f"{to}_start").alias("start"), F.col(f"{to}_end").alias("end"), F.col(f"{of}_label").alias("label"), F.col(f"{to}_text").alias("text")))
+    new = both.select("doc_id", F.coalesce(passed("short", "long"), passed("long", "short")).alias("new")).where("new is not null")
+    return labels.unionByName(new.select("doc_id", "new.start", "new.end", "new.label", "new.text"))
 
 
 def labelings(docs: DataFrame, rules: RuleSet, abbrs: DataFrame | None = None, longest: bool = False) -> DataFrame:
