@@ -256,8 +256,8 @@ def only_longest_packed(packed: DataFrame, labels: list[str], key: str = "doc_id
     return by_document(packed, key, make, "start int, end int, label string")
 
 
-def token_labels_packed(packed: DataFrame, labels: list[str], key: str = "doc_id") -> DataFrame:
-    """token_labels() of packed spans; labels: the name of each rule, of at most 62 names."""
+def token_labels_packed(packed: DataFrame, labels: list[str], key: str = "doc_id", joined: str | None = None) -> DataFrame:
+    """token_labels() of packed spans; labels: the name of each rule, of at most 62 names; joined: the sign between the labels of one string, in place of arrays."""
     names = sorted(set(labels))
     if len(names) > 62:
         raise ValueError("more than 62 labels")
@@ -271,11 +271,12 @@ def token_labels_packed(packed: DataFrame, labels: list[str], key: str = "doc_id
             mask |= (over > 0).astype(np.int64) << k
         at = np.flatnonzero(mask)
         sets, which = np.unique(mask[at], return_inverse=True)
-        said = pa.array([[x for k, x in enumerate(names) if m >> k & 1] for m in sets.tolist()], pa.list_(pa.string()))
+        lists = [[x for k, x in enumerate(names) if m >> k & 1] for m in sets.tolist()]
+        said = pa.array(lists, pa.list_(pa.string())) if joined is None else pa.array([joined.join(x) for x in lists], pa.string())
         owner = np.searchsorted(base, at, "right") - 1
         return owner, _ints(at - base[owner]), said.take(pa.array(which))
 
-    return by_document(packed, key, make, "i int, labels array<string>")
+    return by_document(packed, key, make, f"i int, labels {'array<string>' if joined is None else 'string'}")
 
 
 def as_of_packed(packed: DataFrame, key: str = "doc_id") -> DataFrame:

@@ -290,7 +290,7 @@ def span_first_conflict_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""with {_SPANS}, t as (select doc_id, label, unnest(range(start, "end")) as i from s) select doc_id, cast(i as integer) as i, array_to_string(list_sort(list(distinct label)), ',') as labels from t group by doc_id, i""")
 def label_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spans.token_labels_packed(_label_spans(spark, sf_dir, spans.pack), _LABELS).select("doc_id", "i", F.array_join("labels", ",").alias("labels"))
+    return spans.token_labels_packed(_label_spans(spark, sf_dir, spans.pack), _LABELS, joined=",")
 
 
 #: Pairs of texts that stand for abbreviations with their long forms: a word with a capital, and the word after it.
